@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op8_bpe
+from .embeddings import op2_embeddings
 from .packing import op6_packing
 from .sharding import op9_sharding
+from .simhash import op3_simhash
 from .token_files import op10_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_embeddings": op2_embeddings,
+        "op3_simhash": op3_simhash,
         "op6_packing": op6_packing,
+        "op8_bpe": op8_bpe,
         "op9_sharding": op9_sharding,
         "op10_token_files": op10_token_files,
     }
