@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .tokens import encoder, vocabulary
+from .tokens import TOGETHER, encoder, vocabulary
 
 WINDOW = 2048
 #: Partially filled windows that a task holds at most.
@@ -127,17 +127,19 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, packer = encoder(tokenizer_path), SumOfSquares(TaskContext.get().partitionId() << 36, window, max_open)
+        encode, packer = encoder(tokenizer_path).encode, SumOfSquares(TaskContext.get().partitionId() << 36, window, max_open)
 
         def out() -> pa.RecordBatch:
             rows, packer.done = packer.done, []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc, string in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(doc, encode(string.as_py()) + end)
-            if packer.done:
-                yield out()
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                    packer.add(doc, ids + end)
+                if packer.done:
+                    yield out()
         packer.finish()
         if packer.done:
             yield out()

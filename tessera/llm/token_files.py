@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bucket, n_parts, shared_dir, splits, table
-from .tokens import encoder, vocabulary
+from .tokens import TOGETHER, encoder, vocabulary
 
 END_ID = 2
 #: Ids of a block; a document is never split, so a long one makes a longer block.
@@ -30,45 +30,43 @@ BLOCK_SCHEMA = "part int, block long, doc_ids binary, doc_nulls binary, lengths
 
 def encode_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unsigned 64-bit values -> (words, the place of the first word of every STRIDE values)."""
-    words, offsets, at = [], [], 0
-    for begin in range(0, len(values), STRIDE):
-        part = _encode(values[begin : begin + STRIDE])
-        offsets.append(at)
-        words.append(part)
-        at += len(part)
-    return (np.concatenate(words) if words else np.zeros(0, "<u8")), np.asarray(offsets, "<u4")
-
-
-def _encode(v: np.ndarray) -> np.ndarray:
-    v = v.astype("<u8")
+    v = values.astype("<u8")
     n = len(v)
-    place = np.arange(n)
+    if not n:
+        return np.zeros(0, "<u8"), np.zeros(0, "<u4")
+    place = np.arange(n, dtype=np.int32)
+    border = np.minimum((place // STRIDE + 1) * STRIDE, n).astype(np.int32)
     choice = np.full(n, ONE, dtype=np.int8)
-    for s in range(len(COUNTS) - 2, -1, -1):  # from the fewest ids to the most
-        wide = np.flatnonzero(v >> np.uint64(BITS[s])) if BITS[s] < 64 else np.zeros(0, int)
-        stop = np.full(n + 1, n)
-        stop[wide] = wide
-        run = np.minimum.accumulate(stop[::-1])[::-1][:n] - place
-        choice[run >= COUNTS[s]] = s
+    most = int(v.max())
+    for s in range(ONE - 1, -1, -1):  # from the fewest ids to the most
+        if most >> BITS[s]:
+            run = np.where(v >> np.uint64(BITS[s]) > 0, place, border)
+            run = np.minimum(np.minimum.accumulate(run[::-1])[::-1], border) - place
+        else:
+            run = border - place
+        fits = run >= COUNTS[s]
+        if not fits.any():
+            break  # more ids of fewer bits fit nowhere either
+        choice[fits] = s
     step = np.asarray((*COUNTS[:ONE], 1))[choice].tolist()
     starts, i = [], 0
     while i < n:
         starts.append(i)
         i += step[i]
-    starts = np.asarray(starts, dtype=np.int64)
-    chosen = choice[starts]
+    begin = np.asarray(starts, dtype=np.int64)
+    chosen = choice[begin]
     width = np.where(chosen == ONE, 2, 1)
     where = np.cumsum(width) - width
     out = np.zeros(int(width.sum()), "<u8")
-    for s in np.unique(chosen):
-        own, to = starts[chosen == s], where[chosen == s]
-        out[to] = np.uint64(int(s) << 60)
+    for s in np.unique(chosen).tolist():
+        own, to = begin[chosen == s], where[chosen == s]
+        word = np.full(len(own), s << 60, "<u8")
+        for j in range(COUNTS[s] if BITS[s] else 0):
+            word |= v[own + j] << np.uint64(j * BITS[s])
+        out[to] = word
         if s == ONE:
             out[to + 1] = v[own]
-        elif BITS[s]:
-            for j in range(COUNTS[s]):
-                out[to] |= v[own + j] << np.uint64(j * BITS[s])
-    return out
+    return out, where[np.flatnonzero(begin % STRIDE == 0)].astype("<u4")
 
 
 def decode_words(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
@@ -103,12 +101,13 @@ def decode_words(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 
 def encode_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """ids -> palette (the block's distinct ids, the most frequent first), offsets, words of places in the palette."""
-    distinct, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    words, offsets = encode_words(rank[inverse])
-    return distinct[order].astype("<u4").tobytes(), offsets.tobytes(), words.tobytes()
+    counts = np.bincount(ids)
+    distinct = np.flatnonzero(counts)
+    palette = distinct[np.argsort(-counts[distinct], kind="stable")]
+    rank = np.zeros(len(counts), np.int64)
+    rank[palette] = np.arange(len(palette))
+    words, offsets = encode_words(rank[ids])
+    return palette.astype("<u4").tobytes(), offsets.tobytes(), words.tobytes()
 
 
 def decode_block(palette: bytes, offsets: bytes, words: bytes, n: int) -> np.ndarray:
@@ -128,12 +127,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = encoder(tokenizer_path)
-        for batch in batches:
-            ids = [np.frombuffer(of(x.as_py()) + end, "<u4") for x in batch.column(2)]
-            small = [not len(x) or int(x.max()) < 1 << 16 for x in ids]
-            packed = [(x.astype("<u2") if s else x).tobytes() for x, s in zip(ids, small, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small), pa.array(packed, pa.binary())], names=["part", "doc_id", "small", "ids"])
+        of = encoder(tokenizer_path).encode
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                ids = [np.frombuffer(x + end, "<u4") for x in of(batch.column(2).to_pylist())]
+                small = [not len(x) or int(x.max()) < 1 << 16 for x in ids]
+                packed = [(x.astype("<u2") if s else x).tobytes() for x, s in zip(ids, small, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small), pa.array(packed, pa.binary())], names=["part", "doc_id", "small", "ids"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

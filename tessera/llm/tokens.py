@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, each white-space chunk encoded once a worker.
 
 The normaliser and the splitter of the word vocabulary act within white-space chunks (white space is
-dropped, no match crosses it), so a text's ids are its chunks' ids in order.
+dropped, no match crosses it), so a text's ids are its chunks' ids in order. A chunk of Latin letters and a
+mark is the word in lower case, one unit of the merges, and the mark.
 """
 
 from __future__ import annotations
@@ -12,46 +13,63 @@ import re
 import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
-#: A worker keeps the ids of this many chunks at most; later ones are encoded each time.
-CACHE_ENTRIES = 700_000
+#: A worker keeps the ids of this many chunks and of this many words at most; later ones are encoded each time.
+CACHE_CHUNKS = 400_000
+CACHE_WORDS = 500_000
 CACHE_CHARS = 48
+#: Texts whose ids are held at a time.
+TOGETHER = 500
 #: str.split() cuts at these, the vocabulary's splitter does not.
 _ODD = re.compile("[\x1c-\x1f]")
+#: The vocabulary splits a word of letters from the mark after it; these letters are lowered one by one.
+_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]?)")
 
 
-class _Chunks(dict):
+class Encoder(dict):
+    """White-space chunks -> their ids as little-endian unsigned 32-bit integers; plain words are kept apart from the mark after them."""
+
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.merge = self.tokenizer.model.tokenize
+        self.words: dict[str, bytes] = {}
+        self.marks = {x: self.library(x) for x in ("", *".,;:!?")}
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+    def library(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        """A plain word in lower case is one unit of the library's merges, which need its bytes' letters only."""
+        ids = self.words.get(word)
+        if ids is None:
+            unit = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = np.asarray([t.id for t in self.merge(unit)], "<u4").tobytes()
+            if len(self.words) < CACHE_WORDS and len(word) <= CACHE_CHARS:
+                self.words[word] = ids
+        return ids
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        if len(chunk) <= CACHE_CHARS and len(self) < CACHE_ENTRIES:
+        m = _PLAIN.fullmatch(chunk)
+        ids = self.word(m[1].lower()) + self.marks[m[2]] if m else self.library(chunk)
+        if len(self) < CACHE_CHUNKS and len(chunk) <= CACHE_CHARS:
             self[chunk] = ids
         return ids
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; null and empty ones have none."""
+        get = self.__getitem__
+        return [b"" if not t else self.library(t) if _ODD.search(t) else b"".join(map(get, t.split())) for t in texts]
 
-@functools.lru_cache(maxsize=2)
-def chunks(path: str) -> _Chunks:
-    return _Chunks(path)
-
-
-def encoder(path: str):
-    """text (null: empty) -> its ids as little-endian unsigned 32-bit integers."""
-    known = chunks(path)
-    get = known.__getitem__
 
-    def encode(text: str | None) -> bytes:
-        if not text:
-            return b""
-        return known.encode(text) if _ODD.search(text) else b"".join(map(get, text.split()))
-
-    return encode
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One a worker for a vocabulary file."""
+    return Encoder(path)
 
 
 def vocabulary(name: str = WORD_BPE) -> str:
