@@ -8,17 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
 from .embeddings import op2_embeddings
+from .line_dedup import op4_line_dedup
 from .packing import op6_packing
+from .pii import op5_pii
 from .sharding import op9_sharding
 from .simhash import op3_simhash
+from .sketch import op7_fingerprints
 from .token_files import op10_token_files
+from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_embeddings": op2_embeddings,
         "op3_simhash": op3_simhash,
+        "op4_line_dedup": op4_line_dedup,
+        "op5_pii": op5_pii,
         "op6_packing": op6_packing,
+        "op7_fingerprints": op7_fingerprints,
         "op8_bpe": op8_bpe,
         "op9_sharding": op9_sharding,
         "op10_token_files": op10_token_files,
@@ -26,4 +34,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    """None of the ten is expressible in SQL on whole tables; tests/llm holds them against brute force."""
     return {}

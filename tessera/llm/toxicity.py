@@ -249,7 +249,7 @@ def features(docs: DataFrame, lexicon: Lexicon, keep: list[tuple[str, str]], wei
                     out = pa.array(1 / (1 + np.exp(-np.clip(np.asarray(found) @ weights[:-1] + weights[-1], -30, 30))))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], out], names=[*(c for c, _ in keep), last.split()[0]])
 
-    return docs.select(*(c for c, _ in keep), "text").mapInArrow(run, schema)
+    return docs.select(*(c for c, _ in keep), F.col("text").alias("_tox_text")).mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
@@ -277,6 +277,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose text the model doesn't predict to be toxic, with the columns of docs."""
+    scored = features(docs, model.lexicon, docs.dtypes, model.weights)
+    return scored.where("score < 0.5").select(*docs.columns)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
