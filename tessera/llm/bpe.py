@@ -27,7 +27,7 @@ AHEAD_CHUNKS = 1 << 16
 AHEAD_BYTES = 64
 #: Rank maps are cut into so many parts by hash, since a map is searched from its start.
 PARTS = 1 << 13
-#: A worker keeps the ids of this many chunks at most; later ones are encoded each time.
+#: A worker keeps the ids of this many chunks, and of this many words, at most; later ones are encoded each time.
 CACHE_ENTRIES = 600_000
 
 
@@ -130,6 +130,8 @@ class _Encoder(dict):
         if ids is None:
             raw = word.encode()
             ids = np.asarray(fold_bytes(raw, self.ranks) if len(raw) <= 400 else self.long(raw), "<u4").tobytes()
+            if len(self.words) < CACHE_ENTRIES and len(raw) <= 48:
+                self.words[word] = ids
         return ids
 
     @functools.cached_property
