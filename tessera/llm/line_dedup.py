@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import functools
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,95 +12,226 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import table
+from .common import table, written
 
-#: A line ends at a line break, or after a mark: prose often has no line breaks.
-_END = re.compile(r"\n+|(?<=[.!?,;:])[ \t]+")
-#: A chunk has so many lines and code points at least; shorter ones repeat by chance.
-MIN_LINES, MIN_CHARS = 3, 50
+#: A chunk has so many lines and bytes at least; shorter ones repeat by chance.
+MIN_LINES, MIN_BYTES = 3, 50
 #: Ways to choose boundaries; a chunk of any of them counts.
 LAYERS = 2
-#: Code points on either side that are compared once a chunk has been found to repeat.
-CONTEXT = 400
-#: Occurrences of a chunk that one key compares; more are salted.
-SALT_ROWS = 2_000
-SEED = 42
-SPACE = " \t\n\r"
+#: Bytes on either side that are compared once a chunk has been found to repeat.
+CONTEXT = 256
+#: Occurrences of a chunk from which on they are dealt out, and chunks at most for which that is done, the most frequent ones.
+HOT_ROWS, HOT_CHUNKS = 1_000, 50_000
+#: Bits of the filter that says which hashes may repeat: what goes to every worker, whatever the input. More hashes
+#: only let more chunks through to the comparison.
+FILTER_BITS = 1 << 27
+#: Bytes of a text worked on at a time.
+SLICE = 1 << 20
+SPACE = b" \t\n\r\x0b\x0c"
+_BASE = 0x9E3779B97F4A7C15
+# 1: line break, 2: mark, 4: blank, 8: other white space
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[ord("\n")] = 1
+_CLASS[list(b".!?,;:")] = 2
+_CLASS[list(b" \t")] = 4
+_CLASS[list(b"\r\x0b\x0c")] = 8
 
 
-def chunks(text: str) -> list[tuple[int, int, int]]:
-    """(hash, start, end) of the distinct chunks of a text that are long enough.
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(n, base, "<u8")
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _ranges(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of each range of values that depends on its values alone, from the differences of one running sum."""
+    size = 1 << max(10, int(len(values)).bit_length())
+    power, inverse = _powers(size)
+    sums = np.zeros(len(values) + 1, "<u8")
+    np.cumsum(values * power[: len(values)], out=sums[1:])
+    return _mix((sums[stops] - sums[starts]) * inverse[starts])
+
+
+def _lines(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    b = np.frombuffer(raw, np.uint8)
+    kind = _CLASS[b]
+    after = kind == 1
+    after[:-1] |= (kind[:-1] == 2) & (kind[1:] == 4)
+    cuts = np.flatnonzero(after) + 1
+    begins, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(b)]])
+    solid = np.flatnonzero(kind & 13 == 0)
+    first, last = np.searchsorted(solid, begins), np.searchsorted(solid, stops)
+    some = first < last
+    starts, ends = solid[first[some]], solid[last[some] - 1] + 1
+    return starts, ends, _ranges(b.astype("<u8") + np.uint64(1), starts, ends)
+
+
+def lines(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the lines of UTF-8 bytes without white space around them; empty ones are left out.
+
+    A line ends at a line break, or after a mark before a blank: prose often has no line breaks.
+    """
+    found, at = [], 0
+    while at < len(raw):
+        size = SLICE
+        stop = len(raw)
+        while at + size < len(raw):  # slices end where lines do
+            stop = max(raw.rfind(b"\n", at, at + size), raw.rfind(b". ", at, at + size)) + 1
+            if stop > at:
+                break
+            size *= 2
+            stop = len(raw)
+        s, e, h = _lines(raw[at:stop])
+        found.append((s + at, e + at, h))
+        at = stop
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, "<u8"))
+
+
+def chunks(texts: list[bytes]) -> list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """For each text and layer: (hashes, starts, ends) of its chunks that are long enough, in order.
 
     A rolling hash over each line's hash and the one before it chooses about every other line's end as a
-    boundary, MIN_LINES apart at least: an insertion shifts the boundaries near it only.
+    boundary, MIN_LINES apart at least: an insertion shifts the boundaries near it only. Texts are put together
+    for the arithmetic; lines end where texts do.
     """
-    from xxhash import xxh64_intdigest as h
-
-    if len(text) < MIN_CHARS:
-        return []
-    ends = [m.end() for m in _END.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    if len(ends) < MIN_LINES:
-        return []
-    starts = [0, *ends[:-1]]
-    lines = [text[a:b].rstrip(SPACE) for a, b in zip(starts, ends, strict=True)]
-    hashes = np.fromiter((h(x, SEED) for x in lines), "<u8", len(lines))
-    rolled = hashes * np.uint64(0x9E3779B97F4A7C15)
-    rolled[1:] ^= hashes[:-1] * np.uint64(0xD6E8FEB86659FD93)
-    rolled ^= rolled >> np.uint64(29)
-    rolled *= np.uint64(0xBF58476D1CE4E5B9)
-    packed, found = hashes.tobytes(), {}
+    starts, ends, hashes = lines(b"\n".join(texts))
+    sizes = np.asarray([len(t) + 1 for t in texts])
+    offsets = np.cumsum(sizes) - sizes
+    of_text = np.searchsorted(starts, [*offsets, offsets[-1] + sizes[-1]]).tolist()  # a text's first line, and the end
+    rolled = hashes * np.uint64(_BASE)
+    joined = np.ones(len(hashes), bool)
+    joined[[x for x in of_text if x < len(hashes)]] = False
+    rolled[1:] ^= np.where(joined[1:], hashes[:-1], 0).astype("<u8") * np.uint64(0xD6E8FEB86659FD93)
+    rolled = _mix(rolled)
+    out: list[list] = [[] for _ in texts]
     for layer in range(LAYERS):
-        begin = 0
-        for i in (np.flatnonzero(rolled >> np.uint64(63 - layer) & np.uint64(1)) + 1).tolist() + [len(lines)]:
-            if i - begin >= MIN_LINES:
-                a = starts[begin]
-                b = starts[i - 1] + len(text[starts[i - 1] : ends[i - 1]].rstrip(SPACE))
-                if b - a >= MIN_CHARS and (a, b) not in found:
-                    found[a, b] = h(packed[8 * begin : 8 * i], SEED)
-                begin = i
-            elif i == len(lines):
-                break
-    return [(x - (1 << 64) if x >> 63 else x, a, b) for (a, b), x in found.items()]
+        cuts = np.flatnonzero(rolled >> np.uint64(63 - layer) & np.uint64(1)) + 1
+        begins, stops, counts, k = [], [], [], 0
+        cuts = [*cuts.tolist(), 1 << 62]
+        for n in range(len(texts)):
+            begin, last, before = of_text[n], of_text[n + 1], len(begins)
+            while cuts[k] <= last:
+                if cuts[k] - begin >= MIN_LINES:
+                    begins.append(begin)
+                    stops.append(cuts[k])
+                    begin = cuts[k]
+                k += 1
+            if last - begin >= MIN_LINES:
+                begins.append(begin)
+                stops.append(last)
+            counts.append(len(begins) - before)
+        x, y = np.asarray(begins, np.int64), np.asarray(stops, np.int64)
+        if not len(x):
+            continue
+        a, b, h = starts[x], ends[y - 1], _ranges(hashes, x, y).view("<i8")
+        at = 0
+        for n, c in enumerate(counts):
+            if c:
+                part = slice(at, at + c)
+                long = b[part] - a[part] >= MIN_BYTES
+                out[n].append((h[part][long], a[part][long] - offsets[n], b[part][long] - offsets[n]))
+            at += c
+    return out
 
 
-def _common(a: str, b: str) -> int:
-    """Code points at the beginning of both, up to the last whole word."""
+def groups(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows (doc, th, text) of a batch, some MB of texts at a time, and the texts' bytes."""
+    held, begin, total = [], 0, 0
+    for i in range(batch.num_rows):
+        held.append(batch.column(2)[i].as_py().encode("utf-8", "surrogatepass"))
+        total += len(held[-1])
+        if total >= size or i + 1 == batch.num_rows:
+            yield batch.slice(begin, i + 1 - begin), held
+            held, begin, total = [], i + 1, 0
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Bytes at the beginning of both, up to the last whole word."""
     n = len(os.path.commonprefix((a, b)))
-    while n and not (n == len(a) == len(b)) and not ((n == len(a) or a[n] in SPACE) and (n == len(b) or b[n] in SPACE)):
+    while n and not ((n == len(a) or a[n] in SPACE) and (n == len(b) or b[n] in SPACE)):
         n -= 1
     return n
 
 
-def matching(own: tuple[str, str, str], first: tuple[str, str, str]) -> tuple[int, int] | None:
-    """(before, after): how far two occurrences (text, what is before, what is after) agree around equal texts; None if the texts differ."""
+def matching(own: tuple[bytes, bytes, bytes], first: tuple[bytes, bytes, bytes]) -> tuple[int, int] | None:
+    """(before, after): how far two occurrences (bytes, what is before, what is after) agree around equal bytes; None if they differ."""
     if own[0] != first[0]:
         return None
     return _common(own[1][::-1], first[1][::-1]), _common(own[2], first[2])
 
 
 def cut(text: str, spans: list[tuple[int, int]], copy_share: float | None) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the spans, each with the white space after it; and the spans as cut.
+    """The text without the spans of its UTF-8 bytes, each with the white space after it; and the spans as cut, in code points.
 
     Where they make up copy_share of the text or more, nothing is cut: it is a copy, which is for the
     removal of whole documents to judge.
     """
+    raw = text.encode("utf-8", "surrogatepass")
     joined: list[list[int]] = []
     for a, b in sorted(spans):
-        while b < len(text) and text[b] in SPACE:
+        while b < len(raw) and raw[b] in SPACE:
             b += 1
         if joined and a <= joined[-1][1]:
             joined[-1][1] = max(joined[-1][1], b)
         else:
             joined.append([a, b])
-    if not joined or copy_share is not None and sum(b - a for a, b in joined) >= copy_share * len(text):
+    if not joined or copy_share is not None and sum(b - a for a, b in joined) >= copy_share * len(raw):
         return text, []
-    out, at = [], 0
+    out, away, at, place = [], [], 0, 0
     for a, b in joined:
-        out.append(text[at:a])
-        at = b
-    return "".join(out) + text[at:], [(a, b) for a, b in joined]
+        kept, gone = raw[at:a].decode("utf-8", "surrogatepass"), raw[a:b].decode("utf-8", "surrogatepass")
+        out.append(kept)
+        place += len(kept)
+        away.append((place, place + len(gone)))
+        place, at = place + len(gone), b
+    return "".join(out) + raw[at:].decode("utf-8", "surrogatepass"), away
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+OCCURRENCE = "h long, salt int, doc long, th int, a int, b int, bytes binary, before binary, after binary, local boolean"
+
+
+def repeated(rows: DataFrame) -> tuple[bytes, dict[int, int]]:
+    """What a worker must know of the chunks of (doc, th, text): the filter of hashes that repeat, and the hot ones' numbers of salts.
+
+    Both have a fixed greatest size. Counts are partially aggregated, so a hot chunk is a row a task.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for _, texts in groups(whole):
+                found: list[int] = []
+                for layers in chunks(texts):
+                    # a chunk of both layers is one
+                    found += {(a, b): h for hs, starts, ends in layers for h, a, b in zip(hs.tolist(), starts.tolist(), ends.tolist(), strict=True)}.values()
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
+
+    counts = rows.mapInArrow(find, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = written(counts)
+    bit = F.pmod(F.col("h"), F.lit(FILTER_BITS))
+    words = counts.select(F.shiftright(bit, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(h, {FILTER_BITS}) % 32 as int))").alias("x")).groupBy("w").agg(F.bit_or("x").alias("x"))
+    table_ = np.zeros(FILTER_BITS // 32, "<u4")
+    found = words.toPandas()
+    table_[found["w"].to_numpy(dtype=np.int64)] = found["x"].to_numpy(dtype=np.int64).astype("<u4")
+    hot = counts.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "h").limit(HOT_CHUNKS).collect()
+    return table_.tobytes(), {r["h"]: 1 + r["n"] // HOT_ROWS for r in hot}
 
 
 def dedup(docs: DataFrame, copy_share: float | None = None, text: str = "text") -> DataFrame:
@@ -111,73 +242,68 @@ def dedup(docs: DataFrame, copy_share: float | None = None, text: str = "text")
     nothing; rows of the same doc_id and text are one document; ties are broken by the text's hash; columns of docs
     beginning with `_ld_` are refused; no rows give none.
 
-    Only hashes and places of chunks are compared at first. Texts are dealt out once, by doc_id; then the texts of
-    repeated chunks go to their first occurrence, salted where a chunk is very common, and are compared as a stream.
+    Texts are read twice where they are, first for the hashes of their chunks, then for the chunks that may repeat.
+    Those meet by hash, in the order of (doc_id, place), and are compared as a stream; the occurrences of a hot chunk
+    are dealt out, compared with the first of their part, and those firsts with each other. What is to be cut goes to
+    the texts, which are dealt out once, by doc_id.
     """
     if clash := [c for c in docs.columns if c.startswith("_ld_")]:
         raise ValueError(f"columns {clash} are in the way")
+    spark = docs.sparkSession
     at = docs.columns.index(text)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                part = whole.slice(lo, 1000)
-                out: list[tuple] = []
-                for doc, th, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    out += [(x, doc, th, a, b) for x, a, b in chunks(t.as_py())]
-                if out:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "doc", "th", "a", "b"])
-
     keyed = docs.withColumn("_ld_doc", F.col("doc_id").cast("long")).withColumn("_ld_th", F.hash(text))
     rows = keyed.where(F.col("_ld_doc").isNotNull() & F.col(text).isNotNull()).select("_ld_doc", "_ld_th", text)
-    places = rows.mapInArrow(find, "h long, doc long, th int, a int, b int").repartition("h")
-    first = F.min(F.struct("doc", "th", "a", "b"))
-    shared = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).where("n > 1")
-    found = places.join(shared, "h")
-    is_first = F.expr("doc = first.doc and th = first.th and a = first.a and b = first.b")
-    salts = F.expr(f"cast(1 + n div {SALT_ROWS} as int)")
-    wanted = found.select("doc", "th", F.struct("h", "a", "b", is_first.alias("is_first"), salts.alias("salts"), F.expr("first.doc = doc and first.th = th").alias("same"), F.col("first.b").alias("first_b")).alias("w"))
-    wanted = wanted.groupBy("doc", "th").agg(F.collect_list("w").alias("_ld_wanted"))
-    # one exchange of the texts, which both joins use
-    dealt = keyed.repartition("_ld_doc", "_ld_th")
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "salt", "later", "doc", "th", "a", "b", "floor", "text", "before", "after"]
-        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    known = spark.sparkContext.broadcast(repeated(rows))
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hot = known.value
+        filter_ = np.frombuffer(bits, "<u4")
         for whole in batches:
-            for lo in range(0, whole.num_rows, 200):
-                part = whole.slice(lo, 200)
+            for part, texts in groups(whole):
                 out = []
-                for doc, th, t, ws in zip(part.column("_ld_doc").to_pylist(), part.column("_ld_th").to_pylist(), part.column(at).to_pylist(), part.column("_ld_wanted").to_pylist(), strict=True):
-                    for w in ws:
-                        a, b = w["a"], w["b"]
-                        row = (doc, th, a, b, w["first_b"] if w["same"] else 0, t[a:b], t[max(0, a - CONTEXT) : a], t[b : b + CONTEXT])
-                        if w["is_first"]:
-                            out += [(w["h"], s, False, *row) for s in range(w["salts"])]
-                        else:
-                            out.append((w["h"], (doc ^ a) % w["salts"], True, *row))
+                for doc, th, raw, layers in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, chunks(texts), strict=True):
+                    seen = set()
+                    for hashes, starts, ends in layers:
+                        bit = hashes % FILTER_BITS
+                        may = (filter_[bit >> 5] >> (bit & 31).astype("<u4") & 1).astype(bool)
+                        places = np.flatnonzero(may)
+                        for i, h, a, b in zip(places.tolist(), hashes[places].tolist(), starts[places].tolist(), ends[places].tolist(), strict=True):
+                            if (a, b) not in seen:
+                                seen.add((a, b))
+                                # what is around is needed only where the neighbouring chunk doesn't repeat
+                                before = b"" if i and may[i - 1] else raw[max(0, a - CONTEXT) : a]
+                                after = b"" if i + 1 < len(may) and may[i + 1] else raw[b : b + CONTEXT]
+                                salts = hot.get(h, 1)
+                                out.append((h, (doc ^ th) % salts, doc, th, a, b, raw[a:b], before, after, salts > 1))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    yield _batch(out, OCCURRENCE)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = held = None
+        """Rows in the order of (h, salt, doc, th, a): spans of those equal to the first, and of hot chunks the firsts again, for the second round."""
+        key = held = where = None
         for batch in batches:
             out = []
-            for h, salt, later, doc, th, a, b, floor, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not later:
-                    key, held = (h, salt), tuple(own)
-                elif key == (h, salt) and (m := matching(tuple(own), held)) is not None:
-                    out.append((doc, th, max(floor, a - m[0]), b + m[1]))
+            for h, salt, doc, th, a, b, *own, local in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = tuple(own)
+                if key != (h, salt):
+                    key, held, where = (h, salt), own, (doc, th, b)
+                    if local:
+                        out.append((h, 0, doc, th, a, b, *own, True))
+                elif (doc, th, b) == where:
+                    pass  # the same document again
+                elif (m := matching(own, held)) is not None:
+                    floor = where[2] if where[:2] == (doc, th) else 0
+                    out.append((h, -1, doc, th, max(floor, a - m[0]), b + m[1], b"", b"", b"", False))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], names=["doc", "th", "a", "b"])
-
-    on = (F.col("_ld_doc") == F.col("doc")) & (F.col("_ld_th") == F.col("th"))
-    occurrences = dealt.join(wanted, on).select(*keyed.columns, "_ld_wanted").mapInArrow(texts, "h long, salt int, later boolean, doc long, th int, a int, b int, floor int, text string, before string, after string")
-    # rows of one document that stand twice are compared once for each and give the same spans
-    same = occurrences.repartition("h", "salt").sortWithinPartitions("h", "salt", "later").mapInArrow(compare, "doc long, th int, a int, b int")
-    spans = same.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b")).alias("_ld_found"))
-    marked = dealt.join(spans, on, "left").select(*docs.columns, "_ld_found")
+                yield _batch(out, OCCURRENCE)
+
+    order = ["h", "salt", "doc", "th", "a"]
+    first = rows.mapInArrow(occurrences, OCCURRENCE).repartition("h", "salt").sortWithinPartitions(*order).mapInArrow(compare, OCCURRENCE)
+    first = written(first)
+    again = first.where("salt = 0").withColumn("local", F.lit(False)).repartition("h").sortWithinPartitions(*order).mapInArrow(compare, OCCURRENCE)
+    found = first.where("salt = -1").select("doc", "th", "a", "b").union(again.select("doc", "th", "a", "b"))
+    spans = found.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b")).alias("_ld_found"))
+    marked = keyed.join(spans, (F.col("_ld_doc") == F.col("doc")) & (F.col("_ld_th") == F.col("th")), "left").select(*docs.columns, "_ld_found")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
