@@ -129,8 +129,12 @@ def term_search(relations: DataFrame, terms: list[str]) -> DataFrame:
 def word_grams(text: str | Column, most_words: int) -> Column:
     """All runs of one to `most_words` words of a text in lower case."""
     words = F.filter(F.split(F.lower(T.col(text)), "[^\\p{L}\\p{N}#]+"), lambda w: w != "")
-    runs = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i, n=n: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, most_words + 1)]
-    return F.array_distinct(F.concat(*runs))
+
+    def runs(n: int) -> Column:
+        of = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+        return F.when(F.size(words) >= n, of).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[runs(n) for n in range(1, most_words + 1)]))
 
 
 def mentions(questions: DataFrame, aliases: DataFrame, words: bool = False, most_words: int = 4) -> DataFrame:

@@ -24,5 +24,5 @@ def ingest_stream(engine: Engine, documents: DataFrame, checkpoint: str, once: b
 
 def windowed_counts(spark: SparkSession, folder: str, schema: str, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Events (ts, event_type, value) of a folder counted by hour and type; those later than the watermark are dropped."""
-    events = spark.readStream.schema(schema).parquet(folder)
+    events = spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
