@@ -157,9 +157,9 @@ def groups(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[tuple[pa.Record
 
 
 def _common(a: bytes, b: bytes) -> int:
-    """Bytes at the beginning of both, up to the last whole word."""
+    """Bytes at the beginning of both, up to the last whole word; a side shorter than CONTEXT ends with its text."""
     n = len(os.path.commonprefix((a, b)))
-    while n and not ((n == len(a) or a[n] in SPACE) and (n == len(b) or b[n] in SPACE)):
+    while n and not all(x[n] in SPACE if n < len(x) else n < CONTEXT for x in (a, b)):
         n -= 1
     return n
 
@@ -270,9 +270,9 @@ def dedup(docs: DataFrame, copy_share: float | None = None, text: str = "text")
                         for i, h, a, b in zip(places.tolist(), hashes[places].tolist(), starts[places].tolist(), ends[places].tolist(), strict=True):
                             if (a, b) not in seen:
                                 seen.add((a, b))
-                                # what is around is needed only where the neighbouring chunk doesn't repeat
-                                before = b"" if i and may[i - 1] else raw[max(0, a - CONTEXT) : a]
-                                after = b"" if i + 1 < len(may) and may[i + 1] else raw[b : b + CONTEXT]
+                                # what is around is needed only where no chunk that repeats comes next
+                                before = b"" if i and may[i - 1] and a - ends[i - 1] <= 2 else raw[max(0, a - CONTEXT) : a]
+                                after = b"" if i + 1 < len(may) and may[i + 1] and starts[i + 1] - b <= 2 else raw[b : b + CONTEXT]
                                 salts = hot.get(h, 1)
                                 out.append((h, (doc ^ th) % salts, doc, th, a, b, raw[a:b], before, after, salts > 1))
                 if out:
