@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import vectors as V
-from .operators import chunking, graph, metrics, resolve, retrieval, vectors
-from .sources import store, tables
+from .operators import chunking, graph, metrics, resolve, retrieval, slots, vectors
+from .sources import corpus, store, tables
 from .sources.tables import key, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -573,6 +573,60 @@ def entity_texts(spark, d):
     return table(spark, d, "part").select("p_partkey", *[T.entity_text("p_name", "p_type", none, s).alias(s) for s in ("fabric", "plain", "labelled")])
 
 
+@query(f"with {ENT}, {LOC}, v as (select least(s.name, t.name) as u, greatest(s.name, t.name) as v, relationship, l.description, source_id||'>'||target_id as o from loc l join ent s on s.id = source_id join ent t on t.id = target_id) select u, v, arg_max(relationship, o) as relationship, arg_max(description, o) as description from v group by 1, 2")
+def name_graph_view(spark, d):
+    names = tables.entities(spark, d).select("id", "name")
+    rows = retrieval.named(retrieval.named(tables.located(spark, d).withColumn("o", F.concat("source_id", F.lit(">"), "target_id")), names, "source_id", "s"), names, "target_id", "t")
+    last = graph.simple_edges(rows.select(F.col("s").alias("source_id"), F.col("t").alias("target_id"), "relationship", "description", "o"), "o")
+    return last.select("u", "v", "last.relationship", "last.description")
+
+
+@query(f"with {REL}, c as (select lower(relationship) as relationship, count(*) as n from rel group by 1) select relationship, round(0.2 * (2.0 - n / (select max(n) from c)), 9) as weight from c")
+def relation_weights(spark, d):
+    return slots.relation_weights(tables.relations(spark, d)).withColumn("weight", F.round("weight", 9))
+
+
+@query(f"""with {RAW}, x as (select replace(lower('Supplies  Part'), ' ', '') as k, 'SUPPLIES' as c union all select 'ships', 'SHIPS') select ord, coalesce(c, relationship) as canonical from raw left join x on k = replace(lower(relationship), ' ', '')""")
+def canonical_labels(spark, d):
+    lexicon = spark.createDataFrame([("Supplies  Part", "SUPPLIES"), ("ships", "SHIPS")], "label string, canonical string")
+    return slots.canonical_labels(tables.raw_relations(spark, d), lexicon).select("ord", "canonical")
+
+
+@query("with k as (select p_brand as canonical, p_type as v from part where p_partkey % 2 = 0 union select p_brand, p_name from part where p_partkey % 2 = 1) select canonical, string_agg(distinct v, '|' order by v) as variants from k group by 1")
+def alias_dictionary_merge(spark, d):
+    part = table(spark, d, "part")
+    known = part.where("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("canonical")).agg(F.collect_set("p_type").alias("variants"))
+    fresh = part.where("p_partkey % 2 = 1").groupBy(F.col("p_brand").alias("name")).agg(F.collect_set("p_name").alias("aliases"))
+    return corpus.merge_alias_dictionary(known, fresh).withColumn("variants", joined("variants"))
+
+
+@query("select c_custkey as id, case when c_custkey % 3 = 0 then 'v'||c_custkey else 'old' end as embedding from customer")
+def embedding_update(spark, d):
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("old").alias("embedding"))
+    new = rows.where("id % 3 = 0").select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("vector"))
+    return rows.join(new, "id", "left").select("id", F.coalesce("vector", "embedding").alias("embedding"))
+
+
+@query(f"""with {LOC}, deg as (select node, count(*) as degree from (select least(source_id, target_id) as node, greatest(source_id, target_id) as o from loc union all select greatest(source_id, target_id), least(source_id, target_id) from loc) group by 1) select node, degree from deg""")
+def node_degrees(spark, d):
+    return graph.degrees(graph.simple_edges(tables.located(spark, d)))
+
+
+@query("select doc_id, cast(len(list_filter(regexp_split_to_array(text, '\\n+'), lambda x: x <> '')) as int) as n from documents")
+def paragraph_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(T.paragraphs("text")).alias("n"))
+
+
+@query(f"""with {ENT}, {REL}, m as (select (select count(*) from ent) as e, (select count(*) from rel) as r), {MEMBER}, lk as (select distinct least(source_id, target_id) as u, greatest(source_id, target_id) as v from loc), {INNER},
+  c as (select s.community, 2.0 * coalesce(x.e, 0) / (size * (size - 1)) as density from (select community, count(*) as size from mem group by 1 having count(*) >= 2) s left join (select community, count(*) as e from inn group by 1) x using (community)),
+  g as (select count(*) as communities, avg(density) as md from c)
+  select e as entity_count, r as relationship_count, round(r / e, 2) as avg_relationship_degree, 1.0::double as coverage, communities, round(md, 3) as community_density,
+    round(least(1.0, 0.5 * least(1.0, round(r / e, 2) / 5) + 0.3 + 0.2 * least(1.0, 0.6 + 0.4 * md)), 2) as health_score from m, g""")
+def health_report(spark, d):
+    shape = graph.community_metrics(graph.simple_edges(tables.located(spark, d)), _membership(spark, d))
+    return metrics.health_report(metrics.snapshot_metrics(tables.entities(spark, d), tables.relations(spark, d)), table(spark, d, "events"), shape)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """A question that names nations: focus entities, their neighbours, scores, the ten best."""
     entities, relations = tables.entities(spark, d), tables.located(spark, d)

@@ -55,3 +55,11 @@ def read_map_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """(key, vector) of a JSON file with one object of embeddings by key."""
     whole = spark.read.schema("embeddings map<string,array<float>>").json(path, multiLine=True)
     return whole.select(F.explode("embeddings").alias("key", "vector"))
+
+
+def read_knowledge_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) of a JSON file with a list of each."""
+    entity = "struct<id:string,name:string,type:string,description:string,aliases:array<string>>"
+    relation = "struct<id:string,source_id:string,target_id:string,source:string,target:string,relationship:string,description:string>"
+    whole = spark.read.schema(f"entities array<{entity}>, relationships array<{relation}>").json(path, multiLine=True)
+    return tuple(whole.select(F.explode(c).alias("x")).select("x.*") for c in ("entities", "relationships"))
