@@ -231,3 +231,19 @@ def qa_context(found: DataFrame, relations: DataFrame) -> DataFrame:
     ids = found.select("id")
     touching = relations.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").unionByName(relations.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")).distinct()
     return lines.union(touching.select(F.lit("relation"), F.concat("source", F.lit(" -"), "relationship", F.lit("-> "), "target")))
+
+
+def answer_questions(questions: DataFrame, aliases: DataFrame, names: DataFrame, entities: DataFrame, relations: DataFrame, weight: float = 0.5, limit: int = 10, words: bool = False) -> DataFrame:
+    """(question_id, place, source_name, relationship, target_name, description, score): the best relations of each question's focus entities.
+
+    All questions at once: focus entities by alias or name, their relations from either end, scores with the focus
+    names as aliases, and the `limit` best of each question.
+    """
+    focus = focus_entities(questions, aliases, names, words=words)
+    one = named(focus.select("question_id", F.explode("focus_ids").alias("focus_id")), entities, "focus_id", "focus_name")
+    lower = focus.join(one.groupBy("question_id").agg(F.collect_set(F.lower("focus_name")).alias("aliases")), "question_id").select("question_id", "aliases")
+    near = named(neighbours(entities, relations).join(one, "focus_id"), entities, "other_id", "target_name").join(lower, "question_id")
+    score = T.evidence_score(F.lit(weight), "relationship", "focus_name", "target_name", "aliases", F.lit(0))
+    rows = near.select("question_id", F.col("focus_name").alias("source_name"), "relationship", "target_name", "description", score.alias("score")).distinct()
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "source_name", "target_name", "relationship", "description"))
+    return rows.withColumn("place", place).where(F.col("place") <= limit)

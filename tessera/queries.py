@@ -627,6 +627,16 @@ def health_report(spark, d):
     return metrics.health_report(metrics.snapshot_metrics(tables.entities(spark, d), tables.relations(spark, d)), table(spark, d, "events"), shape)
 
 
+@query(f"""with {QS}, {ENT}, {LOC}, nm as (select lower(n_name) as alias, 'nation:'||n_nationkey as id, n_nationkey as pos from nation), a as (select question_id, id, min(pos) as pos from qs join nm on contains(lower(text), alias) group by 1, 2),
+  f as (select question_id, id from (select *, row_number() over (partition by question_id order by pos, id) as place from a) where place <= 3), near as (select source_id as f, target_id as o, relationship, description from loc union all select target_id, source_id, relationship, description from loc),
+  al as (select question_id, list(lower(name)) as names from f join ent using (id) group by 1),
+  ev as (select distinct f.question_id, s.name as source_name, relationship, t.name as target_name, n.description, round(0.5 + 0.1 + case when list_contains(names, lower(t.name)) then 0.1 else 0.0 end, 3) as score from f join near n on n.f = f.id join ent s on s.id = f.id join ent t on t.id = n.o join al using (question_id))
+  select * from (select *, row_number() over (partition by question_id order by score desc, source_name, target_name, relationship, description) as place from ev) where place <= 10""")
+def batch_answers(spark, d):
+    index = table(spark, d, "nation").select(F.col("n_name").alias("alias"), key("nation", "n_nationkey").alias("entity_id"), F.col("n_nationkey").alias("pos"))
+    return retrieval.answer_questions(_questions(spark, d), index, index, tables.entities(spark, d), tables.located(spark, d))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """A question that names nations: focus entities, their neighbours, scores, the ten best."""
     entities, relations = tables.entities(spark, d), tables.located(spark, d)
