@@ -1,9 +1,10 @@
-"""Line dedup: content-defined chunks of lines; those that repeat anywhere are removed after byte comparison."""
+"""Line dedup: runs of words that stand earlier, met by content-defined anchors, are removed after byte comparison."""
 
 from __future__ import annotations
 
 import functools
-import os
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,20 +15,23 @@ from pyspark.sql.types import ArrayType, StructType
 
 from .common import table, written
 
-#: A chunk has so many lines and bytes at least; shorter ones repeat by chance.
-MIN_LINES, MIN_BYTES = 3, 50
-#: Ways to choose boundaries; a chunk of any of them counts.
-LAYERS = 2
-#: Bytes on either side that are compared once a chunk has been found to repeat.
-CONTEXT = 256
-#: Occurrences of a chunk from which on they are dealt out, and chunks at most for which that is done, the most frequent ones.
+#: Every run of so many words that stands earlier is cut, with what its neighbours add to it; shorter ones repeat by chance.
+MIN_WORDS = 25
+#: Words of an anchor. In each window of MIN_WORDS words the anchor of the smallest hash is taken, so that equal windows
+#: hold an equal anchor, wherever they stand.
+ANCHOR = 10
+#: Occurrences of an anchor from which on they are dealt out, and anchors at most for which that is done, the most frequent ones.
 HOT_ROWS, HOT_CHUNKS = 1_000, 50_000
-#: Bits of the filter that says which hashes may repeat: what goes to every worker, whatever the input. More hashes
-#: only let more chunks through to the comparison.
+#: Bits of the filter that says which hashes may repeat: what goes to every worker, whatever the input. A hash that isn't
+#: in it stands once; a false hit makes more rows to compare and changes no result.
 FILTER_BITS = 1 << 27
+#: Bits of the filter in a row.
+PAGE = 1 << 15
 #: Bytes of a text worked on at a time.
 SLICE = 1 << 20
 SPACE = b" \t\n\r\x0b\x0c"
+#: A word: a CJK character (U+3000 to U+9FFF), or other bytes without white space.
+WORD = re.compile(rb"[\xe3-\xe9]..|[^\s\xe3-\xe9]+", re.DOTALL)
 _BASE = 0x9E3779B97F4A7C15
 # 1: line break, 2: mark, 4: blank, 8: other white space
 _CLASS = np.zeros(256, np.uint8)
@@ -98,50 +102,79 @@ def lines(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, "<u8"))
 
 
-def chunks(texts: list[bytes]) -> list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """For each text and layer: (hashes, starts, ends) of its chunks that are long enough, in order.
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    b = np.frombuffer(raw, np.uint8)
+    solid = _CLASS[b] & 13 == 0
+    begin = solid.copy()
+    begin[1:] &= ~solid[:-1]
+    wide = (b >= 0xE3) & (b <= 0xE9)
+    if wide.any():
+        begin |= wide
+        begin[3:] |= wide[:-3] & solid[3:] & (b[3:] & 0xC0 != 0x80)
+    final = solid.copy()
+    final[:-1] &= ~solid[1:] | begin[1:]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(final) + 1
+    return starts, ends, _ranges(b.astype("<u8") + np.uint64(1), starts, ends)
+
+
+def words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the words of UTF-8 bytes."""
+    found, at = [], 0
+    while at < len(raw):
+        size = SLICE
+        stop = len(raw)
+        while at + size < len(raw):  # slices end where words do
+            stop = max(raw.rfind(b"\n", at, at + size), raw.rfind(b" ", at, at + size)) + 1
+            if stop > at:
+                break
+            size *= 2
+            stop = len(raw)
+        s, e, h = _words(raw[at:stop])
+        found.append((s + at, e + at, h))
+        at = stop
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, "<u8"))
+
+
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each `width` values that follow each other, the first of equal ones."""
+    at, step = np.arange(len(h)), 1
 
-    A rolling hash over each line's hash and the one before it chooses about every other line's end as a
-    boundary, MIN_LINES apart at least: an insertion shifts the boundaries near it only. Texts are put together
-    for the arithmetic; lines end where texts do.
+    def better(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.where(h[y] < h[x], y, x)
+
+    while 2 * step <= width:
+        at = better(at[:-step], at[step:])
+        step *= 2
+    return better(at[: len(at) - (width - step)], at[width - step :]) if width > step else at
+
+
+def chunks(texts: list[bytes]) -> list[list[tuple[np.ndarray, ...]]]:
+    """For each text: (hashes, lows, highs) of its anchors and (starts, ends) of its words.
+
+    Anchors are runs of ANCHOR words; a window of MIN_WORDS words belongs to the one in it with the smallest hash. The
+    windows of an anchor begin with the words low .. high - MIN_WORDS, so each window is in one anchor's words only.
+    Texts are put together for the arithmetic; words end where texts do.
     """
-    starts, ends, hashes = lines(b"\n".join(texts))
+    starts, ends, hashes = words(b"\n".join(texts))
     sizes = np.asarray([len(t) + 1 for t in texts])
     offsets = np.cumsum(sizes) - sizes
-    of_text = np.searchsorted(starts, [*offsets, offsets[-1] + sizes[-1]]).tolist()  # a text's first line, and the end
-    rolled = hashes * np.uint64(_BASE)
-    joined = np.ones(len(hashes), bool)
-    joined[[x for x in of_text if x < len(hashes)]] = False
-    rolled[1:] ^= np.where(joined[1:], hashes[:-1], 0).astype("<u8") * np.uint64(0xD6E8FEB86659FD93)
-    rolled = _mix(rolled)
-    out: list[list] = [[] for _ in texts]
-    for layer in range(LAYERS):
-        cuts = np.flatnonzero(rolled >> np.uint64(63 - layer) & np.uint64(1)) + 1
-        begins, stops, counts, k = [], [], [], 0
-        cuts = [*cuts.tolist(), 1 << 62]
-        for n in range(len(texts)):
-            begin, last, before = of_text[n], of_text[n + 1], len(begins)
-            while cuts[k] <= last:
-                if cuts[k] - begin >= MIN_LINES:
-                    begins.append(begin)
-                    stops.append(cuts[k])
-                    begin = cuts[k]
-                k += 1
-            if last - begin >= MIN_LINES:
-                begins.append(begin)
-                stops.append(last)
-            counts.append(len(begins) - before)
-        x, y = np.asarray(begins, np.int64), np.asarray(stops, np.int64)
-        if not len(x):
-            continue
-        a, b, h = starts[x], ends[y - 1], _ranges(hashes, x, y).view("<i8")
-        at = 0
-        for n, c in enumerate(counts):
-            if c:
-                part = slice(at, at + c)
-                long = b[part] - a[part] >= MIN_BYTES
-                out[n].append((h[part][long], a[part][long] - offsets[n], b[part][long] - offsets[n]))
-            at += c
+    of_text = np.searchsorted(starts, [*offsets, offsets[-1] + sizes[-1]])  # a text's first word, and the end
+    low = high = np.zeros(0, np.int64)
+    h = np.zeros(0, "<u8")
+    if len(starts) >= MIN_WORDS:
+        first = np.arange(len(starts) - ANCHOR + 1)
+        h = _ranges(hashes, first, first + ANCHOR)
+        anchor = _least(h, MIN_WORDS - ANCHOR + 1)
+        last = np.repeat(of_text[1:], np.diff(of_text))[: len(anchor)]
+        windows = np.flatnonzero(np.arange(len(anchor)) + MIN_WORDS <= last)  # the others go on in the next text
+        if len(windows):
+            change = np.flatnonzero(np.diff(anchor[windows])) + 1
+            low, high = windows[np.concatenate([[0], change])], windows[np.concatenate([change - 1, [-1]])] + MIN_WORDS
+            h = h[anchor[low]]
+    parts = np.searchsorted(low, of_text)
+    out: list[list] = []
+    for at, a, b, c, d in zip(offsets.tolist(), of_text.tolist(), of_text[1:].tolist(), parts.tolist(), parts[1:].tolist(), strict=False):
+        out.append([(h[c:d].view("<i8"), low[c:d] - a, high[c:d] - a), (starts[a:b] - at, ends[a:b] - at)])
     return out
 
 
@@ -156,27 +189,63 @@ def groups(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[tuple[pa.Record
             held, begin, total = [], i + 1, 0
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Bytes at the beginning of both, up to the last whole word; a side shorter than CONTEXT ends with its text."""
-    n = len(os.path.commonprefix((a, b)))
-    while n and not all(x[n] in SPACE if n < len(x) else n < CONTEXT for x in (a, b)):
-        n -= 1
-    return n
-
-
-def matching(own: tuple[bytes, bytes, bytes], first: tuple[bytes, bytes, bytes]) -> tuple[int, int] | None:
-    """(before, after): how far two occurrences (bytes, what is before, what is after) agree around equal bytes; None if they differ."""
-    if own[0] != first[0]:
-        return None
-    return _common(own[1][::-1], first[1][::-1]), _common(own[2], first[2])
-
-
-def cut(text: str, spans: list[tuple[int, int]], copy_share: float | None) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the spans of its UTF-8 bytes, each with the white space after it; and the spans as cut, in code points.
-
-    Where they make up copy_share of the text or more, nothing is cut: it is a copy, which is for the
-    removal of whole documents to judge.
-    """
+class Windows:
+    """The windows of MIN_WORDS words met so far, by key, with the place of the first; what is given next comes later in the order of (doc, th, a)."""
+
+    def __init__(self) -> None:
+        self.whole: dict[bytes, tuple] = {}
+        self.first: dict[bytes, tuple] = {}
+
+    def spans(self, doc: int, th: int, size: int, a: int, text: bytes) -> tuple[list[tuple], list[tuple]]:
+        """The spans (a, b) of text, which begins at byte a of a document, that stand earlier, with (doc, th, size, a) of where; and (window, place) of those that are new."""
+        own = (doc, th, size, a)
+        was = self.whole.setdefault(text, own)
+        if was[:2] != own[:2]:
+            return [(a, a + len(text), *was)], []
+        spans: list[list] = []
+        new = []
+        found = [m.span() for m in WORD.finditer(text)]
+        for (low, _), (_, high) in zip(found, found[MIN_WORDS - 1 :], strict=False):
+            key, here = text[low:high], (doc, th, size, a + low)
+            was = self.first.setdefault(key, here)
+            if was is here:
+                new.append((key, here))
+            elif span := later(*here, a + high, was):
+                if spans and span[0] <= spans[-1][1] and spans[-1][2:5] == span[2:5] and spans[-1][0] - spans[-1][5] == span[0] - span[5]:
+                    spans[-1][1] = max(spans[-1][1], span[1])
+                else:
+                    spans.append(list(span))
+        return [tuple(x) for x in spans], new
+
+
+def later(doc: int, th: int, size: int, a: int, b: int, was: tuple) -> tuple | None:
+    """(a, b, doc, th, size, a of the first) of an occurrence as far as it lies after the first; None if it is the first or inside it."""
+    if was[:2] == (doc, th):
+        low = max(a, was[3] + b - a)
+        return (low, b, *was[:3], was[3] + low - a) if low < b and a != was[3] else None
+    return (a, b, *was)
+
+
+def copied(spans: list[tuple], doc: int, th: int, size: int, share: float) -> bool:
+    """Whether a document of size bytes is a copy of one other document: all spans (a, b, doc, th, size, a there) come from that, and make up `share` of both texts."""
+
+    def covered(ranges: list[tuple[int, int]]) -> int:
+        total = end = 0
+        for a, b in sorted(ranges):
+            total += max(0, b - max(a, end))
+            end = max(end, b)
+        return total
+
+    origin = {x[2:5] for x in spans}
+    if len(origin) != 1:
+        return False
+    ((other, its_th, its_size),) = origin
+    here, there = covered([x[:2] for x in spans]), covered([(x[5], x[5] + x[1] - x[0]) for x in spans])
+    return (other, its_th) != (doc, th) and here >= share * size and there >= share * its_size
+
+
+def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """The text without the spans of its UTF-8 bytes, each with the white space after it; and the spans as cut, in code points."""
     raw = text.encode("utf-8", "surrogatepass")
     joined: list[list[int]] = []
     for a, b in sorted(spans):
@@ -186,8 +255,6 @@ def cut(text: str, spans: list[tuple[int, int]], copy_share: float | None) -> tu
             joined[-1][1] = max(joined[-1][1], b)
         else:
             joined.append([a, b])
-    if not joined or copy_share is not None and sum(b - a for a, b in joined) >= copy_share * len(raw):
-        return text, []
     out, away, at, place = [], [], 0, 0
     for a, b in joined:
         kept, gone = raw[at:a].decode("utf-8", "surrogatepass"), raw[a:b].decode("utf-8", "surrogatepass")
@@ -204,53 +271,67 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
-OCCURRENCE = "h long, salt int, doc long, th int, a int, b int, bytes binary, before binary, after binary, local boolean"
+OCCURRENCE = "h long, salt int, doc long, th int, size int, a int, bytes binary, local boolean"
+#: A span that stands earlier, and where; or a window, by its digest (d, e), that is the first of its part.
+FOUND = "d long, e long, doc long, th int, size int, a int, b int, doc0 long, th0 int, size0 int, a0 int, again boolean"
 
 
 def repeated(rows: DataFrame) -> tuple[bytes, dict[int, int]]:
-    """What a worker must know of the chunks of (doc, th, text): the filter of hashes that repeat, and the hot ones' numbers of salts.
+    """What a worker must know of the anchors of (doc, th, text): the filter of hashes that repeat, and the hot ones' numbers of salts.
 
-    Both have a fixed greatest size. Counts are partially aggregated, so a hot chunk is a row a task.
+    Both have a fixed greatest size. Counts are partially aggregated, so a hot anchor is a row a task.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for _, texts in groups(whole):
                 found: list[int] = []
-                for layers in chunks(texts):
-                    # a chunk of both layers is one
-                    found += {(a, b): h for hs, starts, ends in layers for h, a, b in zip(hs.tolist(), starts.tolist(), ends.tolist(), strict=True)}.values()
+                for (hashes, _, _), _ in chunks(texts):
+                    found += hashes.tolist()
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
 
     counts = rows.mapInArrow(find, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = written(counts)
-    bit = F.pmod(F.col("h"), F.lit(FILTER_BITS))
-    words = counts.select(F.shiftright(bit, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(h, {FILTER_BITS}) % 32 as int))").alias("x")).groupBy("w").agg(F.bit_or("x").alias("x"))
-    table_ = np.zeros(FILTER_BITS // 32, "<u4")
-    found = words.toPandas()
-    table_[found["w"].to_numpy(dtype=np.int64)] = found["x"].to_numpy(dtype=np.int64).astype("<u4")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bit = np.sort(batch.column(0).to_numpy() % FILTER_BITS)
+            pages, starts = np.unique(bit // PAGE, return_index=True)
+            for page, own in zip(pages.tolist(), np.split(bit % PAGE, starts[1:]), strict=True):
+                np.bitwise_or.at(held.setdefault(page, np.zeros(PAGE // 32, "<u4")), own >> 5, np.uint32(1) << (own & 31).astype("<u4"))
+        if held:
+            yield _batch([(page, x.tobytes()) for page, x in held.items()], "page long, bits binary")
+
+    table_ = bytearray(max(FILTER_BITS, PAGE) // 8)
+    by_page = counts.select("h").repartition(F.floor(F.pmod("h", F.lit(FILTER_BITS)) / PAGE))
+    for r in by_page.mapInArrow(fill, "page long, bits binary").toLocalIterator():
+        table_[r["page"] * PAGE // 8 : (r["page"] + 1) * PAGE // 8] = r["bits"]
     hot = counts.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "h").limit(HOT_CHUNKS).collect()
-    return table_.tobytes(), {r["h"]: 1 + r["n"] // HOT_ROWS for r in hot}
+    return bytes(table_), {r["h"]: 1 + r["n"] // HOT_ROWS for r in hot}
 
 
 def dedup(docs: DataFrame, copy_share: float | None = None, text: str = "text") -> DataFrame:
-    """docs with every chunk that repeats cut out of its text, but for its first occurrence by (doc_id, place).
+    """docs with every run of MIN_WORDS words or more that stands earlier by (doc_id, place) cut out of its text, whole.
 
     Adds _ld_spans, array of (a, b), what was cut, in code points. Every cut is byte for byte in a document before, or
     earlier in the same one. Null, empty and short texts stay; so do rows with a null doc_id, which count for
     nothing; rows of the same doc_id and text are one document; ties are broken by the text's hash; columns of docs
-    beginning with `_ld_` are refused; no rows give none.
-
-    Texts are read twice where they are, first for the hashes of their chunks, then for the chunks that may repeat.
-    Those meet by hash, in the order of (doc_id, place), and are compared as a stream; the occurrences of a hot chunk
-    are dealt out, compared with the first of their part, and those firsts with each other. What is to be cut goes to
-    the texts, which are dealt out once, by doc_id.
+    beginning with `_ld_` are refused; no rows give none. With copy_share, texts that are copies of one other
+    document (`copied`) stay whole, for the removal of whole documents to judge.
+
+    Texts are read twice where they are, first for the hashes of their anchors, then for the anchors that may repeat,
+    each with the words of its windows. Those meet by hash, in the order of (doc_id, place), and the
+    windows' bytes are compared as a stream, each with all before it; the occurrences of a hot anchor are dealt
+    out, and the first windows of each part meet again by a digest of 128 bits. What is to be cut goes to the texts,
+    which are dealt out once, by doc_id.
     """
     if clash := [c for c in docs.columns if c.startswith("_ld_")]:
         raise ValueError(f"columns {clash} are in the way")
     spark = docs.sparkSession
-    at = docs.columns.index(text)
+    columns = docs.columns
+    at = columns.index(text)
     keyed = docs.withColumn("_ld_doc", F.col("doc_id").cast("long")).withColumn("_ld_th", F.hash(text))
     rows = keyed.where(F.col("_ld_doc").isNotNull() & F.col(text).isNotNull()).select("_ld_doc", "_ld_th", text)
     known = spark.sparkContext.broadcast(repeated(rows))
@@ -261,62 +342,66 @@ def dedup(docs: DataFrame, copy_share: float | None = None, text: str = "text")
         for whole in batches:
             for part, texts in groups(whole):
                 out = []
-                for doc, th, raw, layers in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, chunks(texts), strict=True):
-                    seen = set()
-                    for hashes, starts, ends in layers:
-                        bit = hashes % FILTER_BITS
-                        may = (filter_[bit >> 5] >> (bit & 31).astype("<u4") & 1).astype(bool)
-                        places = np.flatnonzero(may)
-                        for i, h, a, b in zip(places.tolist(), hashes[places].tolist(), starts[places].tolist(), ends[places].tolist(), strict=True):
-                            if (a, b) not in seen:
-                                seen.add((a, b))
-                                # what is around is needed only where no chunk that repeats comes next
-                                before = b"" if i and may[i - 1] and a - ends[i - 1] <= 2 else raw[max(0, a - CONTEXT) : a]
-                                after = b"" if i + 1 < len(may) and may[i + 1] and starts[i + 1] - b <= 2 else raw[b : b + CONTEXT]
-                                salts = hot.get(h, 1)
-                                out.append((h, (doc ^ th) % salts, doc, th, a, b, raw[a:b], before, after, salts > 1))
+                for doc, th, raw, ((hashes, lows, highs), (starts, ends)) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, chunks(texts), strict=True):
+                    bit = hashes % FILTER_BITS
+                    may = (filter_[bit >> 5] >> (bit & 31).astype("<u4") & 1).astype(bool)
+                    for h, a, b in zip(hashes[may].tolist(), starts[lows[may]].tolist(), ends[highs[may] - 1].tolist(), strict=True):
+                        salts = hot.get(h, 1)
+                        out.append((h, (doc ^ th) % salts, doc, th, len(raw), a, raw[a:b], salts > 1))
                 if out:
                     yield _batch(out, OCCURRENCE)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in the order of (h, salt, doc, th, a): spans of those equal to the first, and of hot chunks the firsts again, for the second round."""
-        key = held = where = None
+        """Rows in the order of (h, salt, doc, th, a): the spans that stand earlier in the part, and of hot anchors the part's first windows."""
+        key = met = None
         for batch in batches:
             out = []
-            for h, salt, doc, th, a, b, *own, local in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = tuple(own)
+            for h, salt, doc, th, size, a, own, local in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != (h, salt):
-                    key, held, where = (h, salt), own, (doc, th, b)
-                    if local:
-                        out.append((h, 0, doc, th, a, b, *own, True))
-                elif (doc, th, b) == where:
-                    pass  # the same document again
-                elif (m := matching(own, held)) is not None:
-                    floor = where[2] if where[:2] == (doc, th) else 0
-                    out.append((h, -1, doc, th, max(floor, a - m[0]), b + m[1], b"", b"", b"", False))
+                    key, met = (h, salt), Windows()
+                spans, new = met.spans(doc, th, size, a, own)
+                out += [(0, 0, doc, th, size, *x, False) for x in spans]
+                for window, place in new if local else ():
+                    d, e = np.frombuffer(hashlib.blake2b(window, digest_size=16).digest(), "<i8").tolist()
+                    out.append((d, e, *place, place[3] + len(window), 0, 0, 0, 0, True))
+            if out:
+                yield _batch(out, FOUND)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in the order of (d, e, doc, th, a): all but the first window of each digest."""
+        key = was = None
+        for batch in batches:
+            out = []
+            for d, e, doc, th, size, a, b in zip(*(c.to_pylist() for c in batch.columns[:7]), strict=True):
+                if key != (d, e):
+                    key, was = (d, e), (doc, th, size, a)
+                elif span := later(doc, th, size, a, b, was):
+                    out.append((0, 0, doc, th, size, *span, False))
             if out:
-                yield _batch(out, OCCURRENCE)
+                yield _batch(out, FOUND)
 
-    order = ["h", "salt", "doc", "th", "a"]
-    first = rows.mapInArrow(occurrences, OCCURRENCE).repartition("h", "salt").sortWithinPartitions(*order).mapInArrow(compare, OCCURRENCE)
+    place = ["doc", "th", "a"]
+    first = rows.mapInArrow(occurrences, OCCURRENCE).repartition("h", "salt").sortWithinPartitions("h", "salt", *place).mapInArrow(compare, FOUND)
     first = written(first)
-    again = first.where("salt = 0").withColumn("local", F.lit(False)).repartition("h").sortWithinPartitions(*order).mapInArrow(compare, OCCURRENCE)
-    found = first.where("salt = -1").select("doc", "th", "a", "b").union(again.select("doc", "th", "a", "b"))
-    spans = found.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b")).alias("_ld_found"))
-    marked = keyed.join(spans, (F.col("_ld_doc") == F.col("doc")) & (F.col("_ld_th") == F.col("th")), "left").select(*docs.columns, "_ld_found")
+    again = first.where("again").repartition("d", "e").sortWithinPartitions("d", "e", *place).mapInArrow(firsts, FOUND)
+    found = first.where("not again").union(again)
+    spans = found.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b", "doc0", "th0", "size0", "a0")).alias("_ld_found"))
+    marked = keyed.join(spans, (F.col("_ld_doc") == F.col("doc")) & (F.col("_ld_th") == F.col("th")), "left").select(*docs.columns, "_ld_found", "_ld_doc", "_ld_th")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 part = whole.slice(lo, 500)
                 new, gone = [], []
-                for t, found in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
-                    t, away = cut(t, [(x["a"], x["b"]) for x in found], copy_share) if found else (t, [])
+                for t, found, doc, th in zip(*(part.column(i).to_pylist() for i in (at, *range(len(columns), part.num_columns))), strict=True):
+                    spans, away = [tuple(x.values()) for x in found or ()], []
+                    if spans and not (copy_share is not None and copied(spans, doc, th, len(t.encode("utf-8", "surrogatepass")), copy_share)):
+                        t, away = cut(t, [x[:2] for x in spans])
                     new.append(t)
                     gone.append([{"a": a, "b": b} for a, b in away])
-                columns = list(part.columns[:-1])
-                columns[at] = pa.array(new, columns[at].type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=[*part.schema.names[:-1], "_ld_spans"])
+                kept = list(part.columns[: len(columns)])
+                kept[at] = pa.array(new, kept[at].type)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(gone, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=[*columns, "_ld_spans"])
 
     span = StructType().add("a", "integer").add("b", "integer")
     schema = StructType([*docs.schema.fields]).add("_ld_spans", ArrayType(span))
