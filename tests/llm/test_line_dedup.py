@@ -23,3 +23,22 @@ def test_passages_without_line_ends_are_found(spark):
     got = kept(spark, [(i, f"{a} {passages[i % 20]} {b}") for i, (a, b) in enumerate(hosts)])
     assert all(passages[i] in got[i] for i in range(20))
     assert [got[i] for i in range(20, 60)] == [f"{a} {b}" for a, b in hosts[20:]]
+
+
+def test_passages_go_whole_next_to_others(spark):
+    """a is followed by another passage in every document, and goes to its last word whatever stands next to it."""
+    r = random.Random(12)
+    a, b, c = (run(r, n) + "." for n in (150, 60, 400))
+    hosts = [run(r, 30) for _ in range(4)]
+    got = kept(spark, [(0, f"{hosts[0]} {a} {hosts[1]}"), (1, f"{b} {hosts[2]}"), (2, f"{a} {b}"), (3, f"{c}"), (4, f"{hosts[3]} {c} {b} {a}")])
+    assert got[2] == "" and got[4] == hosts[3] + " "
+    assert got[0] == f"{hosts[0]} {a} {hosts[1]}" and got[3] == c
+
+
+def test_the_filter_changes_no_result(spark, monkeypatch):
+    r = random.Random(13)
+    passages = [run(r, 80) for _ in range(5)]
+    rows = [(i, f"{run(r, 50)} {passages[i % 5]} {run(r, 50)}") for i in range(40)]
+    whole = kept(spark, rows)
+    monkeypatch.setattr(line_dedup, "FILTER_BITS", 64)
+    assert kept(spark, rows) == whole
