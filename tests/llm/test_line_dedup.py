@@ -42,3 +42,13 @@ def test_the_filter_changes_no_result(spark, monkeypatch):
     whole = kept(spark, rows)
     monkeypatch.setattr(line_dedup, "FILTER_BITS", 64)
     assert kept(spark, rows) == whole
+
+
+def test_each_white_space_variant_has_its_own_first(spark):
+    r = random.Random(14)
+    w = run(r, 60).split(" ")
+    variants = [" ".join(w), "\r\n".join(w), "\n\n".join(w)]
+    hosts = [run(r, 20) for _ in range(9)]
+    got = kept(spark, [(i, f"{h} {variants[i % 3]}") for i, h in enumerate(hosts)])
+    assert [got[i] for i in range(3)] == [f"{hosts[i]} {variants[i]}" for i in range(3)]
+    assert [got[i] for i in range(3, 9)] == [h + " " for h in hosts[3:]]
