@@ -52,3 +52,17 @@ def test_each_white_space_variant_has_its_own_first(spark):
     got = kept(spark, [(i, f"{h} {variants[i % 3]}") for i, h in enumerate(hosts)])
     assert [got[i] for i in range(3)] == [f"{hosts[i]} {variants[i]}" for i in range(3)]
     assert [got[i] for i in range(3, 9)] == [h + " " for h in hosts[3:]]
+
+
+def test_only_copies_of_one_document_stay_whole(spark):
+    r = random.Random(15)
+    a, b, long = run(r, 80), run(r, 80), run(r, 400)
+    own = [run(r, 30) for _ in range(4)]
+    near = long.replace(long[:10], "changed", 1)
+    rows = [(0, f"{own[0]} {a}"), (1, f"{own[1]} {b}"), (2, f"{a} {b} {own[2]}"), (3, " ".join([long] * 5)), (4, f"{a} {own[3]}"), (5, near + " " + own[0]), (10, run(r, 500)), (11, None)]
+    rows[-1] = (11, rows[-2][1] + " at the end")
+    got = kept(spark, rows, copy_share=0.9)
+    assert got[2] == own[2] and got[4] == own[3]  # passages of two documents; one passage and little else
+    assert got[3].strip() == long  # repeats inside itself
+    assert got[5] != rows[5][1]  # holds what another repeats five times, and isn't a copy of that
+    assert got[11] == rows[-1][1]  # a near copy of one document
