@@ -192,7 +192,8 @@ def groups(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[tuple[pa.Record
 class Windows:
     """The windows of MIN_WORDS words met so far, by key, with the place of the first; what is given next comes later in the order of (doc, th, a)."""
 
-    def __init__(self) -> None:
+    def __init__(self, origins: bool) -> None:
+        self.origins = origins  # spans of different origins stay apart
         self.whole: dict[bytes, tuple] = {}
         self.first: dict[bytes, tuple] = {}
 
@@ -211,7 +212,7 @@ class Windows:
             if was is here:
                 new.append((key, here))
             elif span := later(*here, a + high, was):
-                if spans and span[0] <= spans[-1][1] and spans[-1][2:5] == span[2:5] and spans[-1][0] - spans[-1][5] == span[0] - span[5]:
+                if spans and span[0] <= spans[-1][1] and (not self.origins or spans[-1][2:5] == span[2:5] and spans[-1][0] - spans[-1][5] == span[0] - span[5]):
                     spans[-1][1] = max(spans[-1][1], span[1])
                 else:
                     spans.append(list(span))
@@ -358,7 +359,7 @@ def dedup(docs: DataFrame, copy_share: float | None = None, text: str = "text")
             out = []
             for h, salt, doc, th, size, a, own, local in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != (h, salt):
-                    key, met = (h, salt), Windows()
+                    key, met = (h, salt), Windows(copy_share is not None)
                 spans, new = met.spans(doc, th, size, a, own)
                 out += [(0, 0, doc, th, size, *x, False) for x in spans]
                 for window, place in new if local else ():
@@ -385,7 +386,7 @@ def dedup(docs: DataFrame, copy_share: float | None = None, text: str = "text")
     first = written(first)
     again = first.where("again").repartition("d", "e").sortWithinPartitions("d", "e", *place).mapInArrow(firsts, FOUND)
     found = first.where("not again").union(again)
-    spans = found.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b", "doc0", "th0", "size0", "a0")).alias("_ld_found"))
+    spans = found.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b", *(() if copy_share is None else ("doc0", "th0", "size0", "a0")))).alias("_ld_found"))
     marked = keyed.join(spans, (F.col("_ld_doc") == F.col("doc")) & (F.col("_ld_th") == F.col("th")), "left").select(*docs.columns, "_ld_found", "_ld_doc", "_ld_th")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
