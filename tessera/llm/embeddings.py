@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +16,8 @@ ROUNDS = 50
 SEED = 7
 #: Candidates may differ in this share of the code's bits; random directions differ in half of them.
 FAR_SHARE = 0.36
+#: Tables of the codes' substrings.
+TABLES = 6
 
 
 def learn_rotation(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
@@ -41,11 +41,9 @@ def learn_rotation(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: in
     return np.hstack(out)
 
 
-def substrings(most: int, bits: int = 64) -> list[tuple[int, int]]:
-    """(first bit, length) of the tables' keys, by the number of vectors of the largest label: about its logarithm, 8 to 16 bits."""
-    length = min(16, max(8, round(math.log2(max(2, most)))))
-    m = max(4, round(bits / length))
-    at = [round(i * bits / m) for i in range(m + 1)]
+def substrings(bits: int = 64) -> list[tuple[int, int]]:
+    """(first bit, length) of the tables' keys, the same for every input: codes within 2 * TABLES - 1 bits meet in one."""
+    at = [round(i * bits / TABLES) for i in range(TABLES + 1)]
     return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
 
 
@@ -65,16 +63,15 @@ def link_pairs(points: DataFrame, cosine: float = COSINE, sample: int = SAMPLE)
     that differ in over FAR_SHARE of the bits go no further; the original vectors decide.
     """
     spark = points.sparkSession
-    sizes = points.groupBy("label", F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("most")).collect()
-    if not sizes:
+    dim = points.agg(F.max(F.size("v"))).first()[0]
+    if dim is None:
         return spark.createDataFrame([], f"a {points.schema['id'].dataType.simpleString()}, b {points.schema['id'].dataType.simpleString()}")
-    dim, most = max(r["dim"] for r in sizes), max(r["most"] for r in sizes)
     drawn = points.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
     x = np.zeros((len(drawn), dim))
     for i, v in enumerate(drawn):
         x[i, : len(v)] = np.asarray(v) / np.linalg.norm(v)
     rotation = learn_rotation(x, 64)
-    keys = substrings(most)
+    keys = substrings()
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -65,3 +65,18 @@ def test_rotation_is_orthonormal():
     r = embeddings.learn_rotation(x, 64)
     assert np.allclose(r.T @ r, np.eye(64), atol=1e-8)
     assert embeddings.learn_rotation(x[:, :10], 64).shape == (10, 64)
+
+
+def test_tables_reach_the_threshold():
+    """Recall by cosine of the tables, which are the same for a label of any number of vectors."""
+    r = np.random.default_rng(4)
+    keys = embeddings.substrings()
+    for cosine in (0.93, 0.94, 0.95):
+        x, y = r.standard_normal((2, 20_000, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y = cosine * x + math.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        apart = (x >= 0) != (y >= 0)
+        met = np.any([apart[:, a : a + n].sum(axis=1) <= 1 for a, n in keys], axis=0)
+        print(cosine, met.mean())
+        assert met.mean() >= 0.99
