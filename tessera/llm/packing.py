@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .tokens import TOGETHER, encoder, vocabulary
+from .tokens import encoder, vocabulary
 
 WINDOW = 2048
 #: Partially filled windows that a task holds at most.
 MAX_OPEN = 1024
 END_ID = 1
+#: Rows given back at a time.
+OUT_ROWS = 5_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -127,18 +129,17 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, packer = encoder(tokenizer_path).encode, SumOfSquares(TaskContext.get().partitionId() << 36, window, max_open)
+        texts, packer = encoder(tokenizer_path).texts, SumOfSquares(TaskContext.get().partitionId() << 36, window, max_open)
 
         def out() -> pa.RecordBatch:
             rows, packer.done = packer.done, []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    packer.add(doc, ids + end)
-                if packer.done:
+            docs_ = batch.column(0).to_pylist()
+            for i, ids in texts(batch.column(1)):
+                packer.add(docs_[i], ids + end)
+                if len(packer.done) >= OUT_ROWS:
                     yield out()
         packer.finish()
         if packer.done:

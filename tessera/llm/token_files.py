@@ -8,24 +8,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucket, n_parts, shared_dir, splits, table
-from .tokens import TOGETHER, encoder, vocabulary
+from .tokens import encoder, vocabulary
 
 END_ID = 2
 #: Ids of a block; a document is never split, so a long one makes a longer block.
 BLOCK_IDS = 1 << 16
 #: Every so many ids the coding starts at a word of its own, whose place is kept.
 STRIDE = 4096
+#: Bytes of ids given back at a time.
+OUT_BYTES = 4 << 20
 
 # Fixed values of the format: selector -> (ids in a word, bits of each). 15 is the escape: the next word is one id of 64 bits.
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 0)
 BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 64)
 ONE = 15  # the escape takes one id and two words
 
-BLOCK_SCHEMA = "part int, block long, doc_ids binary, doc_nulls binary, lengths binary, palette binary, offsets binary, words binary, n_ids long"
+BLOCK_SCHEMA = "part int, block long, before long, doc_ids binary, doc_nulls binary, lengths binary, palette binary, offsets binary, words binary, n_ids long"
 
 
 def encode_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,34 +71,37 @@ def encode_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, where[np.flatnonzero(begin % STRIDE == 0)].astype("<u4")
 
 
-def decode_words(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
-    """The values of `encode_words`; every stride could be decoded for itself."""
-    if not n:
+def decode_words(words: np.ndarray, offsets: np.ndarray, n: int, low: int = 0, high: int | None = None) -> np.ndarray:
+    """The values low .. high - 1 of the n that `encode_words` coded; only the strides that hold them are decoded, all at once."""
+    high = n if high is None else min(high, n)
+    if low >= high:
         return np.zeros(0, "<u8")
-    selector = (words >> np.uint64(60)).astype(np.int64)
-    if (selector == ONE).any():
-        raw = np.zeros(len(words), bool)  # the words after escapes are plain ids
-        for i in np.flatnonzero(selector == ONE):
-            if not raw[i]:
-                raw[i + 1] = True
-        heads = np.flatnonzero(~raw)
-    else:
-        heads = np.arange(len(words))
+    first, last = low // STRIDE, -(-high // STRIDE)
+    begin = int(offsets[first])
+    own = words[begin : int(offsets[last]) if last < len(offsets) else len(words)]
+    selector = (own >> np.uint64(60)).astype(np.int64)
+    marked = selector == ONE
+    heads = np.arange(len(own))
+    if marked.any():
+        # of marked words that follow each other the first, the third, ... are escapes: what follows an escape is a plain id
+        start = np.maximum.accumulate(np.where(marked & ~np.concatenate([[False], marked[:-1]]), heads, 0))
+        escapes = heads[marked & ((heads - start) % 2 == 0)]
+        heads = np.delete(heads, escapes + 1)
     chosen = selector[heads]
     count = np.asarray((*COUNTS[:ONE], 1))[chosen]
     to = np.cumsum(count) - count
     out = np.zeros(int(count.sum()), "<u8")
     for s in np.unique(chosen):
-        own, at = words[heads[chosen == s]], to[chosen == s]
+        mine, at = heads[chosen == s], to[chosen == s]
         if s == ONE:
-            out[at] = words[heads[chosen == s] + 1]
+            out[at] = own[mine + 1]
         elif BITS[s]:
-            mask = np.uint64((1 << BITS[s]) - 1)
+            mask, packed = np.uint64((1 << BITS[s]) - 1), own[mine]
             for j in range(COUNTS[s]):
-                out[at + j] = (own >> np.uint64(j * BITS[s])) & mask
-    if len(out) != n:
-        raise ValueError(f"a block holds {len(out)} ids and not {n}")
-    return out
+                out[at + j] = (packed >> np.uint64(j * BITS[s])) & mask
+    if len(out) != min(n, last * STRIDE) - first * STRIDE or not np.array_equal(to[np.searchsorted(heads, offsets[first:last].astype(np.int64) - begin)], np.arange(last - first) * STRIDE):
+        raise ValueError("a block is damaged: its strides don't begin where they should")
+    return out[low - first * STRIDE : high - first * STRIDE]
 
 
 def encode_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -110,8 +115,9 @@ def encode_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     return palette.astype("<u4").tobytes(), offsets.tobytes(), words.tobytes()
 
 
-def decode_block(palette: bytes, offsets: bytes, words: bytes, n: int) -> np.ndarray:
-    places = decode_words(np.frombuffer(words, "<u8"), np.frombuffer(offsets, "<u4"), n)
+def decode_block(palette: bytes, offsets: bytes, words: bytes, n: int, low: int = 0, high: int | None = None) -> np.ndarray:
+    """The ids low .. high - 1 of a block of n."""
+    places = decode_words(np.frombuffer(words, "<u8"), np.frombuffer(offsets, "<u4"), n, low, high)
     return np.frombuffer(palette, "<u4")[places.astype(np.int64)]
 
 
@@ -127,18 +133,22 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = encoder(tokenizer_path).encode
-        for whole in batches:
-            for at in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(at, TOGETHER)
-                ids = [np.frombuffer(x + end, "<u4") for x in of(batch.column(2).to_pylist())]
-                small = [not len(x) or int(x.max()) < 1 << 16 for x in ids]
-                packed = [(x.astype("<u2") if s else x).tobytes() for x, s in zip(ids, small, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small), pa.array(packed, pa.binary())], names=["part", "doc_id", "small", "ids"])
+        texts = encoder(tokenizer_path).texts
+        for batch in batches:
+            small, packed, size, begin = [], [], 0, 0
+            for i, raw in texts(batch.column(2)):
+                ids = np.frombuffer(raw + end, "<u4")
+                small.append(not len(ids) or int(ids.max()) < 1 << 16)
+                packed.append((ids.astype("<u2") if small[-1] else ids).tobytes())
+                size += len(packed[-1])
+                if size >= OUT_BYTES or i + 1 == batch.num_rows:
+                    own = batch.slice(begin, i + 1 - begin)
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(small), pa.array(packed, pa.binary())], names=["part", "doc_id", "small", "ids"])
+                    small, packed, size, begin = [], [], 0, i + 1
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        n, block = 0, 0
+        n, block, before = 0, 0, 0
 
         def row() -> pa.RecordBatch:
             ids = np.concatenate([x[2] for x in held])
@@ -146,8 +156,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             doc_ids = np.asarray([x[1] or 0 for x in held], "<i8").tobytes()
             nulls = np.packbits([x[1] is None for x in held]).tobytes()
             lengths = np.asarray([len(x[2]) for x in held], "<u4").tobytes()
-            values = [held[0][0], block, doc_ids, nulls, lengths, palette, offsets, words, len(ids)]
-            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6, pa.int64()]
+            values = [held[0][0], block, before, doc_ids, nulls, lengths, palette, offsets, words, len(ids)]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6, pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
@@ -156,7 +166,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 n += len(held[-1][2])
                 if n >= block_ids:
                     yield row()
-                    held, n, block = [], 0, block + 1
+                    held, n, block, before = [], 0, block + 1, before + n
         if held:
             yield row()
 
@@ -168,7 +178,8 @@ def read_token_files(spark: SparkSession, path: str, tokens: bool = False) -> Da
     """(doc_id, start, n_tokens, ids_crc32) of each document, and its token_ids if asked for, from the files.
 
     start counts the ids of all documents before it: what the files before hold (one number a file, on the
-    driver) and what the blocks before hold.
+    driver) and what the blocks before in the same file hold, which each block says. Blocks aren't shuffled.
+    Documents with null doc_ids, texts without ids and repeated rows are read as they were written; an empty folder gives no rows.
     """
     files = spark.read.schema(BLOCK_SCHEMA).parquet(path)
 
@@ -180,7 +191,7 @@ def read_token_files(spark: SparkSession, path: str, tokens: bool = False) -> Da
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
                 ids = decode_block(r["palette"], r["offsets"], r["words"], r["n_ids"])
                 lengths = np.frombuffer(r["lengths"], "<u4").astype(np.int64)
                 nulls = np.unpackbits(np.frombuffer(r["doc_nulls"], np.uint8))[: len(lengths)].astype(bool)
@@ -192,10 +203,7 @@ def read_token_files(spark: SparkSession, path: str, tokens: bool = False) -> Da
                     out.append(pa.array([ids[b : b + n].astype("int32") for b, n in zip(begin.tolist(), lengths.tolist(), strict=True)], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in schema.split(", ")])
 
-    # what the blocks before hold, by narrow rows alone
-    w = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = files.select("part", "block", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(w), F.lit(0))).select("part", "block", "before")
-    return files.join(before, ["part", "block"]).mapInArrow(decode, schema)
+    return files.mapInArrow(decode, schema)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

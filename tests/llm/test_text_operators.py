@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,8 +56,23 @@ def ids_of(text, end):
 
 def test_encoder_is_the_library():
     texts = [t for _, t in ODD] + ["İstanbul ΣΑΣ Straße,", "ÀÉ. ÿ× ÷ a　b\xa0c", "it's we'll 12 3.4"]
-    for text, ids in zip(texts, tokens.encoder(tokens.vocabulary()).encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == library().encode(text or "", add_special_tokens=False).ids
+    texts += ["a" * 47 + "bc", "xé" * 300, "<|endoftext|> a", "x\x1cy z", "a%%% b...c 'LL", None]
+    for i, ids in tokens.encoder(tokens.vocabulary()).texts(pa.array(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library().encode(texts[i] or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abcABC'sreêÉßµ²½ªº7.,!?%-_<|>startoftext \xad\xa0İΣςſ漢е\u0301 \x1c\t\x85\u2003\u200b\u180e", max_size=40), max_size=6))
+def test_encoder_is_the_library_on_odd_characters(texts):
+    e = tokens.encoder(tokens.vocabulary())
+    assert [ids for _, ids in e.texts(pa.array(texts, pa.string()))] == [e.library(t) for t in texts]
+
+
+def test_merges_of_words_of_any_length_agree():
+    e = tokens.encoder(tokens.vocabulary())
+    words = [("abcde" * 40)[:n].encode() for n in range(1, 120)]
+    for w, ids in zip(words, e.merges.many(words, e.first, e.last), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == e.merges.one([*e.first[list(w[:-1])].tolist(), int(e.last[w[-1]])])
 
 
 def check_packed(rows, texts):
@@ -107,6 +123,17 @@ def test_word_aligned_coding_round_trips(values):
     assert (token_files.decode_words(words, offsets, len(v)) == v).all()
 
 
+def test_any_range_of_a_block_is_decoded_from_its_strides():
+    r = np.random.default_rng(1)
+    v = np.where(r.random(20_000) < 0.02, r.integers(1 << 40, 1 << 63, 20_000), r.integers(0, 300, 20_000)).astype("<u8")
+    v[4090:4100] = (15 << 60) + 3  # escapes, whose plain ids look like escapes, across a stride's end
+    words, offsets = token_files.encode_words(v)
+    for low, high in ((0, 20_000), (0, 1), (4095, 4097), (5000, 13_000), (19_999, 20_000), (7, 7)):
+        assert (token_files.decode_words(words, offsets, len(v), low, high) == v[low:high]).all()
+    with pytest.raises(ValueError):
+        token_files.decode_words(words, offsets + np.uint32(1), len(v))
+
+
 def test_token_files(some, odd, none, spark, tmp_path):
     for name, (docs, texts) in {"some": some, "odd": (odd, None)}.items():
         rows = sorted(((i, t) for i, t in (texts.items() if texts else ODD)), key=lambda x: (x[0] is not None, x[0] or 0))
