@@ -1,8 +1,9 @@
 """PII: patterns, and a semi-Markov conditional random field over the spans that they leave open.
 
 The patterns fix the base spans. Around everything else that looks like personal data stand candidate spans of
-four types; features of a whole span score it, and dynamic programming over spans of bounded length chooses
-boundaries and types together. The field is trained here, on lattices written from templates.
+four types; features of a whole span score it, and so does the move from one type to the next where two spans are
+neighbours; dynamic programming over spans of bounded length chooses boundaries and types together. The field is
+trained here, on lattices written from templates.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -23,6 +25,8 @@ from .common import table
 KINDS = ("email", "ip", "card", "phone")
 #: Code points of an entity at most, for spans that the field adds.
 MAX_ENTITY = 64
+#: Two spans that lie nearer than so many code points are neighbours: the move from one type to the other has a score.
+NEAR = 16
 #: Templates written out for training, and the seed of their choices.
 TRAIN_LINES, SEED, EPOCHS = 1500, 11, 40
 
@@ -79,8 +83,13 @@ _LOOSE = {
     "phone": re.compile(r"(?=(?<![\w.+])((?:\+|00)[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9]))"),
 }
 _LONGER = {"phone": re.compile(r"(?=(?<![\w.+])((?:\+|00)[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){3})(?![0-9]))")}
-#: No candidate stands where none of these does.
-_HINT = re.compile(r"[0-9](?:[ .()\[\]-]*[0-9]){7}|(?:\(at\)|\[at\]|@)|\bat\b[^\n]{1,30}\bdot\b", re.I)
+#: A text without a match of these holds no candidate of that type: each is part of the type's shapes, so nothing else in a text matters.
+_NEEDS = {
+    "email": re.compile(r"@|[(\[]at[)\]]| at ?[A-Za-z0-9-]{1,25} ?(?:\.|\(dot\)|\[dot\]| dot )", re.I),
+    "ip": re.compile(r"[0-9] ?(?:\.|\[\.\]|\(\.\)) ?[0-9]"),
+    "card": re.compile(r"[0-9]{4}[ .-]?[0-9]{4}[ .-]?[0-9]{4}"),
+    "phone": re.compile(r"[0-9](?:[ .()-]{0,2}[0-9]){6}"),
+}
 _CUES = {
     "email": ("mail", "contact", "write", "correo", "courriel"),
     "ip": ("ip", "host", "server", "address", "addr"),
@@ -91,7 +100,8 @@ _CUES = {
 
 def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the loose shapes, at most MAX_ENTITY long, that don't touch the taken ones."""
-    if not _HINT.search(text):
+    shapes = [(k, x) for k, x in (*_LOOSE.items(), *_LONGER.items()) if _NEEDS[k].search(text)]
+    if not shapes:
         return []
     starts, ends = [], []  # the taken spans, overlapping ones as one
     for x, y in sorted(taken):
@@ -101,9 +111,7 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int,
             starts.append(x)
             ends.append(y)
     out = []
-    for kind, shape in [*_LOOSE.items(), *_LONGER.items()]:
-        if kind == "email" and "@" not in text and not re.search(r"at[\])]|\bdot\b", text, re.I):
-            continue
+    for kind, shape in shapes:
         for m in shape.finditer(text):
             a, b = m.span(1)
             i = bisect.bisect_left(ends, a + 1)  # the first taken span that ends after a
@@ -131,49 +139,89 @@ def span_features(text: str, kind: str, a: int, b: int) -> list[str]:
 
 
 def lattice(text: str, spans: list[tuple[str, int, int]]) -> list[list[tuple[str, int, int]]]:
-    """Spans cut into islands whose spans don't touch those of others, each sorted by end."""
+    """Spans cut into islands at least NEAR code points from each other, each sorted by end."""
     out: list[list] = []
+    last = 0
     for span in sorted(spans, key=lambda x: (x[1], x[2])):
-        if out and span[1] < max(x[2] for x in out[-1]):
+        if out and span[1] < last + NEAR:
             out[-1].append(span)
         else:
             out.append([span])
+        last = max(last, span[2])
     return [sorted(x, key=lambda s: (s[2], s[1], s[0])) for x in out]
 
 
-def viterbi(island: list[tuple[str, int, int]], scores: list[float]) -> list[tuple[str, int, int]]:
-    """The set of spans without overlap of the highest score; what no span covers scores 0."""
-    ends = [x[2] for x in island]
-    best, back = [0.0], [None]
-    for i, (_, a, _b) in enumerate(island):
-        j = np.searchsorted(ends[:i], a, side="right")  # spans that end at or before a
-        take = best[j] + scores[i]
-        best.append(max(best[i], take))
-        back.append(int(j) if take > best[i] else None)
-    out, i = [], len(island)
-    while i:
-        if back[i] is None:
-            i -= 1
-        else:
-            out.append(island[i - 1])
-            i = back[i]
+def move(before: str | None, kind: str) -> str:
+    """The feature of two spans that follow each other within NEAR code points, or of a span with none so near before it."""
+    return f"{before or 'none'}>{kind}"
+
+
+def viterbi(island: list[tuple[str, int, int]], scores: list[float], moves: dict[str, float] | None = None) -> list[tuple[str, int, int]]:
+    """The segmentation of the highest score: spans without overlap, their scores and those of the moves between neighbours.
+
+    What no span covers scores 0. The state after a span is its type and its end; only the best of each is kept, so
+    a span looks at most at NEAR ends and their types, and time is linear in the number of spans.
+    """
+    get = (moves or {}).get
+    ends: list[int] = []  # distinct ends so far; for each the best segmentation up to it, and the best by the type that ends there
+    upto: list[tuple[float, int]] = []
+    by_type: list[dict[str, tuple[float, int]]] = []
+    back: list[int] = []
+    for i, (kind, a, b) in enumerate(island):
+        far = bisect.bisect_right(ends, a - NEAR)
+        value, at = upto[far - 1] if far else (0.0, -1)
+        best, back_to = value + get(move(None, kind), 0.0), at
+        for j in range(far, bisect.bisect_right(ends, a)):
+            for before, (value, at) in by_type[j].items():
+                if (value := value + get(move(before, kind), 0.0)) > best:
+                    best, back_to = value, at
+        best += scores[i]
+        back.append(back_to)
+        if not ends or ends[-1] != b:
+            ends.append(b)
+            upto.append(upto[-1] if upto else (0.0, -1))
+            by_type.append({})
+        if best > by_type[-1].get(kind, (-np.inf, 0))[0]:
+            by_type[-1][kind] = (best, i)
+        if best > upto[-1][0]:
+            upto[-1] = (best, i)
+    out, i = [], upto[-1][1] if upto else -1
+    while i >= 0:
+        out.append(island[i])
+        i = back[i]
     return out[::-1]
 
 
-def marginals(island: list[tuple[str, int, int]], scores: list[float]) -> np.ndarray:
-    """The probability of each span, by the forward and backward sums over all segmentations."""
-    n, ends = len(island), [x[2] for x in island]
-    before = [int(np.searchsorted(ends[:i], island[i][1], side="right")) for i in range(n)]
-    forward = np.full(n + 1, -np.inf)
-    forward[0] = 0.0
-    for i in range(n):
-        forward[i + 1] = np.logaddexp(forward[i], forward[before[i]] + scores[i])
-    backward = np.full(n + 1, -np.inf)
-    backward[n] = 0.0
+def follows(island: list[tuple[str, int, int]]) -> list[tuple[int, int, str]]:
+    """(i, j, move) of each span j that may come next after i; i = -1 is the beginning."""
+    out = [(-1, j, move(None, kind)) for j, (kind, _, _) in enumerate(island)]
+    for j, (kind, a, _) in enumerate(island):
+        out += [(i, j, move(before if b > a - NEAR else None, kind)) for i, (before, _, b) in enumerate(island[:j]) if b <= a]
+    return out
+
+
+def marginals(island: list[tuple[str, int, int]], scores: list[float], moves: dict[str, float] | None = None) -> tuple[np.ndarray, list[float]]:
+    """The probabilities of each span, and of each pair of `follows`, by the forward and backward sums over all segmentations."""
+    get, n, pairs = (moves or {}).get, len(island), follows(island)
+    into: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    onto: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    for i, j, m in pairs:
+        into[j].append((i, get(m, 0.0)))
+        if i >= 0:
+            onto[i].append((j, get(m, 0.0)))
+
+    def total(values: list[float]) -> float:
+        top = max(values)
+        return top + math.log(sum(math.exp(v - top) for v in values))
+
+    forward, backward = [0.0] * n, [0.0] * n
+    for j in range(n):
+        forward[j] = scores[j] + total([(forward[i] if i >= 0 else 0.0) + m for i, m in into[j]])
     for i in range(n - 1, -1, -1):
-        backward[i] = np.logaddexp(backward[i], backward[i + 1])
-        backward[before[i]] = np.logaddexp(backward[before[i]], backward[i + 1] + scores[i])
-    return np.exp(np.asarray([forward[before[i]] + scores[i] + backward[i + 1] for i in range(n)]) - forward[n])
+        backward[i] = total([0.0, *(m + scores[j] + backward[j] for j, m in onto[i])])
+    z = total([0.0, *forward])
+    of_pair = [math.exp((forward[i] if i >= 0 else 0.0) + get(m, 0.0) + scores[j] + backward[j] - z) for i, j, m in pairs]
+    return np.asarray([math.exp(f + b - z) for f, b in zip(forward, backward, strict=True)]), of_pair
 
 
 def training_lines(n: int = TRAIN_LINES, seed: int = SEED) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -242,14 +290,21 @@ def train(lines: int = TRAIN_LINES, seed: int = SEED, epochs: int = EPOCHS) -> d
     for text, truth in training_lines(lines, seed):
         for island in lattice(text, candidates(text, [])):
             gold = np.asarray([float(x in truth) for x in island])
-            data.append((island, [[names.setdefault(f, len(names)) for f in span_features(text, *x)] for x in island], gold))
+            chosen = [i for i, x in enumerate(gold) if x]
+            steps = set(zip([-1, *chosen], chosen, strict=False))
+            pairs = [(names.setdefault(m, len(names)), float((i, j) in steps)) for i, j, m in follows(island)]
+            data.append((island, [[names.setdefault(f, len(names)) for f in span_features(text, *x)] for x in island], gold, pairs))
+    moves = [x for x in names if ">" in x and ":" not in x]
     w, step = np.zeros(len(names)), np.full(len(names), 1e-6)
     for _ in range(epochs):
         g = -1e-3 * w * len(data)
-        for island, rows, gold in data:
-            p = marginals(island, [float(w[f].sum()) for f in rows])
+        now = {m: float(w[names[m]]) for m in moves}
+        for island, rows, gold, pairs in data:
+            p, q = marginals(island, [float(w[f].sum()) for f in rows], now)
             for f, x in zip(rows, gold - p, strict=True):
                 g[f] += x
+            for (f, is_step), x in zip(pairs, q, strict=True):
+                g[f] += is_step - x
         step += g * g
         w += 0.5 * g / np.sqrt(step)
     return dict(zip(names, w.tolist(), strict=True))
@@ -263,7 +318,7 @@ def find_spans(text: str | None, weights: dict[str, float]) -> tuple[list[tuple[
     taken = [(a, b) for _, a, b in base]
     more = []
     for island in lattice(text, candidates(text, taken)):
-        more += viterbi(island, [sum(weights.get(f, 0.0) for f in span_features(text, *x)) for x in island])
+        more += viterbi(island, [sum(weights.get(f, 0.0) for f in span_features(text, *x)) for x in island], weights)
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(base + more, key=lambda x: (order[x[0]], x[1], x[2]))
 
@@ -314,7 +369,10 @@ def spans_of(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span of its text put as its type; null texts stay null, all other columns as they are."""
+    """docs with every span of its text put as its type; null texts stay null, all other columns as they are, whatever their names.
+
+    Empty texts have no spans; each row is read for itself, so copies, repeated rows and null doc_ids stay; no rows give none.
+    """
     weights = train()
     at = docs.columns.index(text)
 
@@ -328,4 +386,5 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`spans_of` all documents; odd rows as there."""
     return spans_of(table(spark, sf_dir, "documents"))
