@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +12,8 @@ from .common import table
 from .tokens import encoder, vocabulary
 
 WINDOW = 2048
+#: Tokens of a level: windows lie in one of WINDOW / GRAIN fill levels, the last of which is full.
+GRAIN = 128
 #: Partially filled windows that a task holds at most.
 MAX_OPEN = 1024
 END_ID = 1
@@ -24,18 +25,22 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class SumOfSquares:
     """The packer of one task.
 
-    levels[h] counts the open windows filled to h. A document's remainder (its full windows are cut off
-    first) goes to the level, or to a new window, that makes the sum of squares of levels[1:window] least;
-    ties go to the fullest window. Pieces of open windows are kept until the window is full. When more than
-    `max_open` are open, the emptiest is cut up to fill the fullest. At the end the same leaves one window
-    at most, which is cut at its powers of two, so that nothing is padded.
+    A piece takes as many levels as `grain` goes into its tokens, rounded up, and levels[h] counts the open windows filled
+    to level h. A document's remainder (its full windows are cut off first) goes to the level, or to a new window, that
+    makes the sum of squares of levels[1:n_levels] least; ties go to the fullest. A window of the last level is full but
+    for what its pieces were rounded by, which is cut from a document kept for that; if there is none, the next remainder becomes it. When more
+    than `max_open` are open, the emptiest is cut up to fill the fullest. At the end the same leaves one window at
+    most, which is cut at its powers of two, so that nothing is padded. by_rule and by_cut count the windows of both kinds.
     """
 
-    def __init__(self, first_sequence: int, window: int = WINDOW, max_open: int = MAX_OPEN):
-        self.window, self.max_open, self.next_id = window, max_open, first_sequence
-        self.levels = np.zeros(window + 1, dtype=np.int64)
-        self.open: list[list[list]] = [[] for _ in range(window + 1)]  # level -> windows, each a list of pieces
-        self.n_open = 0
+    def __init__(self, first_sequence: int, window: int = WINDOW, max_open: int = MAX_OPEN, grain: int = GRAIN):
+        self.window, self.max_open, self.grain, self.next_id = window, max_open, grain, first_sequence
+        self.n_levels = -(-window // grain)
+        self.levels = [0] * (self.n_levels + 1)
+        self.open: list[list[tuple[int, list]]] = [[] for _ in self.levels]  # level -> windows (tokens, pieces)
+        self.n_open = self.by_rule = self.by_cut = 0
+        self.waiting: list[tuple[int, list]] = []  # windows of the last level that aren't full to the token
+        self.filler: tuple | None = None
         self.done: list[tuple] = []
 
     def _close(self, pieces: list[tuple]) -> None:
@@ -50,62 +55,95 @@ class SumOfSquares:
         for at in range(0, total - total % w, w):
             self._close([(doc, at, ids[4 * at : 4 * (at + w)], total)])
         if size := total % w:
-            self._place((doc, total - size, ids[4 * (total - size) :], total), size)
+            piece = (doc, total - size, ids[4 * (total - size) :], total)
+            if self.waiting:
+                self.filler = piece
+                self._fill()
+            else:
+                self._place(piece, size)
             if self.n_open > self.max_open:
                 self._merge()
 
     def _place(self, piece: tuple, size: int) -> None:
-        w, n = self.window, self.levels
-        # levels h = 0 (a new window) .. w - size; what the sum changes by
-        h = np.arange(0, w - size + 1)
-        cost = np.where(h > 0, 1 - 2 * n[h], 0) + np.where(h + size < w, 2 * n[h + size] + 1, 0)
-        cost = np.where((h > 0) & (n[h] == 0), np.iinfo(np.int64).max, cost)
-        best = int(h[::-1][np.argmin(cost[::-1])])
-        self._put(self._take(best) if best else [], best, piece, size)
-
-    def _take(self, level: int) -> list:
+        n, last = self.levels, self.n_levels
+        own = -(-size // self.grain)
+        best, least = 0, 2 * n[own] + 1 if own < last else 0
+        for h in range(1, last - own + 1):
+            if n[h]:
+                change = 1 - 2 * n[h] + (2 * n[h + own] + 1 if h + own < last else 0)
+                if change <= least:
+                    best, least = h, change
+        tokens, pieces = self._take(best) if best else (0, [])
+        pieces.append(piece)
+        self._put(best + own, tokens + size, pieces, True)
+
+    def _take(self, level: int) -> tuple[int, list]:
         self.levels[level] -= 1
         self.n_open -= 1
         return self.open[level].pop()
 
-    def _put(self, pieces: list, level: int, piece: tuple, size: int) -> None:
-        pieces.append(piece)
-        if level + size == self.window:
+    def _put(self, level: int, tokens: int, pieces: list, by_rule: bool) -> None:
+        if by_rule and level == self.n_levels:
+            self.by_rule += 1
+            self.waiting.append((tokens, pieces))
+            self._fill()
+        elif tokens == self.window:
+            self.by_cut += 1
             self._close(pieces)
-        else:
-            self.open[level + size].append(pieces)
-            self.levels[level + size] += 1
+        elif pieces:
+            self.open[level].append((tokens, pieces))
+            self.levels[level] += 1
             self.n_open += 1
 
+    def _fill(self) -> None:
+        """Fills waiting windows from the filler, as far as it reaches."""
+        while self.waiting:
+            tokens, pieces = self.waiting.pop()
+            if gap := self.window - tokens:
+                if self.filler is None:
+                    self.waiting.append((tokens, pieces))
+                    return
+                doc, start, ids, total = self.filler
+                cut, rest = ids[: 4 * gap], ids[4 * gap :]
+                self.filler = (doc, start + gap, rest, total) if rest else None
+                pieces.append((doc, start, cut, total))
+                if len(cut) < 4 * gap:
+                    self.waiting.append((tokens + len(cut) // 4, pieces))
+                    continue
+            self._close(pieces)
+
     def _merge(self) -> None:
         """Fills the fullest open window with ids cut from the emptiest."""
-        used = np.flatnonzero(self.levels)
-        low, high = int(used[0]), int(used[-1])
-        source, target = self._take(low), self._take(high)
-        while source and high < self.window:
-            doc, start, ids, total = source.pop()
+        used = [h for h, n in enumerate(self.levels) if n]
+        target = self._take(used[-1])
+        source = self._take(next(h for h in used if self.levels[h]))
+        (high, pieces), (low, more) = sorted((target, source), key=lambda x: -x[0])
+        while more and high < self.window:
+            doc, start, ids, total = more.pop()
             gap = 4 * (self.window - high)
-            target.append((doc, start, ids[:gap], total))
-            high += len(ids[:gap]) // 4
+            pieces.append((doc, start, ids[:gap], total))
+            high, low = high + len(ids[:gap]) // 4, low - len(ids[:gap]) // 4
             if ids[gap:]:
-                source.append((doc, start + gap // 4, ids[gap:], total))
-        left = sum(len(p[2]) // 4 for p in source)
-        for level, pieces in ((high, target), (left, source)):
-            if level == self.window:
-                self._close(pieces)
-            elif pieces:
-                self.open[level].append(pieces)
-                self.levels[level] += 1
-                self.n_open += 1
+                more.append((doc, start + gap // 4, ids[gap:], total))
+        self._put(-(-high // self.grain), high, pieces, False)
+        if more:
+            self._put(-(-low // self.grain), low, more, False)
 
     def finish(self) -> None:
+        for tokens, pieces in self.waiting:  # nothing came to fill them
+            self._put(-(-tokens // self.grain), tokens, pieces, False)
+        self.waiting = []
+        if self.filler:
+            tokens = len(self.filler[2]) // 4
+            self._put(-(-tokens // self.grain), tokens, [self.filler], False)
+            self.filler = None
         while self.n_open > 1:
             self._merge()
         if self.n_open:
-            level = int(np.flatnonzero(self.levels)[0])
-            pieces = self._take(level)[::-1]
+            tokens, pieces = self._take(next(h for h, n in enumerate(self.levels) if n))
+            pieces = pieces[::-1]
             for bit in reversed(range(self.window.bit_length())):
-                if level & (size := 1 << bit):
+                if tokens & (size := 1 << bit):
                     cut, room = [], size
                     while room:
                         doc, start, ids, total = pieces.pop()
@@ -149,4 +187,5 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pack` of all documents by the word vocabulary; odd rows as there."""
     return pack(table(spark, sf_dir, "documents"), vocabulary())
