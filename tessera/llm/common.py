@@ -8,21 +8,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at a time; long texts make smaller batches through the byte bound.
-BATCH_ROWS = 2000
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one of our own if there is one machine only, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.own.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("tessera.own.checkpoint.dir", folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -71,16 +69,17 @@ def splits(df: DataFrame, column: str, n: int) -> list[float]:
     return sorted(set(found))
 
 
-def bucket(column: str, bounds: list[float]):
-    """The range of `splits` that holds a value: 0 for nulls and the lowest values. Only the column goes to Python."""
-
-    @F.pandas_udf("int")
-    def of(x):
-        import pandas as pd
+def bucket(column: str, bounds: list[float]) -> Column:
+    """The range of `splits` that holds a value, the number of bounds below it: 0 for nulls. A binary search of comparisons."""
+    x = F.col(column).cast("double")
 
-        return pd.Series(np.searchsorted(bounds, x.fillna(-np.inf).to_numpy(dtype=float), side="left").astype("int32"))
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(x > F.lit(float(bounds[mid])), search(mid + 1, high)).otherwise(search(low, mid))
 
-    return of(F.col(column).cast("double")) if bounds else F.lit(0).cast("int")
+    return search(0, len(bounds)).cast("int")
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .common import fixed, table
+from .common import table, written
 
 SHARDS = 8
 SEED = 20_260_101
@@ -50,7 +50,7 @@ def communication(partition_rows: list[int], sizes: np.ndarray, partition: int,
 def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All rows of df and their shard, 0 to shards - 1, and slot in it, gapless from 0.
 
-    Counts differ by one at most; every assignment of rows to places is equally likely. (1) The rows are
+    Counts differ by one at most; every assignment of rows to places is equally likely. Whole rows move. (1) They are
     written once, so that each keeps its partition; the partitions' counts go to the driver. (2) A task draws
     how many of its rows go to each block of each shard, and permutes its rows over them. (3) Rows are
     exchanged by block and ordered in it by a random number drawn with them, the second permutation.
@@ -59,14 +59,13 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: int
     """
     if clash := [c for c in df.columns if c in ("shard", "slot") or c.startswith("_sh_")]:
         raise ValueError(f"columns {clash} are in the way")
-    held = fixed(df)
+    held = written(df)
     counts = {r["p"]: r["n"] for r in held.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = [counts.get(p, 0) for p in range(max(counts, default=-1) + 1)]
     total = sum(rows)
     whole = [total // shards + (s < total % shards) for s in range(shards)]
     blocks = max(1, -(-max(whole) // block_rows))
     sizes = np.asarray([n // blocks + (b < n % blocks) for n in whole for b in range(blocks)], np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) - np.repeat(np.concatenate([[0], np.cumsum(whole)[:-1]]), blocks)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, to, rng = 0, None, None
@@ -86,11 +85,15 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: int
     kind = StructType([*keyed.schema.fields]).add("_sh_block", IntegerType()).add("_sh_key", LongType()).add("_sh_row", LongType())
     dealt = keyed.mapInArrow(deal, kind)
     within = Window.partitionBy("_sh_block").orderBy("_sh_key", "_sh_part", "_sh_row")
-    begin = F.element_at(F.array(*[F.lit(int(x)) for x in first]), F.col("_sh_block") + 1).cast("long")
-    return dealt.withColumn("_sh_rank", F.row_number().over(within)).select(*df.columns, F.expr(f"cast(_sh_block div {blocks} as int)").alias("shard"), (begin + F.col("_sh_rank") - 1).alias("slot"))
+    # the blocks of shard s: the first `whole[s] % blocks` hold one row more than the others
+    s_, b_ = F.expr(f"_sh_block div {blocks}"), F.expr(f"_sh_block % {blocks}")
+    size, more = F.when(s_ < total % shards, whole[0]).otherwise(whole[-1]), F.lit(blocks)
+    begin = b_ * F.floor(size / more) + F.least(b_, size % more)
+    return dealt.withColumn("_sh_rank", F.row_number().over(within)).select(*df.columns, s_.cast("int").alias("shard"), (begin + F.col("_sh_rank") - 1).cast("long").alias("slot"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    bare = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
-    return shard(bare).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """The documents, texts and all, in 8 shards by the law `rows`; odd rows as in `shard`. The digests are of the moved texts."""
+    found = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size, crc = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return found.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
