@@ -10,21 +10,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from .common import table, written
 
 #: The classifier and its lexicon are fitted on at most so many labelled rows, those with the smallest hashed ids.
 MAX_TRAIN = 20_000
-#: Terms of the lexicon at most, the strongest first: it goes to every worker.
-MAX_TERMS = 4_000
-#: A term is in at least so many toxic training texts, and its log odds are at least so high.
+#: A term is in at least so many toxic training texts, and its log odds are at least so high. So the lexicon, which goes to
+#: every worker, grows with the bounded training rows only.
 MIN_TEXTS, MIN_ODDS = 5, 4.0
 STEMS = (4, 5, 6)
 #: Whole terms of at least so many letters also match at one edit.
 FUZZY_FROM = 5
 #: Words on either side of a hit that make up its context.
 WINDOW = 8
-CACHE_ENTRIES = 400_000
+#: A task keeps what so many chunks meet, of at most CACHE_CHARS characters, and so many steps of the automaton: about 35 MB and 20 MB.
+CACHE_ENTRIES, CACHE_CHARS, MAX_STEPS = 200_000, 48, 200_000
 
 # Words of context in four languages: who is spoken to, and who is reported.
 ADDRESS = frozenset("you your you're u tu te toi vous du dich dir sie tú usted eres es".split())
@@ -72,7 +73,8 @@ class Lexicon:
                 self.ends[at] = word
         self.states: list[frozenset] = []
         self.index: dict[frozenset, int] = {}
-        self.steps: dict[tuple[int, str], int] = {}
+        self.steps: list[dict[str, int]] = []
+        self.n_steps = 0
         self.start = self._state({0: 0})
 
     def _state(self, nodes: dict[int, int]) -> int:
@@ -90,11 +92,12 @@ class Lexicon:
         if key not in self.index:
             self.index[key] = len(self.states)
             self.states.append(key)
+            self.steps.append({})
         return self.index[key]
 
     def step(self, state: int, letter: str) -> int:
         """The next state, -1 if no term is near any more."""
-        if (to := self.steps.get((state, letter))) is None:
+        if (to := self.steps[state].get(letter)) is None:
             best: dict[int, int] = {}
             for node, edits in self.states[state]:
                 if (child := self.children[node].get(letter)) is not None and edits < best.get(child, 99):
@@ -106,8 +109,9 @@ class Lexicon:
                         if self.longest[child] >= FUZZY_FROM and edits + 1 < best.get(child, 99):
                             best[child] = edits + 1
             to = self._state(best) if best else -1
-            if len(self.steps) < 1 << 20:
-                self.steps[state, letter] = to
+            if self.n_steps < MAX_STEPS:
+                self.steps[state][letter] = to
+                self.n_steps += 1
         return to
 
     def match(self, word: str) -> str | None:
@@ -124,18 +128,30 @@ class Lexicon:
         return "stem" if stem else "fuzzy" if found else None
 
 
+def opens(chunk: str) -> bool:
+    """A quotation begins with this chunk: a mark before a letter, or a mark on its own that only opens."""
+    return chunk[0] in OPEN_QUOTES and (len(chunk) > 1 or chunk not in CLOSE_QUOTES)
+
+
+def closes(chunk: str) -> bool:
+    """A quotation ends with this chunk: a mark after a letter, full stops and the like aside, or a mark on its own that only closes."""
+    end = chunk.rstrip(".,;:!?")
+    return bool(end) and end[-1] in CLOSE_QUOTES and (len(end) > 1 or end not in OPEN_QUOTES)
+
+
 def quoted(chunks: list[str], at: int, window: int = WINDOW) -> bool:
-    """A quotation mark opens at or before the hit, none closes in between, and one closes at or after it; or a reporting word stands in the window."""
+    """A quotation mark opens at or before the hit, none closes in between, and one closes at or after it; or a reporting word stands in the window.
+
+    Straight marks on their own, which may open or close, count for neither.
+    """
     low, high = max(0, at - window), min(len(chunks), at + window + 1)
-    opened = False
     for i in range(at, low - 1, -1):
-        if i < at and chunks[i][-1] in CLOSE_QUOTES or i < at and chunks[i].rstrip(".,;:!?")[-1:] in CLOSE_QUOTES:
+        if i < at and closes(chunks[i]):
             break
-        if chunks[i][0] in OPEN_QUOTES:
-            opened = True
+        if opens(chunks[i]):
+            if any(map(closes, chunks[at:high])):
+                return True
             break
-    if opened and any(c.rstrip(".,;:!?")[-1:] in CLOSE_QUOTES for c in chunks[at:high] if c):
-        return True
     return any(word_of(c) in REPORT for c in chunks[low:high])
 
 
@@ -147,7 +163,7 @@ class Scorer:
 
     def hit(self, chunk: str) -> str | None:
         found = self.lexicon.match(word_of(chunk))
-        if len(self.kept) < CACHE_ENTRIES:
+        if len(self.kept) < CACHE_ENTRIES and len(chunk) <= CACHE_CHARS:
             self.kept[chunk] = found
         return found
 
@@ -184,7 +200,7 @@ def once_each(rows: DataFrame) -> DataFrame:
 def learn_terms(train: DataFrame) -> Lexicon:
     """Words, and beginnings of words, whose share of the toxic texts is far above that of the others.
 
-    Counted by Spark over the training rows; only the MAX_TERMS strongest leave it. A word is no term where a
+    Counted by Spark over the training rows; only the terms leave it. A word is no term where a
     beginning of it already is one.
     """
     words = F.array_distinct(F.expr(r"filter(transform(regexp_extract_all(lower(text), '(?U)[\\w]+', 0), w -> w), w -> length(w) >= 3)"))
@@ -194,7 +210,7 @@ def learn_terms(train: DataFrame) -> Lexicon:
     bad, good = size["bad"], size["n"] - size["bad"]
     counts = terms.groupBy("term").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (good + 1))
-    best = counts.where(f"t >= {MIN_TEXTS}").withColumn("odds", odds).where(f"odds >= {MIN_ODDS}").orderBy(F.desc(F.col("odds") * F.sqrt("t")), "term").limit(MAX_TERMS).collect()
+    best = counts.where(f"t >= {MIN_TEXTS}").withColumn("odds", odds).where(f"odds >= {MIN_ODDS}").orderBy(F.desc(F.col("odds") * F.sqrt("t")), "term").collect()
     stems: list[str] = []
     whole = [r["term"].split("|", 1) for r in best]
     texts = {r["term"]: r["t"] for r in best}
@@ -232,24 +248,31 @@ class Model:
     weights: np.ndarray
 
 
-def features(docs: DataFrame, lexicon: Lexicon, keep: list[tuple[str, str]], weights: np.ndarray | None = None) -> DataFrame:
-    """`keep` columns (name, type) of docs and the features of their whole `text`, or with weights its score."""
-    last = "features array<double>" if weights is None else "score double"
-    schema = ", ".join([*(f"`{c}` {kind}" for c, kind in keep), last])
+def features(docs: DataFrame, lexicon: Lexicon, text: str = "text", weights: np.ndarray | None = None) -> DataFrame:
+    """docs with a last column of the features of its whole texts, or with weights of their score.
+
+    The column is called _tox_features or _tox_score; columns of docs beginning with `_tox_` are refused. Null and
+    empty texts have the features of a text without hits; every row is read for itself; no rows give none. A
+    text goes to Python once, with its row.
+    """
+    if clash := [c for c in docs.columns if c.startswith("_tox_")]:
+        raise ValueError(f"columns {clash} are in the way")
+    at = docs.columns.index(text)
+    out = ("_tox_features", ArrayType(DoubleType())) if weights is None else ("_tox_score", DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                found = [scorer.features(t.as_py()) for t in batch.column(len(keep))]
+            for begin in range(0, whole.num_rows, 1000):
+                batch = whole.slice(begin, 1000)
+                found = [scorer.features(t.as_py()) for t in batch.column(at)]
                 if weights is None:
-                    out = pa.array(found, pa.list_(pa.float64()))
+                    own = pa.array(found, pa.list_(pa.float64()))
                 else:
-                    out = pa.array(1 / (1 + np.exp(-np.clip(np.asarray(found) @ weights[:-1] + weights[-1], -30, 30))))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], out], names=[*(c for c, _ in keep), last.split()[0]])
+                    own = pa.array(1 / (1 + np.exp(-np.clip(np.asarray(found) @ weights[:-1] + weights[-1], -30, 30))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, out[0]])
 
-    return docs.select(*(c for c, _ in keep), F.col("text").alias("_tox_text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(*out))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
@@ -261,8 +284,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded by `most`, so it may be broadcast
     rows = written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").select("toxic", "text"))
     lexicon = learn_terms(written(once_each(rows)))
-    found = features(rows, lexicon, [("toxic", "int")]).toPandas()
-    x = np.asarray(found["features"].tolist(), float).reshape(-1, len(FEATURES))
+    found = features(rows, lexicon).select("toxic", "_tox_features").toPandas()
+    x = np.asarray(found["_tox_features"].tolist(), float).reshape(-1, len(FEATURES))
     return Model(lexicon, fit(x, found["toxic"].to_numpy(float)))
 
 
@@ -273,16 +296,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     is scored for itself: ties, repeated rows and null doc_ids (held_out is null) stay; other columns are
     ignored; no rows give none.
     """
-    found = features(docs.select(F.col("doc_id").cast("long"), "text"), model.lexicon, [("doc_id", "long")], model.weights)
-    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    found = features(docs.select(F.col("doc_id").cast("long"), "text"), model.lexicon, weights=model.weights)
+    score_ = F.col("_tox_score")
+    return found.select("doc_id", held_out().alias("held_out"), score_.alias("score"), (score_ >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose text the model doesn't predict to be toxic, with the columns of docs."""
-    scored = features(docs, model.lexicon, docs.dtypes, model.weights)
-    return scored.where("score < 0.5").select(*docs.columns)
+    """The rows of docs whose text the model doesn't predict to be toxic, with the columns of docs, whatever their names.
+
+    Null and empty texts have no hits and stay; every row is judged by its own text, so copies, repeated rows and null
+    doc_ids go or stay each by itself; columns beginning with `_tox_` are refused; no rows give none.
+    """
+    return features(docs, model.lexicon, weights=model.weights).where("_tox_score < 0.5").drop("_tox_score")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`score` of all documents by a model of those that aren't held out; odd rows as there."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -66,3 +66,35 @@ def test_only_copies_of_one_document_stay_whole(spark):
     assert got[3].strip() == long  # repeats inside itself
     assert got[5] != rows[5][1]  # holds what another repeats five times, and isn't a copy of that
     assert got[11] == rows[-1][1]  # a near copy of one document
+
+
+def by_all_windows(rows):
+    """The texts without what stands earlier: every window of 25 words against all before it, in the order of the documents and of their bytes."""
+    first, out = {}, {}
+    for doc, text in sorted(rows):
+        raw = text.encode()
+        words = [m.span() for m in line_dedup.WORD.finditer(raw)]
+        gone = bytearray(len(raw) + 1)
+        for (low, _), (_, high) in zip(words, words[line_dedup.MIN_WORDS - 1 :], strict=False):
+            was = first.setdefault(raw[low:high], (doc, low))
+            if was != (doc, low):
+                begin = low if was[0] != doc else max(low, was[1] + high - low)  # in one document only what lies after the first
+                gone[begin:high] = b"\1" * (high - begin)
+        for i in range(len(raw)):  # with the white space after each
+            if gone[i - 1] and i and raw[i] in line_dedup.SPACE:
+                gone[i] = 1
+        out[doc] = bytes(c for c, away in zip(raw, gone, strict=False) if not away).decode()
+    return out
+
+
+def test_cuts_are_those_of_all_windows(spark):
+    for seed in range(3):
+        r = random.Random(seed)
+        passages = [run(r, r.choice((20, 24, 25, 26, 40, 90))) for _ in range(8)]
+        rows = []
+        for i in range(60):
+            parts = [r.choice((run(r, r.randint(1, 40)), r.choice(passages), "tick tock " * r.randint(1, 30), "日本語の文" * r.randint(1, 8))) for _ in range(r.randint(1, 5))]
+            rows.append((i, r.choice((" ", "\n", " \n ")).join(parts)))
+        rows += [(i, rows[i - 60][1]) for i in range(60, 70)]
+        want = by_all_windows(rows)
+        assert kept(spark, rows) == want

@@ -1,5 +1,7 @@
 """The stages after each other, each on what the one before it kept."""
 
+import itertools
+
 import corpus_pipeline
 from tessera.llm import pii, simhash, toxicity
 from tessera.llm.common import written
@@ -21,8 +23,17 @@ def test_stages(spark, data):
         if name == "line_dedup":
             assert docs.count() == before.count()
         if name == "simhash":
-            found = simhash.near_duplicates(before)
-            assert docs.count() == found.select("component_id").distinct().count() < before.count()
+            sets = {r["doc_id"]: set(simhash.shingles(r["text"], 5).tolist()) for r in before.collect()}
+            holders = {}
+            for i, own in sets.items():
+                for h in own:
+                    holders.setdefault(h, []).append(i)
+            linked = {(min(p), max(p)) for own in holders.values() if len(own) < 200 for p in itertools.combinations(own, 2)}
+            linked = {(a, b) for a, b in linked if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+            kept = {r["doc_id"] for r in docs.collect()}
+            both = {p for p in linked if p[0] in kept and p[1] in kept}
+            assert linked and len(both) <= 0.02 * len(linked)  # near copies go
+            assert set(sets) - {i for p in linked for i in p} <= kept | {i for i, own in sets.items() if not own}  # and nothing else
         if name == "pii":
             assert docs.count() == before.count() and pii.spans_of(docs).where("spans <> ''").count() == 0 < pii.spans_of(before).where("spans <> ''").count()
     assert docs.columns[0] == "doc_id" and docs.select("doc_id").distinct().count() == before.count()
@@ -34,3 +45,20 @@ def test_rows_without_ids_stay(spark, data):
         docs = written(stage(spark, docs, data))
         # the null and the empty text have one fingerprint
         assert docs.count() == (4 if name in ("toxicity", "line_dedup") else 3)
+
+
+def test_clashing_columns_and_repeated_rows_pass_every_stage(spark, data):
+    passage = " ".join(f"word{i} and more" for i in range(40))
+    rows = [(1, f"one begins. {passage}", 5), (2, f"two goes on. {passage} and ends otherwise here", 6), (7, "same text twice here", 7), (7, "same text twice here", 7), (None, "no id", 8), (3, None, 9), (4, "x" * 200_000, 1), (5, "1234 5678 " * 20_000, 1)]
+    docs = spark.createDataFrame([(i, t, n, n, n, n, n, n) for i, t, n in rows], "doc_id long, text string, doc int, th int, score int, part int, id int, n_chars int")
+    for name, stage in corpus_pipeline.STAGES:
+        columns, docs = docs.columns, written(stage(spark, docs, data))
+        if name != "packing":
+            assert docs.columns == columns
+        if name != "packing":
+            assert docs.where("doc_id = 7").count() == (2 if name in ("toxicity", "line_dedup") else 1)
+            assert docs.where("doc_id is null").count() == 1
+    empty = spark.createDataFrame([], "doc_id long, text string, doc int")
+    for name, stage in corpus_pipeline.STAGES:
+        empty = written(stage(spark, empty, data))
+        assert empty.count() == 0
