@@ -7,10 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, table, written
+from .common import components, map_arrow, n_parts, table, written
 
 SHINGLE = 4
 BITS = 4
@@ -74,14 +74,15 @@ def groups_for(n: int, bits: int = BITS, segment: int = SEGMENT) -> int:
     return 2 * bits + 8
 
 
-def counts_of(fp: str, low: int, high: int, segment: int = SEGMENT) -> str:
-    """SQL of the bit counts: those of the 2-bit segments in bits low .. high - 1, each in two bits of one long."""
-    if segment != 2:
-        raise ValueError("segments of 2 bits only")
-    odd = "6148914691236517205L"  # 0101...: a count of two is both bits, a count of one either
-    both, either = f"({fp} & shiftrightunsigned({fp}, 1) & {odd})", f"(({fp} ^ shiftrightunsigned({fp}, 1)) & {odd})"
-    pairs = f"(shiftleft({both}, 1) | {either})"
-    return f"(shiftrightunsigned({pairs}, {low}) & {(1 << (high - low)) - 1}L)"
+def embedding(fp: str) -> str:
+    """SQL of the embedding: each 2-bit segment's bit count in unary, 00, 01 or 11. The Manhattan distance of two embeddings is the number of bits that differ in these."""
+    odd = "6148914691236517205L"  # 0101...
+    return f"((({fp} | shiftrightunsigned({fp}, 1)) & {odd}) | shiftleft({fp} & shiftrightunsigned({fp}, 1) & {odd}, 1))"
+
+
+def counts_of(emb: str, low: int, high: int) -> str:
+    """SQL of the bit counts of the segments in bits low .. high - 1."""
+    return f"(shiftrightunsigned({emb}, {low}) & {(1 << (high - low)) - 1}L)"
 
 
 def near_pairs(points: DataFrame, bits: int = BITS, groups: int | None = None) -> DataFrame:
@@ -91,19 +92,21 @@ def near_pairs(points: DataFrame, bits: int = BITS, groups: int | None = None) -
     embeddings is at most their number of differing bits. The segments lie in groups; within distance `bits`
     at most `bits` groups differ, so the pair shares the grid's cell of some choice of the other groups. Cells
     whose points are all of one part hold nothing to find and are dropped before the join; in the others the
-    points of the part with the least number are met only by those of other parts. Exact bits decide.
+    points of the part with the least number are met only by those of other parts. Pairs whose Manhattan distance
+    is over `bits` go no further; of the others the exact bits decide.
     """
     n = points.count()
     g = groups or groups_for(n, bits)
     cut = bounds(g)
     keys = []
     for i, chosen in enumerate(combinations(range(g), g - bits)):
-        keys.append(f"xxhash64({i}, {', '.join(counts_of('fp', *cut[j]) for j in chosen)})")
-    cells = points.select("fp", "part", F.explode(F.expr(f"array({', '.join(keys)})")).alias("cell"))
+        keys.append(f"xxhash64({i}, {', '.join(counts_of('emb', *cut[j]) for j in chosen)})")
+    cells = points.withColumn("emb", F.expr(embedding("fp"))).select("fp", "part", F.explode(F.expr(f"array({', '.join(keys)})")).alias("cell"))
     mixed = cells.groupBy("cell").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first < last")
     inside = cells.join(mixed, "cell").select("cell", "fp", "part", "first")
     a, b = inside.where("part > first").alias("a"), inside.alias("b")
-    close = F.expr(f"a.cell = b.cell and a.part > b.part and bit_count(a.fp ^ b.fp) <= {bits}")
+    apart = f"bit_count({embedding('a.fp')} ^ {embedding('b.fp')})"  # the lower bound
+    close = F.expr(f"a.cell = b.cell and a.part > b.part and {apart} <= {bits} and bit_count(a.fp ^ b.fp) <= {bits}")
     return a.join(b, close).select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
 
 
@@ -142,6 +145,138 @@ def near_duplicates(docs: DataFrame, text: str = "text", bits: int = BITS, shing
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+# Near copies of a wider radius: by similarity of the shingle sets, at least 0.8 of five words unless told otherwise.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: 64-bit words of a wide fingerprint.
+WIDE = 4
+#: Share of the pairs just at the threshold that tables of sampled bits may miss, were their bits independent.
+MISS = 0.01
+#: A table's key takes at least so many bits; more where there are more texts, so that about four others share a cell by chance.
+KEY_BITS = 16
+
+
+def plan(n: int, similarity: float = SIMILARITY) -> tuple[int, int, int, int]:
+    """(bits of a table's key, tables, differing bits at most of a fingerprint's first 64, and of all) for n texts.
+
+    Two sets of Jaccard similarity s have a cosine of 2s / (1 + s), and a share of arccos / pi of the bits
+    differs. The tables grow with the key, so that the expected recall is the same for every n.
+    """
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    key = max(KEY_BITS, math.ceil(math.log2(max(2, n))) - 2)
+    most = [n * apart + 4 * math.sqrt(n * apart * (1 - apart)) for n in (64, 64 * WIDE)]
+    return key, math.ceil(math.log(MISS) / math.log1p(-((1 - apart) ** key))), *map(math.floor, most)
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of a text's words in lower case; of all its words if they are fewer."""
+    from xxhash import xxh64_intdigest as h
+
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return np.zeros(0, "<u8")
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts, lasts = np.concatenate([[0], ends[:-1] + 1]), (ends[size - 1 :] if len(words) >= size else ends[-1:])
+    return np.unique(np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts[: len(lasts)].tolist(), lasts.tolist(), strict=True)), "<u8", len(lasts)))
+
+
+def wide_bits(hashes: np.ndarray) -> np.ndarray:
+    """64 * WIDE bits of a set of hashes: a bit is 1 if it is set in over half of them, each word by its own mixing."""
+    counts = np.zeros((WIDE, 64), np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        h = hashes[at : at + CHUNK]
+        for w in range(WIDE):
+            mixed = (h + np.uint64(w)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(32)
+            counts[w] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return (2 * counts > len(hashes)).reshape(-1)
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, text: str = "text") -> DataFrame:
+    """(doc_id, component_id) of every row of docs with a doc_id: texts whose sets of shingles have a Jaccard similarity of `similarity` or more are linked.
+
+    Rows of equal shingle sets are one point, null and empty texts (no shingles) one too. Each point has a fingerprint
+    of 64 * WIDE bits. Its embedding is their counts in segments of one bit, of which each table samples some: points with
+    equal counts there share the table's cell. Links are looked for without all pairs of a cell: first of each point with its
+    cells' least, then between points of different parts. Pairs whose first words, then whole fingerprints, differ in more
+    bits than `plan` says (four deviations over what is expected at the threshold) go no further; of the others the exact
+    similarity of the shingle sets decides. component_id is the smallest doc_id that links
+    reach; other columns are ignored; no rows give none.
+    """
+    key, tables, most, most_wide = plan(docs.count(), similarity)
+    # the same bits for each number of them
+    sampled = np.random.default_rng(SEED).permuted(np.tile(np.arange(64 * WIDE), (tables, 1)), axis=1)[:, :key]
+
+    def make():
+        from xxhash import xxh3_128_digest
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            digests, fps = [], []
+            for x in batch.column(1):
+                hashes = shingles(x.as_py(), shingle)
+                digests.append(xxh3_128_digest(hashes.tobytes()))
+                fps.append(np.packbits(wide_bits(hashes), bitorder="little").tobytes())
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(fps, pa.binary())], names=["doc_id", "digest", "fp"])
+
+        return work
+
+    def cells():
+        weights = np.left_shift(np.int64(1), np.arange(key, dtype=np.int64))
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
+            bits = np.unpackbits(raw, axis=1, bitorder="little")
+            found = np.stack([bits[:, s] @ weights + (t << key) for t, s in enumerate(sampled)], axis=1)
+            own = [np.repeat(x, tables) for x in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.ascontiguousarray(raw[:, :8]).view("<i8")[:, 0])]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, found.reshape(-1))], names=["id", "part", "word", "cell"])
+
+        return work
+
+    def celled(points: DataFrame) -> DataFrame:
+        """(id, part, word, cell) of points (id, part, fp): a row for each table, with the fingerprint's first word."""
+        small = points.select("id", "part", "fp").repartition(max(1, n_parts(docs.sparkSession)))
+        return map_arrow(small, cells, "id long, part long, word long, cell long").repartition("cell")
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("t"))
+
+    def sets():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [shingles(x.as_py(), shingle).view("<i8") for x in batch.column(1)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "s"])
+
+        return work
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of point ids whose shingle sets are similar enough."""
+        apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        words = points.select("id", F.array(*[F.expr(f"cast(conv(hex(substring(fp, {8 * i + 1}, 8)), 16, -10) as long)") for i in range(WIDE)]).alias("f"))
+        near = pairs.distinct().join(words.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a").join(words.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b")
+        pairs = written(near.where(apart <= most_wide).select("a", "b"))
+        met = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        # of rows with the same doc_id that one whose set is the point's
+        one = map_arrow(texts.join(met, "id", "left_semi"), sets, "id long, s array<long>").withColumn("digest", F.expr("hash(s)")).dropDuplicates(["id", "digest"]).drop("digest")
+        both = pairs.join(one.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(one.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        shared = "size(array_intersect(sa, sb))"
+        return both.where(F.expr(f"{shared} >= {similarity}d * (size(sa) + size(sb) - {shared})")).select("a", "b").distinct()
+
+    marked = written(map_arrow(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text), make, "doc_id long, digest binary, fp binary"))
+    points = written(marked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")))
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
+    by_id = Window.partitionBy("cell").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    first = celled(points.withColumn("part", F.col("id"))).withColumn("f", F.first(F.struct("id", "word")).over(by_id))
+    joined = components(verified(first.where((F.col("id") > F.col("f.id")) & near("word", "f.word")).select(F.col("id").alias("a"), F.col("f.id").alias("b"))))
+    parted = points.join(joined, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("part"), "fp")
+    whole = Window.partitionBy("cell")
+    mixed = celled(parted).withColumn("first", F.min("part").over(whole)).withColumn("last", F.max("part").over(whole)).where("first < last")
+    a, b = mixed.where("part > first").alias("a"), mixed.alias("b")
+    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.part") > F.col("b.part")) & near("a.word", "b.word")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    links = verified(pairs)
+    merged = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+    of_point = points.select("digest", "id").join(merged, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    return marked.select("doc_id", "digest").join(of_point, "digest").select("doc_id", "component_id")
+
+
 def as_hex(fp: str | Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
