@@ -1,57 +1,94 @@
-"""Entities, relationships, attributes and events out of segments: slots with rule-based defaults."""
+"""Entities, relationships, attributes and events out of segments: one slot, asked once a segment, with a rule-based default."""
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ENTITIES = "document_id string, segment_id string, ord long, name string, type string, description string, aliases array<string>"
-RELATIONS = "document_id string, segment_id string, ord long, source string, target string, relationship string, description string"
+KINDS = ("entities", "relationships", "attributes", "events")
+ANSWER = """entities array<struct<name:string,type:string,description:string,aliases:array<string>>>,
+  relationships array<struct<source:string,target:string,relationship:string,description:string>>,
+  attributes array<struct<entity:string,attribute:string,value:string,unit:string,evidence:string,attribute_type:string>>,
+  events array<struct<id:string,type:string,label:string,title:string,participants:array<string>,context:string,timestamp:string>>"""
+#: Records of a segment that keep its place in the order of all.
+MOST_RECORDS = 1_000_000
 
 _NAME = re.compile(r"[A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+)*")
+_NUMBER = re.compile(r"([A-ZÀ-Þ]\w+) ([0-9]+(?:\.[0-9]+)?) ?([%A-Za-zÀ-ÿ]*)")
+_YEAR = re.compile(r"\b(?:1[0-9]|20)[0-9]{2}\b")
 
 
-def rule_extractor(text: str) -> tuple[list[dict], list[dict]]:
-    """Capitalised runs are entities; two next to each other in a line are related."""
-    names, pairs = [], []
+def rule_extractor(text: str) -> dict[str, list[dict]]:
+    """Capitalised runs are entities, and two next to each other in a line are related; a number after one is an attribute; a line with a year is an event."""
+    names, pairs, events = [], [], []
     for line in text.splitlines():
         found = [m[0] for m in _NAME.finditer(line)]
         names += found
         pairs += [(a, b, line) for a, b in zip(found, found[1:], strict=False) if a != b]
-    return [{"name": n, "type": "CONCEPT", "description": ""} for n in dict.fromkeys(names)], [{"source": a, "target": b, "relationship": "RELATED_TO", "description": x[:80]} for a, b, x in pairs]
+        if year := _YEAR.search(line):
+            events.append({"label": line.strip()[:80], "participants": list(dict.fromkeys(found)), "context": line.strip()[:200], "timestamp": year[0]})
+    return {
+        "entities": [{"name": n, "type": "CONCEPT", "description": ""} for n in dict.fromkeys(names)],
+        "relationships": [{"source": a, "target": b, "relationship": "RELATED_TO", "description": x[:80]} for a, b, x in pairs],
+        "attributes": [{"entity": m[1], "attribute": "number", "value": m[2], "unit": m[3], "evidence": m[0]} for m in _NUMBER.finditer(text)],
+        "events": events,
+    }
 
 
-def extract(segments: DataFrame, extractor: Callable[[str], tuple[list[dict], list[dict]]] = rule_extractor) -> tuple[DataFrame, DataFrame]:
-    """(entities, relationships) of segments that aren't blank; a segment whose extractor fails has none.
+def filled(segments: DataFrame) -> DataFrame:
+    """Segments that aren't blank."""
+    return segments.where(F.length(F.regexp_replace("text", "(?U)\\s", "")) > 0)
 
-    An extractor may call a service: it is called once a segment and task, by columns of whole batches, never on the driver.
+
+def parsed(answer: str | Column) -> Column:
+    """A slot's answer, JSON text, as a struct of KINDS; what isn't such JSON is null, and so are missing lists."""
+    return F.from_json(answer, ANSWER)
+
+
+def answers(segments: DataFrame, extractor: Callable[[str], dict | str] = rule_extractor) -> DataFrame:
+    """(document_id, segment_id, source_path, position, text, seconds, failed, answer) of segments that aren't blank.
+
+    An extractor may call a service and give a dict of lists by KINDS, or JSON text of one. It is called once a segment, in the
+    tasks: write the result before using it twice. A segment whose extractor fails has failed = true and no records.
     """
-    filled = segments.where(F.length(F.regexp_replace("text", "(?U)\\s", "")) > 0)
-
-    def part(of: int, columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                rows = []
-                for d, s, p, t in zip(b["document_id"], b["id"], b["position"], b["text"], strict=True):
-                    try:
-                        found = extractor(t)[of]
-                    except Exception:  # the slot's contract: no records from a segment that fails
-                        found = []
-                    rows += [(d, s, int(p) * 1_000_000 + i, *(x.get(c) for c in columns)) for i, x in enumerate(found)]
-                yield pd.DataFrame(rows, columns=["document_id", "segment_id", "ord", *columns])
-
-        return run
-
-    rows = filled.select("document_id", "id", "position", "text")
-    return rows.mapInPandas(part(0, ["name", "type", "description", "aliases"]), ENTITIES), rows.mapInPandas(part(1, ["source", "target", "relationship", "description"]), RELATIONS)
-
-
-def numbers(segments: DataFrame) -> DataFrame:
-    """The default attribute slot: 'Name value unit' where a capitalised word precedes a number, as attribute records."""
-    found = segments.select("document_id", F.col("id").alias("segment_id"), "text", F.explode(F.expr(r"regexp_extract_all(text, '(\\p{Lu}[\\p{L}]+) ([0-9]+(?:\\.[0-9]+)?) ?([%\\p{L}]*)', 0)")).alias("m"))
-    word = lambda i: F.regexp_extract("m", r"(\p{Lu}[\p{L}]+) ([0-9]+(?:\.[0-9]+)?) ?([%\p{L}]*)", i)
-    return found.select("document_id", "segment_id", word(1).alias("entity"), F.lit("number").alias("attribute"), word(2).alias("value"), word(3).alias("unit"), F.col("m").alias("evidence"), "text", F.lit(None).cast("string").alias("attribute_type"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+
+        for b in batches:
+            rows = []
+            for t in b["text"]:
+                began = time.perf_counter()
+                try:
+                    found = extractor(t)
+                    answer = found if isinstance(found, str) else json.dumps(found, ensure_ascii=False, default=str)
+                    rows.append((time.perf_counter() - began, False, answer))
+                except Exception:  # the slot's contract: counted, and no records
+                    rows.append((time.perf_counter() - began, True, None))
+            yield b.assign(**dict(zip(("seconds", "failed", "raw"), zip(*rows, strict=True), strict=True))) if rows else b.assign(seconds=[], failed=[], raw=[])
+
+    path = "source_path" if "source_path" in segments.columns else "cast('' as string)"
+    rows = filled(segments).selectExpr("document_id", "id as segment_id", f"{path} as source_path", "cast(position as int) position", "text")
+    found = rows.mapInPandas(run, "document_id string, segment_id string, source_path string, position int, text string, seconds double, failed boolean, raw string")
+    return found.withColumn("answer", parsed("raw")).withColumn("failed", F.col("failed") | F.try_parse_json("raw").isNull()).drop("raw")
+
+
+def records(answered: DataFrame, kind: str) -> DataFrame:
+    """(document_id, segment_id, ord, text, *the record's fields) of one of KINDS, ord by place in the document."""
+    one = answered.select("document_id", "segment_id", "position", "text", F.posexplode(f"answer.{kind}").alias("_i", "_x"))
+    return one.select("document_id", "segment_id", (F.col("position").cast("long") * MOST_RECORDS + F.col("_i")).alias("ord"), "text", "_x.*")
+
+
+def provenance(answered: DataFrame, run_id: str, schema_version: int = 1) -> DataFrame:
+    """One change record a segment: where its records come from, how long that took and how many there are."""
+    n = [F.coalesce(F.size(f"answer.{k}"), F.lit(0)).alias(k) for k in KINDS]
+    sized = [F.when(x > 0, x).otherwise(0).alias(k) for x, k in zip(n, KINDS, strict=True)]
+    return answered.select(
+        F.lit(run_id).alias("run_id"), F.lit("merge").alias("change_type"), "document_id", "segment_id", "source_path", F.lit("knowledge_curator").alias("extractor"),
+        F.create_map(F.lit("latency"), F.col("seconds").cast("string"), F.lit("schema_version"), F.lit(str(schema_version))).alias("metadata"), *sized, "failed",
+    )

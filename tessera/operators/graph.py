@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder of spark.checkpoint.dir, or one of our own where it is unset."""
+    """Cuts lineage through the shared folder of spark.checkpoint.dir. Where that is unset, one of our own if there is one machine only, else an error."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
 
@@ -50,6 +53,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         last, state = state, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == last or not state[0]:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
@@ -206,6 +211,11 @@ def profiles(entities: DataFrame, relations: DataFrame, membership: DataFrame) -
     )
 
 
+def common_communities(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The community_ids that both have."""
+    return before.select("community_id").intersect(after.select("community_id"))
+
+
 def community_evolution(before: DataFrame, after: DataFrame) -> DataFrame:
     """(community_id, change, delta_size, added, removed, alert) of (community_id, members) before and after; unchanged ones are left out."""
     none = F.array().cast("array<string>")

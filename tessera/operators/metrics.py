@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,22 @@ def review(answer: Column, n_entities: Column, graph_hits: Column, vector_hits:
     return [concerns.alias("concerns"), approved.alias("approved"), confidence.alias("confidence")]
 
 
+def document_counts(entities: DataFrame, relations: DataFrame, membership: DataFrame) -> DataFrame:
+    """(document_id, entities, relationships, communities) of each document that has entities.
+
+    entities: (document_id, entity_id); relations: (document_id, relation_id); membership: (entity_id, community_id).
+    """
+    own = entities.distinct()
+    e = own.groupBy("document_id").agg(F.count(F.lit(1)).alias("entities"))
+    r = relations.groupBy("document_id").agg(F.count_distinct("relation_id").alias("relationships"))
+    c = own.join(membership, "entity_id").groupBy("document_id").agg(F.count_distinct("community_id").alias("communities"))
+    out = e.join(r, "document_id", "left").join(c, "document_id", "left")
+    return out.na.fill(0, ["relationships", "communities"]).select("document_id", "entities", "relationships", "communities")
+
+
 def timeline(log: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, latest, n): how many entries each key has, and its last."""
-    return log.groupBy(key).agg(F.max_by(F.struct(*[c for c in log.columns if c != key]), order).alias("latest"), F.count(F.lit(1)).alias("n"))
+    """Each key's entries in their order, from place 1; `latest` marks the last."""
+    by_key = Window.partitionBy(key)
+    ordered = by_key.orderBy(order, *[c for c in log.columns if c not in (key, order)])
+    placed = log.withColumn("place", F.row_number().over(ordered))
+    return placed.withColumn("latest", F.col("place") == F.max("place").over(by_key))

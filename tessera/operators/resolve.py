@@ -32,6 +32,12 @@ def attribute_records(raw: DataFrame) -> DataFrame:
     return some.select("document_id", "segment_id", F.col("entity").alias("entity_candidate"), "attribute", F.col("value").cast("string").alias("value"), "unit", F.coalesce("evidence", F.left(strip("text"), F.lit(200))).alias("context"), F.coalesce("attribute_type", F.lit("ATTRIBUTE")).alias("attribute_type"))
 
 
+def attributed(attributes: DataFrame, aliases: DataFrame, ids: DataFrame) -> DataFrame:
+    """Attributes with their candidate's canonical name, by `with_alias`, and that one's id of (name, id), null if there is none."""
+    named = with_alias(attributes, "entity_candidate", aliases, "_name").withColumn("entity_candidate", F.col("_name")).drop("_name")
+    return named.join(ids.select(F.col("name").alias("_n"), F.col("id").alias("entity_id")), F.col("entity_candidate") == F.col("_n"), "left").drop("_n")
+
+
 def event_records(raw: DataFrame) -> DataFrame:
     """Events with a label and a context; the default id counts all events of the segment, also those passed over."""
     place = F.row_number().over(Window.partitionBy("document_id", "segment_id").orderBy("ord")) - 1

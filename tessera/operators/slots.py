@@ -77,6 +77,24 @@ def relation_weights(relations: DataFrame, base: float = 0.2) -> DataFrame:
     return counts.join(most).select("relationship", (F.lit(base) * (F.lit(2.0) - F.col("n") / F.col("most"))).alias("weight"))
 
 
+def summaries(profiles: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
+    """profiles with the model's title, summary and keywords, where it gives some; it sees community_id, member_names and keywords, by batches."""
+    if model is None:
+        return profiles
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = model(b)
+            yield pd.DataFrame({"community_id": b["community_id"], "_t": found.get("title"), "_s": found.get("summary"), "_k": found.get("keywords")})
+
+    kind = profiles.schema["community_id"].dataType.simpleString()
+    given = profiles.select("community_id", "member_names", "keywords").mapInPandas(run, f"community_id {kind}, _t string, _s string, _k array<string>")
+    out = profiles.join(given, "community_id", "left")
+    for own, new in (("title", "_t"), ("summary", "_s"), ("keywords", "_k")):
+        out = out.withColumn(own, F.coalesce(new, own))
+    return out.select(*profiles.columns)
+
+
 def default_summary(names: str | Column, size: str | Column) -> Column:
     """The community summary without a model."""
     names, size = (F.col(x) if isinstance(x, str) else x for x in (names, size))

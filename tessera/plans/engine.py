@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -9,38 +10,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, extract, graph, metrics, resolve, retrieval, vectors
+from ..operators import chunking, extract, graph, metrics, resolve, retrieval, slots, vectors
 from ..sources.corpus import documents_or_scan
 from ..sources.store import GraphStore
 
 
+@dataclass(frozen=True)
+class Step:
+    """A step of an answer's plan."""
+
+    action: str
+    description: str
+    arguments: dict = field(default_factory=dict)
+
+
 @dataclass
 class Engine:
-    """Slots: an extractor of segments, an embedding model, weights of relations."""
+    """Slots, each with an offline default: an extractor of segments, an embedding model, weights of relations; of a
+    question its class, its key entities, queries to try and the answer's text; of a community its title and summary.
+    """
 
     spark: SparkSession
     store: GraphStore
     folder: str = "documents"
-    extractor: object = extract.rule_extractor
+    extractor: Callable[[str], dict | str] = extract.rule_extractor
     model: object = vectors.hashed_words
     relation_weights: dict[str, float] = field(default_factory=dict)
     merge_similar: bool = False
     separator: str = r"\n\s*\n"
+    classify: Callable[[str], str] | None = None
+    analyse: Callable[[str], list[str]] | None = None
+    summarise: Callable[[pd.DataFrame], pd.DataFrame] | None = None
+    write_queries: Callable[[str, list[str], list[str]], list[str]] | None = None
+    write_answer: Callable[[str, list[str]], str] | None = None
 
-    def ingest(self, corpus: DataFrame | None = None) -> dict:
-        """Chunks, extracts, resolves and stores; then communities, embeddings, their change, and a report."""
+    def ingest(self, corpus: DataFrame | None = None, run_id: str = "") -> dict:
+        """Chunks, extracts, resolves and stores; then communities, embeddings, their change, and a report.
+
+        A batch that runs again leaves the same rows in every table but the history: all are put by their keys.
+        """
         before = self.store.read("communities").select("community_id", "members")
         documents = documents_or_scan(self.spark, corpus, self.folder)
         segments = graph.checkpointed(chunking.segments(documents, separator=self.separator))
-        raw_entities, raw_relations = extract.extract(segments, self.extractor)
-        raw_entities, raw_relations = graph.checkpointed(raw_entities), graph.checkpointed(raw_relations)
-        clean = resolve.clean_entities(raw_entities)
-        related = resolve.clean_relationships(raw_relations, clean)
+        answered = graph.checkpointed(extract.answers(segments, self.extractor))  # the slot is asked once
+        clean = resolve.clean_entities(extract.records(answered, "entities"))
+        related = resolve.clean_relationships(extract.records(answered, "relationships"), clean)
         # documents in the order of their hashes, then places in them: an order that no partitioning changes
         ordered = clean.withColumn("ord", F.pmod(F.xxhash64("document_id"), F.lit(1 << 22)) * (1 << 40) + F.col("ord"))
         entities = resolve.canonical_entities(ordered)
         relations = resolve.aggregate_relationships(resolve.relationships_between(related, entities))
         ids = entities.select("name", "id")
+        aliases = graph.checkpointed(resolve.alias_lookup(entities.withColumn("ord", F.col("norm"))))
         if self.merge_similar:
             pairs = resolve.similar_pairs(entities)
             groups = graph.connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -50,17 +70,21 @@ class Engine:
         ends = resolve.relationship_ends(relations.withColumn("source_id", F.lit(None).cast("string")).withColumn("target_id", F.lit(None).cast("string")), known if not self.merge_similar else ids)
         self.store.upsert_entities(entities.select("id", "name", "type", "description", "aliases"))
         self.store.upsert_relationships(ends.select("id", "source_id", "target_id", "source", "target", "relationship", "description"))
-        self.store.append("attributes", resolve.attribute_records(extract.numbers(segments).withColumn("text", F.col("evidence"))))
+        found = resolve.attribute_records(extract.records(answered, "attributes"))
+        self.store.put("attributes", resolve.attributed(found, aliases, known))
+        self.store.put("events", resolve.resolve_participants(resolve.event_records(extract.records(answered, "events")), aliases))
+        self.store.append("changes", extract.provenance(answered, run_id))
         stored, edges = self.store.read("entities"), self.store.read("relationships")
         membership = graph.checkpointed(graph.louvain(graph.simple_edges(edges)))
-        profiles = graph.checkpointed(graph.profiles(stored, edges, membership))
+        profiles = graph.checkpointed(slots.summaries(graph.profiles(stored, edges, membership), self.summarise))
         self.store.replace_communities(profiles)
         text = T.entity_text("name", "type", "description")
         self.store.store_embeddings(vectors.embed(stored, "id", text, self.model))
         change = graph.community_evolution(before, self.store.read("communities").select("community_id", "members"))
         version = self.store.snapshot()
-        counts = {name: self.store.read(name).count() for name in ("entities", "relationships", "communities", "attributes")}
-        return {"documents": documents.count(), "segments": segments.count(), "snapshot_version": version, **counts, "community_alerts": change.where("alert").count(), **self.health()}
+        counts = {name: self.store.read(name).count() for name in ("entities", "relationships", "communities", "attributes", "events")}
+        failed = answered.where("failed").count()
+        return {"documents": documents.count(), "segments": segments.count(), "failed_segments": failed, "snapshot_version": version, **counts, "community_alerts": change.where("alert").count(), **self.health()}
 
     def health(self) -> dict:
         stored, edges = self.store.read("entities"), self.store.read("relationships")
@@ -68,23 +92,47 @@ class Engine:
         shape = graph.community_metrics(graph.simple_edges(edges), membership)
         return metrics.health_report(metrics.snapshot_metrics(stored, edges), self.store.read("attributes"), shape).first().asDict()
 
-    def answer(self, question: str, limit: int = 10, strict_chain: bool = False) -> dict:
-        """Intent, focus, the first pattern with rows (else a term search), neighbours by embedding, communities, review.
-
-        strict_chain=True drops rows of patterns that don't name a source and a target, and patterns with empty parameters.
-        """
-        entities, edges = self.store.read("entities"), self.store.read("relationships")
+    def focus(self, question: str) -> tuple[str, list[str], dict]:
+        """(class, focus ids, what the patterns may be given) of a question."""
+        entities = self.store.read("entities")
         asked = self.spark.createDataFrame([("q", question)], "question_id string, text string")
-        row = asked.select(T.intent("text").alias("intent"), T.intent_bucket(T.intent("text")).alias("bucket"), T.context_terms("text").alias("terms"), T.search_terms("text").alias("search")).first()
+        row = asked.select(T.intent("text").alias("intent"), T.context_terms("text").alias("terms"), T.search_terms("text").alias("search")).first()
+        kind = self.classify(question) if self.classify else row["intent"]
+        kind = kind if kind in T.INTENT_BUCKETS else "descriptive"
+        # the slot's key entities stand for the question where it gives some
+        text = " ; ".join(keys) if self.analyse and (keys := self.analyse(question)) else question
+        asked = self.spark.createDataFrame([("q", text)], "question_id string, text string")
         names = entities.select(F.col("name").alias("alias"), F.col("id").alias("entity_id"), F.xxhash64("id").alias("pos"))
         aliases = entities.select(F.explode("aliases").alias("alias"), F.col("id").alias("entity_id"), F.xxhash64("id").alias("pos"))
         found = retrieval.focus_entities(asked, aliases, names).first()
         focus = found["focus_ids"] if found else []
         named = entities.where(F.col("id").isin(focus)).select("id", "name", "aliases").collect()
         terms = sorted({x.lower() for r in named for x in [r["name"], *(r["aliases"] or [])] if x})
-        given = {"focus_ids": focus[:1] if row["bucket"] == "comparative" else focus, "secondary_ids": focus[1:], "all_aliases": terms, "context_terms": row["terms"], "relationship_keywords": []}
-        evidence, template = None, None
-        for p in [*retrieval.patterns_for(row["bucket"]), *(retrieval.patterns_for("fallback") if row["bucket"] != "fallback" else [])] if focus else []:
+        given = {"focus_ids": focus[:1] if T.INTENT_BUCKETS[kind] == "comparative" else focus, "secondary_ids": focus[1:], "all_aliases": terms, "context_terms": row["terms"], "relationship_keywords": [], "search_terms": row["search"]}
+        return kind, focus, given
+
+    def plan(self, question: str, limit: int = 10) -> list[Step]:
+        """The steps of an answer: which entities, their communities, the graph patterns in their order, neighbours by embedding, the check."""
+        kind, focus, given = self.focus(question)
+        bucket = T.INTENT_BUCKETS[kind]
+        patterns = [*retrieval.patterns_for(bucket), *(retrieval.patterns_for("fallback") if bucket != "fallback" else [])] if focus else []
+        return [
+            Step("entity_lookup", "which entities the question is about", {"intent": kind, "focus_ids": focus}),
+            Step("community_context", "what their communities are", {}),
+            Step("graph_retrieve", "relations by patterns, then by terms, then by written queries", {"bucket": bucket, "patterns": [p.name for p in patterns], "limit": limit, "given": given}),
+            Step("vector_retrieve", "entities of near texts", {"top_k": 3 if kind in ("temporal", "attribute") else 5}),
+            Step("context_consistency", "whether there is evidence", {}),
+        ]
+
+    def _graph_evidence(self, question: str, arguments: dict, strict_chain: bool) -> tuple[DataFrame, str]:
+        """The first pattern with rows, else a search by terms, else the rows of queries that the slot writes and that only read."""
+        entities, edges, given = self.store.read("entities"), self.store.read("relationships"), arguments["given"]
+        patterns = {p.name: p for group in retrieval.PATTERNS.values() for p in group}
+
+        def scored(rows: DataFrame, name: str, weight: float) -> DataFrame:
+            return retrieval.normalized(rows, name, weight, given["all_aliases"], None, self.relation_weights)
+
+        for p in map(patterns.__getitem__, arguments["patterns"]):
             if strict_chain and any(not given[n] for n in p.needs):
                 continue
             rows = p.rows(entities, edges, **given)
@@ -92,20 +140,36 @@ class Engine:
                 if not rows.isEmpty():
                     break
                 continue
-            found = retrieval.normalized(rows, p.name, p.weight, terms, None, self.relation_weights)
+            found = scored(rows, p.name, p.weight)
             if not found.isEmpty():
-                evidence, template = found, p.name
-                break
-        if evidence is None:
-            hits = retrieval.term_search(edges, row["search"])
-            evidence, template = retrieval.normalized(hits, "term_search", 0.5, terms, None, self.relation_weights), "term_search"
+                return found, p.name
+        found = scored(retrieval.term_search(edges, given["search_terms"]), "term_search", 0.5)
+        if self.write_queries and found.isEmpty():
+            for sql in self.write_queries(question, given["all_aliases"], given["context_terms"])[:3]:
+                if self.spark.createDataFrame([(sql,)], "q string").select(T.is_read_only("q").alias("ok")).first()["ok"]:
+                    rows = scored(self.store.query(sql), "written_query", 0.6)
+                    if not rows.isEmpty():
+                        return rows, "written_query"
+        return found, "term_search"
+
+    def answer(self, question: str, limit: int = 10, strict_chain: bool = False) -> dict:
+        """The plan's steps in their order, the answer's text and its review.
+
+        strict_chain=True drops rows of patterns that don't name a source and a target, and patterns with empty parameters.
+        """
+        steps = {s.action: s.arguments for s in self.plan(question, limit)}
+        entities = self.store.read("entities")
+        kind, focus = steps["entity_lookup"]["intent"], steps["entity_lookup"]["focus_ids"]
+        matched = self.spark.createDataFrame([(x, i) for i, x in enumerate(focus)], "id string, pos int")
+        member = self.store.read("communities").select("community_id", "title", "summary", F.explode("members").alias("id"))
+        near_by = [r.asDict() for r in matched.join(member, "id").groupBy("community_id", "title", "summary").agg(F.min("pos").alias("pos")).orderBy("pos", "community_id").collect()]
+        evidence, template = self._graph_evidence(question, steps["graph_retrieve"], strict_chain)
         best = [r.asDict(True) for r in retrieval.ranked(evidence, limit).collect()]
-        k = 3 if row["intent"] in ("temporal", "attribute") else 5
         vector = list(map(float, self.model(pd.Series([question]))[0]))
-        near = [r.asDict() for r in vectors.top_k(entities.select(F.col("id").alias("key"), F.col("embedding").alias("vector")).where("vector is not null"), vector, k).collect()]
+        near = [r.asDict() for r in vectors.top_k(entities.select(F.col("id").alias("key"), F.col("embedding").alias("vector")).where("vector is not null"), vector, steps["vector_retrieve"]["top_k"]).collect()]
         lines = [r["line"] for r in retrieval.evidence_lines(evidence).orderBy("place").collect()]
-        text = "\n".join(lines)
-        checked = self.spark.createDataFrame([(text, len(named), len(best), len(near))], "a string, e int, g int, v int")
+        text = self.write_answer(question, lines) if self.write_answer else "\n".join(lines)
+        checked = self.spark.createDataFrame([(text, len(focus), len(best), len(near))], "a string, e int, g int, v int")
         verdict = metrics.consistency(F.col("g"), F.col("v"))
         judged = checked.select(*metrics.review(F.col("a"), F.col("e"), F.col("g"), F.col("v"), verdict)).first().asDict()
-        return {"question": question, "intent": row["intent"], "template": template, "focus_ids": focus, "evidence": best, "neighbours": near, "answer": text, "review": judged}
+        return {"question": question, "intent": kind, "template": template, "focus_ids": focus, "communities": near_by, "evidence": best, "neighbours": near, "answer": text, "review": judged}

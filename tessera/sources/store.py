@@ -12,10 +12,11 @@ SCHEMAS = {
     "communities": "community_id string, members array<string>, title string, summary string, entity_count int, created_at string",
     "belongs_to": "entity_id string, community_id string",
     "events": "id string, type string, label string, participants array<string>, document_id string, segment_id string, context string, timestamp string",
-    "attributes": "document_id string, segment_id string, entity_candidate string, attribute string, value string, unit string, context string, attribute_type string",
+    "attributes": "document_id string, segment_id string, entity_candidate string, entity_id string, attribute string, value string, unit string, context string, attribute_type string",
+    "changes": "run_id string, change_type string, document_id string, segment_id string, source_path string, extractor string, metadata map<string,string>, entities int, relationships int, attributes int, events int, failed boolean",
     "snapshots": "version int, entity_count long, relationship_count long, metadata map<string,string>",
 }
-KEYS = {"entities": ["id"], "relationships": ["source_id", "id", "target_id"], "communities": ["community_id"], "belongs_to": ["entity_id", "community_id"]}
+KEYS = {"entities": ["id"], "relationships": ["source_id", "id", "target_id"], "communities": ["community_id"], "belongs_to": ["entity_id", "community_id"], "events": ["id"], "attributes": ["document_id", "segment_id", "entity_candidate", "attribute", "value"]}
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,6 +30,15 @@ def keep_first_created(old: DataFrame, new: DataFrame, keys: list[str]) -> DataF
     return upsert(old, new.join(was, keys, "left").withColumn("created_at", F.coalesce("_was", "created_at")).drop("_was"), keys)
 
 
+def one_a_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key, the same on every run: the greatest by its columns as text. Null keys are keys."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    text = F.to_json(F.struct(*rest))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), text).alias("_r")).select(*keys, "_r.*").select(*rows.columns)
+
+
 def with_ends(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """Relations both of whose ends are entities."""
     ids = entities.select("id").distinct()
@@ -87,11 +97,11 @@ class GraphStore:
     def upsert_entities(self, rows: DataFrame) -> int:
         """Whole rows replace those of the same id; embeddings are null again unless given."""
         new = self._filled("entities", rows, id=F.uuid(), type=F.lit("UNKNOWN"), domain=F.lit("unknown"), aliases=F.array().cast("array<string>"), created_at=now())
-        return self.write("entities", upsert(self.read("entities"), new.dropDuplicates(["id"]), KEYS["entities"]))
+        return self.write("entities", upsert(self.read("entities"), one_a_key(new, KEYS["entities"]), KEYS["entities"]))
 
     def upsert_relationships(self, rows: DataFrame) -> int:
         new = self._filled("relationships", with_ends(rows, self.read("entities")), type=F.lit("RELATIONSHIP"), created_at=now())
-        return self.write("relationships", upsert(self.read("relationships"), new.dropDuplicates(KEYS["relationships"]), KEYS["relationships"]))
+        return self.write("relationships", upsert(self.read("relationships"), one_a_key(new, KEYS["relationships"]), KEYS["relationships"]))
 
     def replace_communities(self, profiles: DataFrame) -> int:
         """All communities anew; a known one keeps its created_at; members that are entities belong to it."""
@@ -106,6 +116,12 @@ class GraphStore:
         rows = self.read(name).join(vectors.select(F.col("key").alias("id"), "vector"), "id", "left")
         return self.write(name, rows.withColumn("embedding", F.coalesce("vector", "embedding")).drop("vector"))
 
+    def put(self, name: str, rows: DataFrame) -> int:
+        """Rows of a table by its keys: those of a batch that runs again replace themselves."""
+        keys = KEYS[name]
+        new = one_a_key(self._filled(name, rows).select(*self.read(name).columns).na.fill("", keys), keys)
+        return self.write(name, upsert(self.read(name), new, keys))
+
     def append(self, name: str, rows: DataFrame) -> int:
         return self.write(name, self.read(name).unionByName(self._filled(name, rows).select(*self.read(name).columns)))
 

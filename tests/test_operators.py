@@ -1,7 +1,9 @@
 """Small cases of single operators, with results derived by hand."""
 
 import json
+import uuid
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -221,5 +223,53 @@ def test_a_failing_extractor_gives_nothing(spark):
             raise ValueError
         return extract.rule_extractor(t)
 
-    e, r = extract.extract(segs, bad)
-    assert {x["segment_id"] for x in e.collect()} == {"s2"} and r.count() == 1
+    found = extract.answers(segs, bad)
+    assert {x["segment_id"] for x in extract.records(found, "entities").collect()} == {"s2"} and extract.records(found, "relationships").count() == 1
+    assert [x["segment_id"] for x in found.where("failed").collect()] == ["s"]
+
+
+def test_the_extractor_is_asked_once_and_may_answer_in_json(spark, tmp_path):
+    segs = spark.createDataFrame([(f"s{i}", "d", i, f"text {i}") for i in range(4)], "id string, document_id string, position int, text string")
+
+    def model(t):
+        (tmp_path / f"{t}-{uuid.uuid4().hex}").write_text("")
+        return ['{"entities": [{"name": "A", "type": 3}], "events": [{"title": "T", "participants": ["A"], "context": "c"}]}', "{}", "no json", '{"entities": null}'][int(t[-1])]
+
+    found = graph.checkpointed(extract.answers(segs, model))
+    entities, events = extract.records(found, "entities").collect(), resolve.event_records(extract.records(found, "events")).collect()
+    assert [(r["name"], r["type"], r["ord"]) for r in entities] == [("A", "3", 0)] and [(r["id"], r["label"]) for r in events] == [("event_d_s0_0", "T")]
+    assert len(list(tmp_path.iterdir())) == 4
+    log = extract.provenance(found, "run").orderBy("segment_id").collect()
+    assert [(r["entities"], r["events"], r["failed"]) for r in log] == [(1, 1, False), (0, 0, False), (0, 0, True), (0, 0, False)] and log[0]["metadata"]["schema_version"] == "1"
+
+
+def test_slots_of_an_answer(spark, tmp_path):
+    def summarise(b):
+        return pd.DataFrame({"title": ["t " + x for x in b["community_id"]], "summary": None, "keywords": None}, index=b.index)
+
+    engine = Engine(
+        spark, store.GraphStore(spark, str(tmp_path / "g")), separator="\n", classify=lambda q: "temporal", analyse=lambda q: ["Alice Smith"], summarise=summarise, write_answer=lambda q, lines: f"{len(lines)} lines about it, five words",
+        write_queries=lambda q, aliases, terms: ["select 1 as create_x", "select name as source, 'IS' as relationship, type as target, '' as description from entities where name = 'Fay Green'"],
+    )
+    engine.ingest(spark.createDataFrame(DOCS, "id string, path string, text string"), "r1")
+    steps = engine.plan("who?")
+    assert [s.action for s in steps] == ["entity_lookup", "community_context", "graph_retrieve", "vector_retrieve", "context_consistency"] and steps[3].arguments == {"top_k": 3}
+    found = engine.answer("who?")
+    assert found["intent"] == "temporal" and len(found["focus_ids"]) == 1 and found["communities"] and found["communities"][0]["title"].startswith("t ") and found["answer"].endswith("five words")
+    engine.analyse = None
+    found = engine.answer("zzz?")
+    assert found["template"] == "written_query" and [e["source_name"] for e in found["evidence"]] == ["Fay Green"]
+
+
+def test_a_replayed_batch_leaves_the_same_rows(spark, tmp_path):
+    docs = [*DOCS, ("d3", "p", "Alice Smith moved to Paris in 1931.\nWeight 12 kg, Weight 12 kg.")]
+    engine = Engine(spark, store.GraphStore(spark, str(tmp_path / "g")), separator="\n")
+    kept = []
+    for run in ("r1", "r2"):
+        report = engine.ingest(spark.createDataFrame(docs, "id string, path string, text string"), run)
+        assert report["events"] == 1 and report["failed_segments"] == 0
+        tables = ("entities", "relationships", "attributes", "events", "communities")
+        kept.append([sorted(map(str, engine.store.read(t).drop("created_at").collect())) for t in tables])
+    assert kept[0] == kept[1] and engine.store.read("changes").count() == 6
+    event = engine.store.read("events").first()
+    assert event["timestamp"] == "1931" and event["participants"] == ["Alice Smith", "Paris"]
