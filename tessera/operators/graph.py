@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,77 +68,51 @@ def label_propagation(edges: DataFrame, rounds: int = 3) -> DataFrame:
     return labels
 
 
-def modularity_moves(adjacency: dict[int, dict[int, float]], total: float) -> dict[int, int]:
-    """Communities of one component by repeated local moves and merging; nodes in order, ties to the smallest community."""
-    member = {n: n for n in adjacency}
-    graph = adjacency
-    while True:
-        degree = {n: sum(w * (2 if m == n else 1) for m, w in near.items()) for n, near in graph.items()}
-        own, weight = {n: n for n in graph}, dict(degree)
-        again, changed = True, False
-        while again:
-            again = False
-            for n in sorted(graph):
-                near: dict[int, float] = {own[n]: 0.0}
-                for m, w in graph[n].items():
-                    if m != n:
-                        near[own[m]] = near.get(own[m], 0.0) + w
-                weight[own[n]] -= degree[n]
-                gain = {c: w - degree[n] * weight[c] / total for c, w in near.items()}
-                best = min(gain, key=lambda c: (-round(gain[c], 12), c))
-                if gain[best] <= gain[own[n]] + 1e-12:
-                    best = own[n]
-                if best != own[n]:
-                    own[n], again, changed = best, True, True
-                weight[best] += degree[n]
-        if not changed:
+def local_moves(ways: DataFrame, total: float, most_rounds: int) -> DataFrame:
+    """(node, community): nodes of a weighted graph moved to the neighbouring community of the highest gain of modularity, round by round.
+
+    ways: (a, b, w) from either end, a loop with all its inner weight. In a round about half of the nodes may move, by a hash of
+    node and round, so that neighbours don't change places for ever; of equal gains the smallest community wins.
+    Sums are partially aggregated, so a hub's edges aren't gathered in one task. Ends when no node gains.
+    """
+    weight = checkpointed(ways.groupBy("a").agg(F.sum("w").alias("k")))
+    own = weight.select(F.col("a").alias("node"), F.col("a").alias("c"))
+    for i in range(most_rounds):
+        held = own.join(weight, F.col("node") == F.col("a")).select("node", "c", "k")
+        sums = held.groupBy("c").agg(F.sum("k").alias("of_c"))
+        met = ways.where("a <> b").join(own, F.col("b") == F.col("node")).select("a", "c", "w").unionByName(own.select(F.col("node").alias("a"), "c", F.lit(0.0).alias("w")))
+        near = met.groupBy("a", "c").agg(F.sum("w").alias("w")).join(sums, "c").join(held.select(F.col("node").alias("a"), F.col("c").alias("now"), "k"), "a")
+        here = F.col("c") == F.col("now")
+        gain = F.round(F.col("w") - F.col("k") * (F.col("of_c") - F.when(here, F.col("k")).otherwise(0.0)) / total, 9)
+        choice = near.withColumn("loss", -gain).groupBy("a", "now").agg(F.min(F.struct("loss", "c")).alias("best"), F.min(F.when(here, F.col("loss"))).alias("stay"))
+        better = F.col("best.loss") < F.col("stay")
+        may = F.pmod(F.xxhash64("a", F.lit(i)), F.lit(2)) == 0
+        moved = checkpointed(choice.select(F.col("a").alias("node"), F.when(better & may, F.col("best.c")).otherwise(F.col("now")).alias("c"), better.alias("better")))
+        own = moved.select("node", "c")
+        if not moved.where("better").limit(1).count():
             break
-        least = {}
-        for n, c in own.items():
-            least[c] = min(n, least.get(c, n))
-        member = {n: least[own[c]] for n, c in member.items()}
-        merged: dict[int, dict[int, float]] = {}
-        for n, near in graph.items():
-            a = least[own[n]]
-            for m, w in near.items():
-                if n <= m:
-                    b = least[own[m]]
-                    merged.setdefault(a, {}).setdefault(b, 0.0)
-                    merged[a][b] += w
-                    if a != b:
-                        merged.setdefault(b, {}).setdefault(a, 0.0)
-                        merged[b][a] += w
-        graph = merged
-    return member
-
-
-def louvain(edges: DataFrame, largest: int = 200_000) -> DataFrame:
+    return own.select("node", F.col("c").alias("community"))
+
+
+def louvain(edges: DataFrame, most_rounds: int = 30, most_levels: int = 10) -> DataFrame:
     """(node, community): modularity communities, named by their smallest node; loops count for nothing.
 
-    Moves never leave a component, so each component of at most `largest` edges is one task's group, with the whole
-    graph's edge count in its gains. Larger components take label propagation instead, as DataFrame rounds.
+    At each level nodes are moved by `local_moves`, then each community is put as one node. All of it is joins and sums, the
+    same for every size of graph and component; no edges give no rows.
     """
-    plain = edges.where("u <> v")
-    groups = connected_components(plain)
-    total = 2.0 * plain.count()
-    tagged = plain.join(groups, F.col("u") == F.col("node")).select("u", "v", "component")
-    sizes = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    small = tagged.join(sizes.where(F.col("n") <= largest), "component", "left_semi")
-    big = tagged.join(sizes.where(F.col("n") > largest), "component", "left_semi")
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([rows["u"], rows["v"]]))
-        place = {x: i for i, x in enumerate(names)}
-        near: dict[int, dict[int, float]] = {i: {} for i in range(len(names))}
-        for u, v in zip(rows["u"], rows["v"], strict=True):
-            near[place[u]][place[v]] = near[place[v]][place[u]] = 1.0
-        found = modularity_moves(near, total)
-        return pd.DataFrame({"node": names, "community": [names[found[i]] for i in range(len(names))]})
-
-    kind = plain.schema["u"].dataType.simpleString()
-    moved = small.groupBy("component").applyInPandas(one, f"node {kind}, community {kind}")
-    spread = label_propagation(big, 12).select("node", F.col("label").alias("community"))
-    return moved.union(spread)
+    plain = edges.where("u <> v").select("u", "v").distinct()
+    ways = checkpointed(both_ways(plain).select(F.col("node").alias("a"), F.col("other").alias("b"), F.lit(1.0).alias("w")))
+    total = float(ways.count())
+    member = ways.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct()
+    for _ in range(most_levels if total else 0):
+        found = local_moves(ways, total, most_rounds)
+        named = found.join(found.groupBy("community").agg(F.min("node").alias("name")), "community").select(F.col("node").alias("community"), "name")
+        if not named.where("community <> name").limit(1).count():
+            break
+        member = checkpointed(member.join(named, "community").select("node", F.col("name").alias("community")))
+        of = lambda side: named.select(F.col("community").alias(side), F.col("name").alias(f"{side}_"))
+        ways = checkpointed(ways.join(of("a"), "a").join(of("b"), "b").groupBy(F.col("a_").alias("a"), F.col("b_").alias("b")).agg(F.sum("w").alias("w")))
+    return member.groupBy("community").agg(F.min("node").alias("least")).join(member, "community").select("node", F.col("least").alias("community"))
 
 
 def communities(membership: DataFrame, least: int = 2) -> DataFrame:

@@ -485,12 +485,6 @@ def entity_neighbourhood(spark, d):
     return retrieval.entity_neighbourhood(tables.entities(spark, d), tables.located(spark, d), "nation:1")
 
 
-@query()
-def chunk_documents(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("path"), "text")
-    return chunking.segments(docs, separator="\n").select("id", "document_id", "position", "text")
-
-
 @query("""with n as (select distinct p_type as type, p_name as norm from part), e as (select type||'/'||norm as id, * from n)
   select a.id as a, b.id as b from e a join e b on a.type = b.type and a.id < b.id where levenshtein(a.norm, b.norm) <= 2 and abs(length(a.norm) - length(b.norm)) <= 0.7 * greatest(length(a.norm), length(b.norm))""")
 def similar_pairs_blocked(spark, d):
@@ -561,10 +555,10 @@ def search_terms(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.lit("").alias("none"), F.size(T.search_terms("text", 1_000_000)).alias("n"))
 
 
-@query("select event_type as key, count(*) as n, max(event_id) as latest from events group by 1")
+@query("select event_type as key, event_id, ts, row_number() over (partition by event_type order by ts, event_id) as place, row_number() over (partition by event_type order by ts desc, event_id desc) = 1 as latest from events")
 def temporal_index(spark, d):
-    log = table(spark, d, "events").select(F.col("event_type").alias("key"), "event_id")
-    return metrics.timeline(log, "key", "event_id").select("key", "n", F.col("latest.event_id").alias("latest"))
+    log = table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
+    return metrics.timeline(log, "key", "ts").select("key", "event_id", "ts", "place", "latest")
 
 
 @query("select p_partkey, p_name||' | '||p_type||' | None' as fabric, p_name||' '||p_type as plain, p_name||' 类型: '||p_type as labelled from part")
@@ -600,13 +594,6 @@ def alias_dictionary_merge(spark, d):
     return corpus.merge_alias_dictionary(known, fresh).withColumn("variants", joined("variants"))
 
 
-@query("select c_custkey as id, case when c_custkey % 3 = 0 then 'v'||c_custkey else 'old' end as embedding from customer")
-def embedding_update(spark, d):
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("old").alias("embedding"))
-    new = rows.where("id % 3 = 0").select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("vector"))
-    return rows.join(new, "id", "left").select("id", F.coalesce("vector", "embedding").alias("embedding"))
-
-
 @query(f"""with {LOC}, deg as (select node, count(*) as degree from (select least(source_id, target_id) as node, greatest(source_id, target_id) as o from loc union all select greatest(source_id, target_id), least(source_id, target_id) from loc) group by 1) select node, degree from deg""")
 def node_degrees(spark, d):
     return graph.degrees(graph.simple_edges(tables.located(spark, d)))

@@ -57,9 +57,16 @@ def read_map_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode("embeddings").alias("key", "vector"))
 
 
+def write_knowledge_graph(entities: DataFrame, relationships: DataFrame, path: str) -> None:
+    """A folder of JSON lines, each one object with a list of entities or of relationships, as `read_knowledge_graph` reads."""
+    rows = entities.select(F.to_json(F.struct(F.array(F.struct(*entities.columns)).alias("entities"))).alias("value"))
+    rows.union(relationships.select(F.to_json(F.struct(F.array(F.struct(*relationships.columns)).alias("relationships"))).alias("value"))).write.mode("overwrite").text(path)
+
+
 def read_knowledge_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entities, relationships) of a JSON file with a list of each."""
+    """(entities, relationships) of a JSON file with a list of each, or of a folder of JSON lines with some of them."""
     entity = "struct<id:string,name:string,type:string,description:string,aliases:array<string>>"
     relation = "struct<id:string,source_id:string,target_id:string,source:string,target:string,relationship:string,description:string>"
-    whole = spark.read.schema(f"entities array<{entity}>, relationships array<{relation}>").json(path, multiLine=True)
+    lines = spark.read.text(path, wholetext=False).limit(1).where("value like '{%}'").count() == 1
+    whole = spark.read.schema(f"entities array<{entity}>, relationships array<{relation}>").json(path, multiLine=not lines)
     return tuple(whole.select(F.explode(c).alias("x")).select("x.*") for c in ("entities", "relationships"))
