@@ -104,9 +104,10 @@ def equivalent_labels(raw: DataFrame) -> DataFrame:
 
 def aggregate_relationships(raw: DataFrame) -> DataFrame:
     """One relationship for each (source, label, target): longest description, segments, and how many statements."""
-    rows = equivalent_labels(raw).withColumn("description", F.coalesce("description", F.lit("")))
-    grouped = rows.groupBy("source", F.col("label").alias("relationship"), "target").agg(longest("description").alias("description"), F.array_sort(F.collect_set("segment_id")).alias("segments"), F.count(F.lit(1)).alias("statements"))
-    return grouped.withColumn("id", relationship_id("source", "relationship", "target"))
+    # a label has one key, so the key's groups are the label's
+    rows = raw.withColumn("description", F.coalesce("description", F.lit(""))).withColumn("_key", label_key("relationship"))
+    grouped = rows.groupBy("source", "_key", "target").agg(F.min_by("relationship", "ord").alias("relationship"), longest("description").alias("description"), F.array_sort(F.collect_set("segment_id")).alias("segments"), F.count(F.lit(1)).alias("statements"))
+    return grouped.select("source", "relationship", "target", "description", "segments", "statements").withColumn("id", relationship_id("source", "relationship", "target"))
 
 
 def repeated_relationships(aggregated: DataFrame) -> DataFrame:

@@ -112,7 +112,17 @@ PATTERNS: dict[str, list[Pattern]] = {
 }
 
 
+def patterns_of(settings: list[dict]) -> dict[str, list[Pattern]]:
+    """Patterns by bucket from settings (intent, name, priority, weight), as a template file lists them; a name without rows of its own is an error."""
+    known, out = {p.name: p for group in PATTERNS.values() for p in group}, {}
+    for row in settings:
+        own = known[row["name"]]
+        out.setdefault(row["intent"], []).append(Pattern(own.name, own.rows, int(row.get("priority", own.priority)), float(row.get("weight", own.weight)), own.needs))
+    return out
+
+
 def patterns_for(bucket: str) -> list[Pattern]:
+    """The bucket's patterns in the order of trying; those of the fallback where it has none."""
     return sorted(PATTERNS.get(bucket) or PATTERNS["fallback"], key=lambda p: p.priority)
 
 

@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, doubles, dot, norm, similarity
 
 DIM = 64
+#: Rows of a block of vectors.
+BLOCK = 2048
 
 
 def hashed_words(texts: pd.Series, dim: int = DIM) -> list[np.ndarray]:
@@ -61,33 +64,45 @@ def top_then_threshold(vectors: DataFrame, query: list[float], k: int = 3, above
     return top_k(vectors, query, k).where(F.col("score") > above)
 
 
-def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+def packed(rows: DataFrame, key: str, most: int, out: str) -> DataFrame:
+    """One row for about `most` rows of (key, vector), by a hash of the key: their keys and vectors in the column `out`."""
+    n = max(1, -(-rows.count() // most))
+    one = F.struct(F.col(key).alias("key"), doubles("vector").alias("vector"))
+    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"{out}_n")).agg(F.collect_list(one).alias(out)).select(out)
+
+
+def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     """(query, key, score, place): the k best of all vectors for each query.
 
-    Each task scores its vectors against all queries in blocks and keeps k a query, so k rows a query and task
-    are shuffled. The queries are a stated set that a task can hold; for more of them, split the set.
+    Queries and vectors are put into blocks of about `block` rows; each block of queries meets each block of vectors as one
+    product of matrices, of which k a query go on. Nothing is collected; no task holds more than two blocks.
+    Vectors of zero norm are passed over, queries of zero norm score 0; ties by key.
     """
-    asked = queries.select("query", doubles("vector").alias("vector")).toPandas()
-    names, m = asked["query"].tolist(), np.asarray(asked["vector"].tolist(), float).reshape(len(asked), -1)
-    size = np.linalg.norm(m, axis=1, keepdims=True) if len(asked) else m
-    m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unit(lists: pa.ListScalar) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        keys, rows = lists.values.field("key"), lists.values.field("vector")
+        m = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        return keys, np.divide(m, size, out=np.zeros_like(m), where=size > 0), size[:, 0] > 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = np.asarray(b["vector"].tolist(), float)
-            n = np.linalg.norm(v, axis=1)
-            keys, v = b["key"].to_numpy()[n > 0], v[n > 0] / n[n > 0, None]
-            if not len(v) or not len(m):
-                continue
-            s = m @ v.T
-            best = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
-            # ties at the k-th score must all stay: the window below decides by key
-            floor = np.take_along_axis(s, best, 1).min(axis=1)
-            q, at = np.nonzero(s >= floor[:, None])
-            yield pd.DataFrame({"query": [names[i] for i in q], "key": keys[at], "score": s[q, at]})
+            for i in range(b.num_rows):
+                names, m, _ = unit(b.column(0)[i])
+                keys, v, some = unit(b.column(1)[i])
+                keys, v = keys.filter(pa.array(some)), v[some]
+                if not len(v):
+                    continue
+                s = m @ v.T
+                best = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+                # ties at the k-th score must all stay: the window below decides by key
+                floor = np.take_along_axis(s, best, 1).min(axis=1)
+                q, at = np.nonzero(s >= floor[:, None])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), keys.take(pa.array(at)), pa.array(s[q, at])], names=["query", "key", "score"])
 
     kinds = queries.schema["query"].dataType.simpleString(), vectors.schema["key"].dataType.simpleString()
-    found = vectors.select("key", doubles("vector").alias("vector")).mapInPandas(run, f"query {kinds[0]}, key {kinds[1]}, score double")
+    pairs = packed(vectors.select("key", "vector"), "key", block, "v").crossJoin(packed(queries.select("query", "vector"), "query", block, "q"))
+    found = pairs.select("q", "v").mapInArrow(run, f"query {kinds[0]}, key {kinds[1]}, score double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 

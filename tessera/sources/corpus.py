@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+import warnings
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +24,31 @@ def documents_or_scan(spark: SparkSession, corpus: DataFrame | None, folder: str
     return corpus.withColumn("id", F.coalesce(F.col("id").cast("string"), F.uuid()))
 
 
-def read_alias_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(canonical, variants) of a YAML lookup file; none if it is absent."""
+def read_yaml(spark: SparkSession, path: str):
+    """What a YAML file on any file system that Spark reads holds; None, and a warning, if it is absent."""
     import yaml
 
-    rows = yaml.safe_load(Path(path).read_text("utf-8")) if Path(path).exists() else {}
+    try:
+        text = spark.read.text(path, wholetext=True).first()
+    except AnalysisException:
+        warnings.warn(f"no file {path}", stacklevel=2)
+        return None
+    return yaml.safe_load(text["value"]) if text else None
+
+
+def read_settings(spark: SparkSession, path: str, defaults: dict | None = None) -> dict:
+    """Settings of a YAML file over the defaults, section by section."""
+    found = read_yaml(spark, path) or {}
+    out = {**(defaults or {}), **found}
+    for name, section in (defaults or {}).items():
+        if isinstance(section, dict) and isinstance(found.get(name), dict):
+            out[name] = {**section, **found[name]}
+    return out
+
+
+def read_alias_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(canonical, variants) of a YAML lookup file; none if it is absent."""
+    rows = read_yaml(spark, path)
     return spark.createDataFrame([(k, list(v or [])) for k, v in (rows or {}).items()], "canonical string, variants array<string>")
 
 
@@ -38,6 +59,14 @@ def merge_alias_dictionary(known: DataFrame, entities: DataFrame) -> DataFrame:
     return both.groupBy("canonical").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("variants")))).alias("variants"))
 
 
+def write_alias_dictionary(dictionary: DataFrame, path: str, known: DataFrame | None = None) -> bool:
+    """Writes (canonical, variants) as JSON lines, which are YAML too, one name a line; False, and nothing written, if it is as `known`."""
+    if known is not None and dictionary.exceptAll(known).isEmpty() and known.exceptAll(dictionary).isEmpty():
+        return False
+    dictionary.select(F.to_json(F.create_map("canonical", "variants"))).write.mode("overwrite").text(path)
+    return True
+
+
 def alias_rows(dictionary: DataFrame) -> DataFrame:
     """(variant, canonical), one row for a variant: the least canonical name wins."""
     return dictionary.select(F.explode("variants").alias("variant"), "canonical").groupBy("variant").agg(F.min("canonical").alias("canonical"))

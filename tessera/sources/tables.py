@@ -41,10 +41,15 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
 def traded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct supplier -> part and customer -> part edges of the line items."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    supplies = items.select(key("supplier", "l_suppkey").alias("source_id"), key("part", "l_partkey").alias("target_id"), F.lit("SUPPLIES").alias("relationship"), F.lit("supplies part").alias("description"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    ordered = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(key("customer", "o_custkey").alias("source_id"), key("part", "l_partkey").alias("target_id"), F.lit("ORDERED").alias("relationship"), F.lit("ordered part").alias("description"))
-    return supplies.union(ordered).distinct()
+
+    def edges(pairs: DataFrame, kind: str, own: str, label: str, description: str) -> DataFrame:
+        # numbers are made distinct before they become names
+        return pairs.distinct().select(key(kind, own).alias("source_id"), key("part", "l_partkey").alias("target_id"), F.lit(label).alias("relationship"), F.lit(description).alias("description"))
+
+    supplies = edges(items.select("l_suppkey", "l_partkey"), "supplier", "l_suppkey", "SUPPLIES", "supplies part")
+    ordered = edges(items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey"), "customer", "o_custkey", "ORDERED", "ordered part")
+    return supplies.union(ordered)
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,6 +163,12 @@ def test_files(spark, tmp_path):
     known = corpus.read_alias_dictionary(spark, str(tmp_path / "alias.yaml"))
     assert {r["variant"] for r in corpus.alias_rows(known).collect()} == {"x1", "x2"}
     assert corpus.read_alias_dictionary(spark, str(tmp_path / "none.yaml")).count() == 0
+    (tmp_path / "s.yaml").write_text("chunk: {max: 10}\nname: n\n", "utf-8")
+    assert corpus.read_settings(spark, str(tmp_path / "s.yaml"), {"chunk": {"max": 1, "min": 2}, "other": 3}) == {"chunk": {"max": 10, "min": 2}, "other": 3, "name": "n"}
+    assert corpus.read_settings(spark, str(tmp_path / "none.yaml"), {"a": 1}) == {"a": 1}
+    assert corpus.write_alias_dictionary(known, str(tmp_path / "out"), None) and not corpus.write_alias_dictionary(known, str(tmp_path / "out"), known)
+    found = retrieval.patterns_of([{"intent": "relation", "name": "partner_fuzzy", "priority": 0, "weight": 2}, {"intent": "relation", "name": "partner_direct"}])
+    assert [(p.name, p.weight) for p in sorted(found["relation"], key=lambda p: p.priority)] == [("partner_fuzzy", 2.0), ("partner_direct", 1.0)]
     (tmp_path / "e.json").write_text(json.dumps({"model_name": "m", "embeddings": {"k": [1.0, 2.0]}}))
     assert corpus.read_map_embeddings(spark, str(tmp_path / "e.json")).first()["vector"] == [1.0, 2.0]
 
