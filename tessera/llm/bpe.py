@@ -15,20 +15,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
+from .merges import KEPT, Kept, Merges, by_bytes, spread
 from .tokens import vocabulary
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
-#: Chunks whose words are encoded ahead: at most so many, each of at most so many bytes (4 MB in all).
-AHEAD_CHUNKS = 1 << 16
+#: Chunks whose words are encoded ahead: at most so many, each of at most so many bytes (16 MB in all).
+AHEAD_CHUNKS = 1 << 18
 AHEAD_BYTES = 64
 #: Rank maps are cut into so many parts by hash, since a map is searched from its start.
 PARTS = 1 << 13
-#: A worker keeps the ids of this many chunks, and of this many words, at most; later ones are encoded each time.
-CACHE_ENTRIES = 600_000
+# What stands for the ids of a chunk that isn't encoded by itself; no rank is so high.
+_MARK = 0xFFFFFFFF
+_ODD = _MARK.to_bytes(4, "little")
 
 
 @functools.lru_cache(maxsize=2)
@@ -65,11 +68,18 @@ def fold_words(words: DataFrame, ranks: dict[bytes, int], parts: int = PARTS) ->
     def rank(x: str) -> str:
         return f"element_at(element_at({sql}, cast(pmod(xxhash64({x}), {parts}) as int) + 1), {x})"
 
-    pairs = f"filter(transform(sequence(0, size(a.p) - 2), i -> named_struct('r', {rank('concat(a.p[i], a.p[i + 1])')}, 'i', i)), x -> x.r is not null)"
-    merge = "concat(slice(a.p, 1, b.i), array(concat(a.p[b.i], a.p[b.i + 1])), slice(a.p, b.i + 3, size(a.p)))"
-    step = f"""case when a.d or size(a.p) < 2 then named_struct('p', a.p, 'd', true)
-      else aggregate(array(array_min({pairs})), a, (a, b) -> case when b is null then named_struct('p', a.p, 'd', true) else named_struct('p', {merge}, 'd', false) end) end"""
-    fold = f"aggregate(sequence(1, length(bytes)), named_struct('p', transform(sequence(1, length(bytes)), i -> substr(bytes, i, 1)), 'd', false), (a, _) -> {step}, a -> a.p)"
+    none = 2147483647
+    of = lambda x: f"coalesce({rank(x)}, {none})"
+    # p: the pieces; r: the rank of each with the next; a merge at i makes one piece of two, and two ranks anew
+    made = "concat(element_at(a.p, b.i), element_at(a.p, b.i + 1))"
+    head = f"if(b.i > 1, array({of('concat(element_at(a.p, greatest(b.i - 1, 1)), c.q)')}), cast(array() as array<int>))"
+    tail = f"if(b.i + 1 < size(a.p), array({of('concat(c.q, element_at(a.p, least(b.i + 2, size(a.p))))')}), cast(array() as array<int>))"
+    merged = f"""named_struct('p', concat(slice(a.p, 1, b.i - 1), array(c.q), slice(a.p, b.i + 2, size(a.p))),
+      'r', concat(slice(a.r, 1, greatest(b.i - 2, 0)), {head}, {tail}, slice(a.r, b.i + 2, size(a.r))))"""
+    at = f"named_struct('i', cast(array_position(a.r, array_min(a.r)) as int))"
+    step = f"case when coalesce(array_min(a.r), {none}) = {none} then a else transform(array({at}), b -> transform(array(named_struct('q', {made})), c -> {merged})[0])[0] end"
+    start = f"transform(array(transform(sequence(1, length(bytes)), i -> substr(bytes, i, 1))), p -> named_struct('p', p, 'r', transform(filter(sequence(1, size(p)), i -> i < size(p)), i -> {of('concat(element_at(p, i), element_at(p, i + 1))')})))[0]"
+    fold = f"aggregate(sequence(1, length(bytes)), {start}, (a, _) -> {step}, a -> a.p)"
     known = words.withColumn("bytes", F.expr("decode(encode(word, 'UTF-8'), 'ISO-8859-1')")).withColumn("whole", F.expr(rank("bytes")))
     pieces = known.withColumn("pieces", F.expr(f"case when bytes is null then null when bytes = '' then cast(array() as array<string>) when whole is not null then array(bytes) else {fold} end"))
     return pieces.select("word", F.expr(f"transform(pieces, x -> {rank('x')})").alias("ids"))
@@ -93,76 +103,68 @@ def frequent_chunks(docs: DataFrame, text: str, most: int = AHEAD_CHUNKS) -> Dat
     return counts.where(F.col("n") >= least).select("chunk")
 
 
-def fold_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same fold on one word, for the words that aren't encoded ahead."""
-    if (whole := ranks.get(word)) is not None:
-        return [whole]
-    parts = [word[i : i + 1] for i in range(len(word))]
-    found = [ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-    while True:
-        best = min((r for r in found if r is not None), default=None)
-        if best is None:
-            return [ranks[p] for p in parts]
-        i = found.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del found[i]
-        if i < len(found):
-            found[i] = ranks.get(parts[i] + parts[i + 1])
-        if i:
-            found[i - 1] = ranks.get(parts[i - 1] + parts[i])
-
-
-class _Odd(Exception):
-    """A chunk with white space at its ends: its text must be cut by the pattern as a whole."""
+def pairs_of(ranks: dict[bytes, int]) -> Merges:
+    """Every pair of pieces that makes a piece, with that one's rank: the order of merging."""
+    left, right, made = [], [], []
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
+                left.append(a)
+                right.append(b)
+                made.append(rank)
+    return Merges(*(np.asarray(x, np.int64) for x in (left, right, made, made)), max(ranks[bytes([b])] for b in range(256)) + 1)
 
 
-class _Encoder(dict):
-    """Chunks, each with the space before it, -> the ids of their words; words -> ids below."""
+class Encoder:
+    """Texts -> their ids: those of words that were folded ahead, and of other words by the same fold, many at once; chunks and theirs are kept."""
 
     def __init__(self, path: str, pattern: str, ahead: dict[str, bytes]):
         import regex
 
-        self.ranks, self.find = load_ranks(path), regex.compile(pattern).findall
-        self.words = dict(ahead)
-
-    def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            raw = word.encode()
-            ids = np.asarray(fold_bytes(raw, self.ranks) if len(raw) <= 400 else self.long(raw), "<u4").tobytes()
-            if len(self.words) < CACHE_ENTRIES and len(raw) <= 48:
-                self.words[word] = ids
-        return ids
-
-    @functools.cached_property
-    def long(self):
-        """Very long words: the tiktoken library's merges, the same in less than quadratic time."""
-        import tiktoken
-
-        return tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
-
-    def cut(self, text: str) -> bytes:
-        return b"".join(map(self.word, self.find(text)))
-
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise _Odd
-        ids = self.cut(" " + chunk)
-        if len(chunk) <= 48 and len(self) < CACHE_ENTRIES:
-            self[chunk] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        """A space between two characters that aren't white space begins a match of the pattern, so the text can be cut there."""
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        if first and not first[0].isspace() and not first[-1].isspace():
-            try:
-                return self.cut(first) + b"".join(map(self.__getitem__, rest))
-            except _Odd:
-                pass
-        return self.cut(text)
+        self.ranks, self.find, self.ahead = load_ranks(path), regex.compile(pattern).findall, ahead
+        self.merges, self.kept, self.kept_words = pairs_of(self.ranks), Kept(), Kept(KEPT // 4)
+        self.first = np.asarray([self.ranks[bytes([b])] for b in range(256)], np.int32)
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        found = [*map(self.ahead.get, words)]
+        rest = [w.encode() for w, ids in zip(words, found, strict=True) if ids is None]
+        whole = [*map(self.ranks.get, rest)]
+        merged = iter(self.merges.many([w for w, rank in zip(rest, whole, strict=True) if rank is None], self.first))
+        new = iter([next(merged) if rank is None else rank.to_bytes(4, "little") for rank in whole])
+        return [next(new) if ids is None else ids for ids in found]
+
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks with the space before them; _ODD for those with white space at their ends, whose text must be cut as a whole."""
+        odd = [not (c := x.removeprefix(" ")) or c[0].isspace() or c[-1].isspace() for x in chunks]
+        cut = [() if o else self.find(x) for x, o in zip(chunks, odd, strict=True)]
+        distinct = list(set().union(*cut))
+        ids = dict(zip(distinct, self.words(distinct), strict=True))
+        return [_ODD if o else ids[own[0]] if len(own) == 1 else b"".join([ids[w] for w in own]) for own, o in zip(cut, odd, strict=True)]
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, the ids of all).
+
+        A space between two characters that aren't white space begins a match of the pattern, so a text can be cut there.
+        """
+        cut = pc.split_pattern(texts, " ")
+        offsets, flat = np.asarray(cut.offsets), cut.flatten()
+        before = np.ones(len(flat), np.int8)
+        before[offsets[:-1]] = 0
+        spaces = pa.DictionaryArray.from_arrays(pa.array(before), pa.array(["", " "], flat.type)).cast(flat.type)
+        keyed = pc.binary_join_element_wise(spaces, flat, pa.scalar("", flat.type)).dictionary_encode()
+        counts, ids = spread(*self.kept.ids(keyed.dictionary, self.chunks), keyed.indices.to_numpy(), offsets)
+        ends = np.cumsum(counts)
+        whole = np.unique(np.searchsorted(ends, np.flatnonzero(ids == _MARK), side="right"))
+        if not len(whole):
+            return counts, ids
+        found = [self.find(t) for t in texts.take(pa.array(whole)).to_pylist()]
+        words = pa.array([w for own in found for w in own], texts.type).dictionary_encode()
+        again, new = spread(*self.kept_words.ids(words.dictionary, self.words), words.indices.to_numpy(), np.concatenate([[0], np.cumsum([len(x) for x in found])]))
+        parts, fresh = np.split(ids, ends[:-1]), np.split(new, np.cumsum(again)[:-1])
+        for i, x in zip(whole.tolist(), fresh, strict=True):
+            parts[i] = x
+        return np.asarray([len(x) for x in parts]), np.concatenate(parts)
 
 
 _kept: dict = {}
@@ -184,13 +186,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", most: i
         key = (path, pattern, ahead.id if hasattr(ahead, "id") else id(ahead.value))
         if key not in _kept:
             _kept.clear()
-            _kept[key] = _Encoder(path, pattern, ahead.value)
-        of = _kept[key].encode
+            _kept[key] = Encoder(path, pattern, ahead.value)
         for batch in batches:
-            ids = [of(x.as_py()) for x in batch.column(1)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "token_ids"])
+            for begin, texts in by_bytes(batch.column(1)):
+                counts, ids = _kept[key].column(texts.fill_null(""))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(ids.view("<i4")))], names=["doc_id", "token_ids"])
 
     return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, token_ids array<int>")
 

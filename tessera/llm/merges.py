@@ -32,9 +32,11 @@ class Merges:
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks, self.made = np.append(key[order], np.iinfo(np.int64).max), np.append(rank[order], NONE).astype(np.int32), np.full(int(rank.max()) + 1, -1, np.int32)
         self.made[rank] = made
-        self.dense = np.full((n_first, n_first), NONE, np.int32)
-        both = (left < n_first) & (right < n_first)
-        self.dense[left[both], right[both]] = rank[both]
+        self.dense = None
+        if n_first <= 1024:
+            self.dense = np.full((n_first, n_first), NONE, np.int32)
+            both = (left < n_first) & (right < n_first)
+            self.dense[left[both], right[both]] = rank[both]
         self.pairs: dict[int, int] | None = None
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -47,7 +49,7 @@ class Merges:
         """Rows of first pieces, -1 after the last, merged: in every row the pair of the lowest rank, the leftmost of equal ones, until it has none."""
         out = np.full(pieces.shape, -1, np.int32)
         rows, now = np.arange(len(pieces)), pieces.astype(np.int32)
-        ranks = self.dense[now[:, :-1], now[:, 1:]] if now.shape[1] > 1 else np.zeros((len(now), 0), np.int32)
+        ranks = (self.find if self.dense is None else lambda a, b: self.dense[a, b])(now[:, :-1], now[:, 1:]) if now.shape[1] > 1 else np.zeros((len(now), 0), np.int32)
         ranks[now[:, 1:] < 0] = NONE
         while len(rows) and now.shape[1] > 1:
             at = ranks.argmin(axis=1)
