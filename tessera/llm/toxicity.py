@@ -129,8 +129,8 @@ class Lexicon:
 
 
 def opens(chunk: str) -> bool:
-    """A quotation begins with this chunk: a mark before a letter, or a mark on its own that only opens."""
-    return chunk[0] in OPEN_QUOTES and (len(chunk) > 1 or chunk not in CLOSE_QUOTES)
+    """A quotation begins with this chunk: a mark before a letter, or one on its own that isn't straight."""
+    return chunk[0] in OPEN_QUOTES and (len(chunk) > 1 or chunk not in "\"'")
 
 
 def closes(chunk: str) -> bool:
