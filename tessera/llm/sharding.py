@@ -15,7 +15,7 @@ from .common import table, written
 SHARDS = 8
 SEED = 20_260_101
 #: Rows that one task permutes in the second round; a shard is cut into blocks of about so many.
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 10_000
 
 
 def draw(sizes: np.ndarray, rows: int, rng: np.random.Generator) -> np.ndarray:
