@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -102,8 +103,7 @@ def lines(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, "<u8"))
 
 
-def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    b = np.frombuffer(raw, np.uint8)
+def _bounds(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     solid = _CLASS[b] & 13 == 0
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
@@ -113,7 +113,12 @@ def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         begin[3:] |= wide[:-3] & solid[3:] & (b[3:] & 0xC0 != 0x80)
     final = solid.copy()
     final[:-1] &= ~solid[1:] | begin[1:]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(final) + 1
+    return np.flatnonzero(begin), np.flatnonzero(final) + 1
+
+
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    b = np.frombuffer(raw, np.uint8)
+    starts, ends = _bounds(b)
     return starts, ends, _ranges(b.astype("<u8") + np.uint64(1), starts, ends)
 
 
@@ -178,6 +183,20 @@ def chunks(texts: list[bytes]) -> list[list[tuple[np.ndarray, ...]]]:
     return out
 
 
+def windows(texts: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
+    """Where the windows of MIN_WORDS words begin and end in each text."""
+    if not texts:
+        return [], []
+    starts, ends = _bounds(np.frombuffer(b"\n".join(texts), np.uint8))
+    sizes = np.asarray([len(t) + 1 for t in texts])
+    offsets = np.cumsum(sizes) - sizes
+    of_text = np.searchsorted(starts, [*offsets, offsets[-1] + sizes[-1]])
+    move = np.repeat(offsets, np.diff(of_text))
+    low, high, bounds = (starts - move).tolist(), (ends - move).tolist(), of_text.tolist()
+    more = MIN_WORDS - 1
+    return [low[a : max(a, b - more)] for a, b in zip(bounds, bounds[1:], strict=False)], [high[min(a + more, b) : b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
 def groups(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Rows (doc, th, text) of a batch, some MB of texts at a time, and the texts' bytes."""
     held, begin, total = [], 0, 0
@@ -196,19 +215,29 @@ class Windows:
         self.origins = origins  # spans of different origins stay apart
         self.whole: dict[bytes, tuple] = {}
         self.first: dict[bytes, tuple] = {}
+        self.held: tuple | None = None
 
-    def spans(self, doc: int, th: int, size: int, a: int, text: bytes) -> tuple[list[tuple], list[tuple]]:
-        """The spans (a, b) of text, which begins at byte a of a document, that stand earlier, with (doc, th, size, a) of where; and (window, place) of those that are new."""
+    def spans(self, doc: int, th: int, size: int, a: int, text: bytes, lows: list[int], highs: list[int], local: bool = True) -> tuple[list[tuple], list[tuple]]:
+        """The spans (a, b) of text, which begins at byte a of a document, that stand earlier, with (doc, th, size, a) of where; and (window, place) of those that are new. lows, highs: where its windows lie in it."""
         own = (doc, th, size, a)
         was = self.whole.setdefault(text, own)
         if was[:2] != own[:2]:
             return [(a, a + len(text), *was)], []
+        if not local and was is own and len(self.whole) == 1 and not repeats_itself(text):
+            self.held = (*own, text, lows, highs)  # its windows matter only if a text comes that isn't the same
+            return [], []
+        if self.held:
+            held, self.held = self.held, None
+            self._windows(*held)
+        return self._windows(*own, text, lows, highs)
+
+    def _windows(self, doc: int, th: int, size: int, a: int, text: bytes, lows: list[int], highs: list[int]) -> tuple[list[tuple], list[tuple]]:
         spans: list[list] = []
         new = []
-        found = [m.span() for m in WORD.finditer(text)]
-        for (low, _), (_, high) in zip(found, found[MIN_WORDS - 1 :], strict=False):
+        seen = self.first.setdefault
+        for low, high in zip(lows, highs, strict=True):
             key, here = text[low:high], (doc, th, size, a + low)
-            was = self.first.setdefault(key, here)
+            was = seen(key, here)
             if was is here:
                 new.append((key, here))
             elif span := later(*here, a + high, was):
@@ -219,6 +248,12 @@ class Windows:
         return [tuple(x) for x in spans], new
 
 
+def repeats_itself(text: bytes) -> bool:
+    """Whether two windows of a text of one anchor may be the same. The anchor is in both, so they are at most MIN_WORDS - ANCHOR words apart and hold no more distinct words than that."""
+    found = text.split()
+    return max(text) >= 0xE3 or len(found) < MIN_WORDS or len(set(found)) <= len(found) - ANCHOR
+
+
 def later(doc: int, th: int, size: int, a: int, b: int, was: tuple) -> tuple | None:
     """(a, b, doc, th, size, a of the first) of an occurrence as far as it lies after the first; None if it is the first or inside it."""
     if was[:2] == (doc, th):
@@ -277,6 +312,23 @@ OCCURRENCE = "h long, salt int, doc long, th int, size int, a int, bytes binary,
 FOUND = "d long, e long, doc long, th int, size int, a int, b int, doc0 long, th0 int, size0 int, a0 int, again boolean"
 
 
+def same_texts(batch: pa.RecordBatch, h: np.ndarray, salt: np.ndarray, doc: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each row's group (h, salt), whether all of the group is alike): alike are groups that lie in the batch,
+    of one text that doesn't repeat itself, each row of a document of its own, and not hot. The first and the last group may go on in other batches."""
+    n = len(h)
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
+    begins = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    text = batch.column(6).dictionary_encode().indices.to_numpy()
+    differs = np.concatenate([[False], (~new[1:]) & ((text[1:] != text[:-1]) | ((doc[1:] == doc[:-1]) & (th[1:] == th[:-1])))])
+    alike = np.bincount(of, differs | batch.column(7).to_numpy(zero_copy_only=False), minlength=len(begins)) == 0
+    alike[[0, -1]] = False
+    many = np.diff(np.concatenate([begins, [n]])) > 1
+    texts = batch.column(6).take(pa.array(begins[alike & many])).to_pylist()
+    alike[np.flatnonzero(alike & many)] = [not repeats_itself(t) for t in texts]
+    return begins[of], alike[of]
+
+
 def repeated(rows: DataFrame) -> tuple[bytes, dict[int, int]]:
     """What a worker must know of the anchors of (doc, th, text): the filter of hashes that repeat, and the hot ones' numbers of salts.
 
@@ -340,28 +392,53 @@ def dedup(docs: DataFrame, copy_share: float | None = None, text: str = "text")
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hot = known.value
         filter_ = np.frombuffer(bits, "<u4")
+        hot_keys = np.asarray(sorted(hot), np.int64)
+        hot_salts = np.asarray([hot[h] for h in hot_keys.tolist()], np.int32)
         for whole in batches:
             for part, texts in groups(whole):
-                out = []
-                for doc, th, raw, ((hashes, lows, highs), (starts, ends)) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, chunks(texts), strict=True):
+                keys, begins, own, of_row = [], [], [], []
+                for i, (raw, ((hashes, lows, highs), (starts, ends))) in enumerate(zip(texts, chunks(texts), strict=True)):
                     bit = hashes % FILTER_BITS
                     may = (filter_[bit >> 5] >> (bit & 31).astype("<u4") & 1).astype(bool)
-                    for h, a, b in zip(hashes[may].tolist(), starts[lows[may]].tolist(), ends[highs[may] - 1].tolist(), strict=True):
-                        salts = hot.get(h, 1)
-                        out.append((h, (doc ^ th) % salts, doc, th, len(raw), a, raw[a:b], salts > 1))
-                if out:
-                    yield _batch(out, OCCURRENCE)
+                    low, high = starts[lows[may]], ends[highs[may] - 1]
+                    keys.append(hashes[may])
+                    begins.append(low)
+                    own += [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+                    of_row.append(np.full(len(low), i))
+                if own:
+                    h, row = np.concatenate(keys), np.concatenate(of_row)
+                    doc, th = (part.column(i).to_numpy()[row] for i in (0, 1))
+                    salts = np.ones(len(h), np.int32)
+                    if len(hot_keys):
+                        at = np.minimum(np.searchsorted(hot_keys, h), len(hot_keys) - 1)
+                        salts = np.where(hot_keys[at] == h, hot_salts[at], salts)
+                    size = np.asarray([len(x) for x in texts], np.int32)[row]
+                    columns = [h, ((doc ^ th) % salts).astype(np.int32), doc, th, size, np.concatenate(begins).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(own, pa.binary()), pa.array(salts > 1)], names=[x.split()[0] for x in OCCURRENCE.split(", ")])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in the order of (h, salt, doc, th, a): the spans that stand earlier in the part, and of hot anchors the part's first windows."""
         key = met = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, salt, doc, th, size, a = (batch.column(i).to_numpy() for i in range(6))
+            first, alike = same_texts(batch, h, salt, doc, th)
+            rows = np.flatnonzero(alike & (first < np.arange(len(h))))
+            if len(rows):  # all but the first of a group of the same texts
+                of, length = first[rows], pc.binary_length(batch.column(6)).to_numpy()[rows]
+                zero = np.zeros(len(rows), np.int64)
+                columns = [zero, zero, doc[rows], th[rows], size[rows], a[rows], a[rows] + length, doc[of], th[of], size[of], a[of], np.zeros(len(rows), bool)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in FOUND.split(", ")])
             out = []
-            for h, salt, doc, th, size, a, own, local in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (h, salt):
-                    key, met = (h, salt), Windows(copy_share is not None)
-                spans, new = met.spans(doc, th, size, a, own)
-                out += [(0, 0, doc, th, size, *x, False) for x in spans]
+            others = np.flatnonzero(~alike)
+            part = batch.take(pa.array(others))
+            columns = [*(part.column(i).to_numpy().tolist() for i in range(6)), part.column(6).to_pylist(), part.column(7).to_numpy(zero_copy_only=False).tolist()]
+            for h_, salt_, doc_, th_, size_, a_, own, local, lows, highs in zip(*columns, *windows(columns[6]), strict=True):
+                if key != (h_, salt_):
+                    key, met = (h_, salt_), Windows(copy_share is not None)
+                spans, new = met.spans(doc_, th_, size_, a_, own, lows, highs, local)
+                out += [(0, 0, doc_, th_, size_, *x, False) for x in spans]
                 for window, place in new if local else ():
                     d, e = np.frombuffer(hashlib.blake2b(window, digest_size=16).digest(), "<i8").tolist()
                     out.append((d, e, *place, place[3] + len(window), 0, 0, 0, 0, True))
@@ -387,7 +464,8 @@ def dedup(docs: DataFrame, copy_share: float | None = None, text: str = "text")
     again = first.where("again").repartition("d", "e").sortWithinPartitions("d", "e", *place).mapInArrow(firsts, FOUND)
     found = first.where("not again").union(again)
     spans = found.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b", *(() if copy_share is None else ("doc0", "th0", "size0", "a0")))).alias("_ld_found"))
-    marked = keyed.join(spans, (F.col("_ld_doc") == F.col("doc")) & (F.col("_ld_th") == F.col("th")), "left").select(*docs.columns, "_ld_found", "_ld_doc", "_ld_th")
+    spans = spans.select(F.col("doc").alias("_ld_d"), F.col("th").alias("_ld_t"), "_ld_found")
+    marked = keyed.join(spans, (F.col("_ld_doc") == F.col("_ld_d")) & (F.col("_ld_th") == F.col("_ld_t")), "left").select(*docs.columns, "_ld_found", "_ld_doc", "_ld_th")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
