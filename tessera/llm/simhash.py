@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from .common import components, map_arrow, n_parts, table, written
 
@@ -194,9 +195,10 @@ def wide_bits(hashes: np.ndarray) -> np.ndarray:
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, text: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every row of docs with a doc_id: texts whose sets of shingles have a Jaccard similarity of `similarity` or more are linked.
+    """(doc_id, digest, component, component_id) of every row of docs with a doc_id: texts whose sets of shingles have a Jaccard similarity of `similarity` or more are linked.
 
-    Rows of equal shingle sets are one point, null and empty texts (no shingles) one too. Each point has a fingerprint
+    Rows of equal shingle sets are one point, null and empty texts (no shingles) one too; `digest` names it, also where
+    rows of different texts share a doc_id. `component` numbers what is linked. Each point has a fingerprint
     of 64 * WIDE bits. Its embedding is their counts in segments of one bit, of which each table samples some: points with
     equal counts there share the table's cell. Links are looked for without all pairs of a cell: first of each point with its
     cells' least, then between points of different parts. Pairs whose first words, then whole fingerprints, differ in more
@@ -238,12 +240,15 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE
         small = points.select("id", "part", "fp").repartition(max(1, n_parts(docs.sparkSession)))
         return map_arrow(small, cells, "id long, part long, word long, cell long").repartition("cell")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("t"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t"))
 
     def sets():
+        from xxhash import xxh3_128_digest
+
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [shingles(x.as_py(), shingle).view("<i8") for x in batch.column(1)]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "s"])
+            found = [shingles(x.as_py(), shingle) for x in batch.column(1)]
+            digests = [xxh3_128_digest(x.tobytes()) for x in found]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([x.view("<i8") for x in found], pa.list_(pa.int64()))], names=["doc_id", "digest", "s"])
 
         return work
 
@@ -254,14 +259,16 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE
         near = pairs.distinct().join(words.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a").join(words.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b")
         pairs = written(near.where(apart <= most_wide).select("a", "b"))
         met = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        # of rows with the same doc_id that one whose set is the point's
-        one = map_arrow(texts.join(met, "id", "left_semi"), sets, "id long, s array<long>").withColumn("digest", F.expr("hash(s)")).dropDuplicates(["id", "digest"]).drop("digest")
+        # the texts of the points' smallest doc_ids, of which those count whose set is the point's
+        names = points.join(met, "id", "left_semi").select("id", F.col("least").alias("doc_id"), "digest")
+        own = map_arrow(texts.join(names.select("doc_id").distinct(), "doc_id", "left_semi"), sets, "doc_id long, digest binary, s array<long>")
+        one = own.join(names, ["doc_id", "digest"]).dropDuplicates(["id"]).select("id", "s")
         both = pairs.join(one.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(one.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         shared = "size(array_intersect(sa, sb))"
         return both.where(F.expr(f"{shared} >= {similarity}d * (size(sa) + size(sb) - {shared})")).select("a", "b").distinct()
 
     marked = written(map_arrow(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text), make, "doc_id long, digest binary, fp binary"))
-    points = written(marked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")))
+    points = written(marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")).withColumn("id", F.monotonically_increasing_id()))
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
     by_id = Window.partitionBy("cell").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     first = celled(points.withColumn("part", F.col("id"))).withColumn("f", F.first(F.struct("id", "word")).over(by_id))
@@ -273,8 +280,28 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE
     pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.part") > F.col("b.part")) & near("a.word", "b.word")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     links = verified(pairs)
     merged = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
-    of_point = points.select("digest", "id").join(merged, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    return marked.select("doc_id", "digest").join(of_point, "digest").select("doc_id", "component_id")
+    whole = points.select("digest", "id", "least").join(merged, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"), "least")
+    named = whole.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_point = whole.join(named, "component").select("digest", "component", "component_id")
+    return marked.select("doc_id", "digest").join(of_point, "digest").select("doc_id", "digest", "component", "component_id")
+
+
+def digested(docs: DataFrame, shingle: int = WIDE_SHINGLE, text: str = "text") -> DataFrame:
+    """docs with `_sim_digest`, the digest of a row's set of shingles that `similar` gives; columns of that name are refused."""
+    if "_sim_digest" in docs.columns:
+        raise ValueError("column _sim_digest is in the way")
+    at = docs.columns.index(text)
+
+    def make():
+        from xxhash import xxh3_128_digest
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [xxh3_128_digest(shingles(x.as_py(), shingle).tobytes()) for x in batch.column(at)]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "_sim_digest"])
+
+        return work
+
+    return map_arrow(docs, make, StructType([*docs.schema.fields]).add("_sim_digest", BinaryType()))
 
 
 def as_hex(fp: str | Column) -> Column:
