@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from .common import table, written
+from .common import map_arrow, table, written
+from .simhash import shingles
 
 #: The classifier and its lexicon are fitted on at most so many labelled rows, those with the smallest hashed ids.
 MAX_TRAIN = 20_000
@@ -191,18 +192,29 @@ def held_out(doc_id: str = "doc_id"):
 def once_each(rows: DataFrame) -> DataFrame:
     """Near copies in the training rows would make terms of the words that they alone share, so those of one label count once.
 
-    Rows of one label are near copies where they agree in the smallest two hashes of their five-word shingles (of all words, where there are
-    fewer), by one of two pairs of hash functions: texts of a similarity of 0.8 do in seven of eight cases, of 0.3 in one of six,
-    unrelated ones don't. Which row stays depends on its text alone, labels aren't weighed against each other.
+    Rows (toxic, text) of one label are near copies where they agree in the smallest two hashes of their five-word shingles (of all words,
+    where there are fewer), by one of two pairs of hash functions: texts of a similarity of 0.8 do in seven of eight cases, of 0.3
+    in one of six, unrelated ones don't. Which row stays depends on its text alone, labels aren't weighed against each other.
     """
-    words = "split(lower(trim(text)), '\\\\s+')"
-    shingles = f"transform(sequence(0, greatest(size({words}) - 5, 0)), i -> xxhash64(array_join(slice({words}, i + 1, 5), ' ')))"
-    rows = rows.withColumn("shingles", F.expr(shingles))
-    for pair in ((1, 2), (3, 4)):
-        key = F.struct(*[F.expr(f"array_min(transform(shingles, h -> xxhash64(h, {seed})))").alias(f"h{seed}") for seed in pair])
-        kept = rows.withColumn("key", key).groupBy("key", "toxic").agg(F.min_by(F.struct("text", "shingles"), F.struct(F.xxhash64("text"), F.col("text"))).alias("r"))
-        rows = kept.select("toxic", "r.text", "r.shingles")
-    return rows.select("toxic", "text")
+
+    def make():
+        salts = np.random.default_rng(5).integers(1, 1 << 63, (4, 2), dtype=np.uint64) | np.uint64(1)
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            least = np.zeros((batch.num_rows, 4), np.int64)
+            for i, x in enumerate(batch.column(1)):
+                if len(h := shingles(x.as_py(), 5)):
+                    least[i] = [((h ^ a) * b).min().view(np.int64) for a, b in salts]
+            return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, np.ascontiguousarray(least.T))], names=["toxic", "text", "h0", "h1", "h2", "h3"])
+
+        return work
+
+    kind = f"toxic {rows.schema['toxic'].dataType.simpleString()}, text string, h0 long, h1 long, h2 long, h3 long"
+    kept = map_arrow(rows.select("toxic", "text"), make, kind)
+    for a, b in (("h0", "h1"), ("h2", "h3")):
+        one = F.min_by(F.struct("text", *[c for c in ("h0", "h1", "h2", "h3") if c not in (a, b)]), F.struct(F.xxhash64("text"), F.col("text")))
+        kept = kept.groupBy("toxic", a, b).agg(one.alias("r")).select("toxic", a, b, "r.*")
+    return kept.select("toxic", "text")
 
 
 def learn_terms(train: DataFrame) -> Lexicon:
