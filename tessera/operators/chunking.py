@@ -9,6 +9,7 @@ from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MAX_CHARS, MIN_CHARS, OVERLAP = 2000, 800, 200
 BLANK = "\n\n"
@@ -108,3 +109,10 @@ def segments(documents: DataFrame, most: int = MAX_CHARS, least: int = MIN_CHARS
             yield pd.DataFrame(rows, columns=["id", "document_id", "source_path", "position", "text"])
 
     return documents.selectExpr("cast(id as string) id", "path", "text").mapInPandas(run, "id string, document_id string, source_path string, position int, text string")
+
+
+def tasks(segments: DataFrame) -> DataFrame:
+    """(document_id, source_path, segments, n_segments, chars) of each document with segments: what is to be extracted from it, in order."""
+    one = F.struct("position", F.col("id").alias("segment_id"), F.length("text").alias("chars"))
+    found = segments.groupBy("document_id", "source_path").agg(F.array_sort(F.collect_list(one)).alias("segments"))
+    return found.select("document_id", "source_path", "segments", F.size("segments").alias("n_segments"), F.aggregate("segments", F.lit(0).cast("long"), lambda n, x: n + x["chars"]).alias("chars"))

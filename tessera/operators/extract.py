@@ -50,32 +50,63 @@ def parsed(answer: str | Column) -> Column:
     return F.from_json(answer, ANSWER)
 
 
-def answers(segments: DataFrame, extractor: Callable[[str], dict | str] = rule_extractor) -> DataFrame:
-    """(document_id, segment_id, source_path, position, text, seconds, failed, answer) of segments that aren't blank.
+def answers(segments: DataFrame, extractor: Callable[[str], dict | str] = rule_extractor, rate: float | None = None, tasks: int = 4, retries: int = 0, delay: float = 0.0) -> DataFrame:
+    """(document_id, segment_id, source_path, position, text, seconds, attempts, failed, error, answer) of segments that aren't blank.
 
     An extractor may call a service and give a dict of lists by KINDS, or JSON text of one. It is called once a segment, in the
-    tasks: write the result before using it twice. A segment whose extractor fails has failed = true and no records.
+    tasks: write the result before using it twice. One that fails is asked again alone, up to `retries` times, `delay` seconds later; a
+    segment that fails at last has failed = true, the last error and no records. rate: calls a second of all tasks
+    together; segments are then dealt out to `tasks` tasks, each of which takes its share of the rate and begins in its turn.
+    Records keep their order whatever task had them, by `position`.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
 
-        for b in batches:
-            rows = []
-            for t in b["text"]:
-                began = time.perf_counter()
+        from pyspark import TaskContext
+
+        every = tasks / rate if rate else 0.0
+        free = time.monotonic() + (TaskContext.get().partitionId() % tasks / rate if rate else 0.0)
+
+        def asked(text: str) -> tuple[float, int, bool, str | None, str | None]:
+            nonlocal free
+            began, error = time.perf_counter(), None
+            for attempt in range(1, retries + 2):
+                if rate:
+                    time.sleep(max(0.0, free - time.monotonic()))
+                    free = max(free, time.monotonic()) + every
                 try:
-                    found = extractor(t)
-                    answer = found if isinstance(found, str) else json.dumps(found, ensure_ascii=False, default=str)
-                    rows.append((time.perf_counter() - began, False, answer))
-                except Exception:  # the slot's contract: counted, and no records
-                    rows.append((time.perf_counter() - began, True, None))
-            yield b.assign(**dict(zip(("seconds", "failed", "raw"), zip(*rows, strict=True), strict=True))) if rows else b.assign(seconds=[], failed=[], raw=[])
+                    found = extractor(text)
+                    return time.perf_counter() - began, attempt, False, None, found if isinstance(found, str) else json.dumps(found, ensure_ascii=False, default=str)
+                except Exception as e:  # the slot's contract: kept with the segment, which has no records
+                    error = f"{type(e).__name__}: {e}"[:1000]
+                    if attempt <= retries:
+                        time.sleep(delay)
+            return time.perf_counter() - began, retries + 1, True, error, None
+
+        for b in batches:
+            rows = pd.DataFrame([asked(t) for t in b["text"]], columns=["seconds", "attempts", "failed", "error", "raw"], index=b.index)
+            yield pd.concat([b, rows], axis=1)
 
     path = "source_path" if "source_path" in segments.columns else "cast('' as string)"
     rows = filled(segments).selectExpr("document_id", "id as segment_id", f"{path} as source_path", "cast(position as int) position", "text")
-    found = rows.mapInPandas(run, "document_id string, segment_id string, source_path string, position int, text string, seconds double, failed boolean, raw string")
-    return found.withColumn("answer", parsed("raw")).withColumn("failed", F.col("failed") | F.try_parse_json("raw").isNull()).drop("raw")
+    if rate:
+        rows = rows.repartition(tasks)
+    kind = "document_id string, segment_id string, source_path string, position int, text string, seconds double, attempts int, failed boolean, error string, raw string"
+    found = rows.mapInPandas(run, kind).withColumn("answer", parsed("raw"))
+    broken = ~F.col("failed") & F.try_parse_json("raw").isNull()
+    return found.withColumn("error", F.when(broken, "not JSON").otherwise(F.col("error"))).withColumn("failed", F.col("failed") | broken).drop("raw")
+
+
+def dead_letters(answered: DataFrame) -> DataFrame:
+    """The segments without an answer, with the last error and how often they were asked."""
+    return answered.where("failed").select("document_id", "segment_id", "source_path", "position", "text", "attempts", "error")
+
+
+def asked_again(answered: DataFrame, extractor: Callable[[str], dict | str], **how) -> DataFrame:
+    """The answers with those of the dead letters anew; the others aren't asked."""
+    left = dead_letters(answered).withColumnRenamed("segment_id", "id")
+    return answered.where("not failed").unionByName(answers(left, extractor, **how))
 
 
 def records(answered: DataFrame, kind: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Rows written to the shared folder and read back. For loops: what Spark thinks of the size of a checkpoint grows with every join before it, of files it knows it."""
+    spark = df.sparkSession
+    checkpointed(spark.range(0))
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def simple_edges(relations: DataFrame, order: str | None = None) -> DataFrame:
     """(u, v) with u <= v, one for each pair of ends; with `order`, also the last relation of the pair, as `last`."""
     pairs = relations.where("source_id is not null and target_id is not null").withColumn("u", F.least("source_id", "target_id")).withColumn("v", F.greatest("source_id", "target_id"))
@@ -40,14 +50,14 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node each node is linked with; large and small stars in turn until nothing changes."""
-    now = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     for _ in range(most_rounds):
         least = both_ways(now).groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("m"))
         large = both_ways(now).join(least, "node").where("other > node").select(F.col("other").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.*")
-        now = checkpointed(small.where("u <> v").distinct())
+        now = settled(small.where("u <> v").distinct())
         last, state = state, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == last or not state[0]:
             break
@@ -56,6 +66,37 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
+def constrained_components(accepted: DataFrame, refused: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(node, component) of accepted pairs (u, v, and `rank` if there is one), where no refused pair (u, v) is joined, not even by way of others.
+
+    The groups are those of taking the accepted pairs in the order of rank (else of a hash), and joining two groups unless a refused pair
+    lies across them. Components without a refused pair inside are whole groups. In the others, round by round, two groups
+    join that are each other's first choice of the groups they may join: nothing that comes before that choice can join either, so
+    the order doesn't matter, and each round is a few joins. Groups are named by their smallest node; equal ranks are in the order of the hash.
+    """
+    pairs = accepted.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), (F.col("rank") if "rank" in accepted.columns else F.lit(0)).cast("double").alias("rank"))
+    pairs = settled(pairs.groupBy("u", "v").agg(F.min("rank").alias("rank")).withColumn("order", F.struct("rank", F.xxhash64("u", "v").alias("h"), "u", "v")))
+    bad = settled(refused.where("u <> v").select("u", "v").distinct())
+    whole = settled(connected_components(pairs))
+    of = lambda side, group: group.select(F.col("node").alias(side), F.col("component").alias(f"{side}_g"))
+    split = bad.join(of("u", whole), "u").join(of("v", whole), "v").where("u_g = v_g").select(F.col("u_g").alias("component")).distinct()
+    group = settled(whole.join(split, "component", "left_semi").select("node", F.col("node").alias("component")))
+    calm = whole.join(split, "component", "left_anti").select("node", "component")
+    for _ in range(most_rounds):
+        across = lambda rows: rows.join(of("u", group), "u").join(of("v", group), "v").where("u_g <> v_g").withColumn("a", F.least("u_g", "v_g")).withColumn("b", F.greatest("u_g", "v_g"))
+        open_ = across(pairs).groupBy("a", "b").agg(F.min("order").alias("order")).join(across(bad).select("a", "b").distinct(), ["a", "b"], "left_anti")
+        open_ = settled(open_)
+        ways = open_.select(F.col("a").alias("g"), F.col("b").alias("to"), "order").union(open_.select("b", "a", "order"))
+        choice = ways.groupBy("g").agg(F.min(F.struct("order", "to")).alias("c")).select("g", F.col("c.to").alias("to"))
+        mutual = settled(choice.alias("x").join(choice.alias("y"), F.expr("x.g = y.to and x.to = y.g and x.g > x.to")).select(F.col("x.g").alias("component"), F.col("x.to").alias("into")))
+        if mutual.isEmpty():
+            break
+        group = settled(group.join(mutual, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
+    else:
+        raise RuntimeError(f"groups did not settle in {most_rounds} rounds")
+    return calm.unionByName(group)
+
+
 def label_propagation(edges: DataFrame, rounds: int = 3) -> DataFrame:
     """(node, label): each node takes its neighbours' most frequent label, the smallest of several, `rounds` times at once."""
     ways = both_ways(edges.where("u <> v"))
@@ -64,55 +105,116 @@ def label_propagation(edges: DataFrame, rounds: int = 3) -> DataFrame:
         counts = ways.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
         labels = counts.groupBy("node").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
         if i % 3 == 2:
-            labels = checkpointed(labels)
+            labels = settled(labels)
     return labels
 
 
-def local_moves(ways: DataFrame, total: float, most_rounds: int) -> DataFrame:
+#: What a level's modularity must grow by to count, and rounds without growth after which a level has ended.
+GAIN, PATIENCE = 1e-9, 4
+
+
+def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(edges, communities, modularity) of simple undirected edges: the share of edges inside communities less what degrees alone would give.
+
+    Loops and repeated edges count for nothing; a node without a community is one of its own; no edges give one row of zeros.
+    """
+    plain = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    known = membership.select("node", F.col("community").alias("_k"))
+    held = degrees(plain).join(known, "node", "left").select("node", "degree", F.coalesce("_k", "node").alias("community"))
+    of = held.groupBy("community").agg(F.sum("degree").alias("degree"))
+    inner = inner_edges(plain, held.select("node", "community")).groupBy("community").agg(F.count(F.lit(1)).alias("inner"))
+    sums = of.join(inner, "community", "left").agg(F.sum("degree").alias("ends"), F.sum("inner").alias("inside"), F.count(F.lit(1)).alias("communities"), F.sum(F.col("degree").cast("double") * F.col("degree")).alias("squares"))
+    m = F.coalesce(F.col("ends"), F.lit(0)) / 2
+    score = F.when(m > 0, F.coalesce("inside", F.lit(0)) / m - resolution * F.col("squares") / (4 * m * m)).otherwise(0.0)
+    return sums.select(m.cast("long").alias("edges"), "communities", score.alias("modularity"))
+
+
+def local_moves(ways: DataFrame, total: float, most_rounds: int, start: DataFrame | None = None, movable: DataFrame | None = None, one_in: int = 2, seed: int = 0) -> DataFrame:
     """(node, community): nodes of a weighted graph moved to the neighbouring community of the highest gain of modularity, round by round.
 
-    ways: (a, b, w) from either end, a loop with all its inner weight. In a round about half of the nodes may move, by a hash of
-    node and round, so that neighbours don't change places for ever; of equal gains the smallest community wins.
-    Sums are partially aggregated, so a hub's edges aren't gathered in one task. Ends when no node gains.
+    ways: (a, b, w) from either end, a loop with all its inner weight. start: (node, community) to begin with, else each node
+    alone; movable: the only nodes that may move, else all. In a round about one in `one_in` nodes may move, by a hash of
+    node, round and seed, so that neighbours don't change places for ever, and fewer after rounds without growth; of equal gains the
+    smallest community wins. Sums are partially aggregated, so a hub's edges aren't gathered in one task. Ends when no node gains or
+    modularity hasn't grown for PATIENCE rounds, with the best round's communities; raises where that takes over `most_rounds`.
     """
-    weight = checkpointed(ways.groupBy("a").agg(F.sum("w").alias("k")))
+    weight = ways.groupBy("a").agg(F.sum("w").alias("k"))
+    free = F.lit(True)
+    if movable is not None:
+        weight, free = weight.join(movable.select(F.col("node").alias("a"), F.lit(True).alias("_m")).distinct(), "a", "left"), F.col("_m").isNotNull()
+    weight = settled(weight.select("a", "k", free.alias("free")))
     own = weight.select(F.col("a").alias("node"), F.col("a").alias("c"))
+    if start is not None:
+        given = start.select("node", F.col("community").alias("_c"))
+        own = settled(own.join(given, "node", "left").select("node", F.coalesce("_c", "c").alias("c")))
+    loops = ways.where("a = b").agg(F.sum("w")).first()[0] or 0.0
+    best, most, idle = own, None, 0
     for i in range(most_rounds):
-        held = own.join(weight, F.col("node") == F.col("a")).select("node", "c", "k")
+        held = own.join(weight, F.col("node") == F.col("a")).select("node", "c", "k", "free")
         sums = held.groupBy("c").agg(F.sum("k").alias("of_c"))
         met = ways.where("a <> b").join(own, F.col("b") == F.col("node")).select("a", "c", "w").unionByName(own.select(F.col("node").alias("a"), "c", F.lit(0.0).alias("w")))
-        near = met.groupBy("a", "c").agg(F.sum("w").alias("w")).join(sums, "c").join(held.select(F.col("node").alias("a"), F.col("c").alias("now"), "k"), "a")
+        near = met.groupBy("a", "c").agg(F.sum("w").alias("w")).join(sums, "c").join(held.select(F.col("node").alias("a"), F.col("c").alias("now"), "k", "free"), "a")
         here = F.col("c") == F.col("now")
         gain = F.round(F.col("w") - F.col("k") * (F.col("of_c") - F.when(here, F.col("k")).otherwise(0.0)) / total, 9)
-        choice = near.withColumn("loss", -gain).groupBy("a", "now").agg(F.min(F.struct("loss", "c")).alias("best"), F.min(F.when(here, F.col("loss"))).alias("stay"))
-        better = F.col("best.loss") < F.col("stay")
-        may = F.pmod(F.xxhash64("a", F.lit(i)), F.lit(2)) == 0
-        moved = checkpointed(choice.select(F.col("a").alias("node"), F.when(better & may, F.col("best.c")).otherwise(F.col("now")).alias("c"), better.alias("better")))
+        choice = near.withColumn("loss", -gain).groupBy("a", "now", "free").agg(F.min(F.struct("loss", "c")).alias("best"), F.min(F.when(here, F.col("loss"))).alias("stay"), F.max(F.when(here, F.col("w"))).alias("inner"))
+        better = (F.col("best.loss") < F.col("stay")) & F.col("free")
+        may = F.pmod(F.xxhash64("a", F.lit(i), F.lit(seed)), F.lit(one_in << idle)) == 0
+        moved = settled(choice.select(F.col("a").alias("node"), F.when(better & may, F.col("best.c")).otherwise(F.col("now")).alias("c"), better.alias("better"), "inner"))
+        inside, some = moved.agg(F.sum("inner"), F.max("better")).first()
+        now = ((inside or 0.0) + loops) / total - sums.agg(F.sum(F.col("of_c") * F.col("of_c"))).first()[0] / total / total
+        if most is None or now > most + GAIN:
+            best, most, idle = own, now, 0
+        else:
+            idle += 1
+        if not some or idle == PATIENCE:
+            return best.select("node", F.col("c").alias("community"))
         own = moved.select("node", "c")
-        if not moved.where("better").limit(1).count():
-            break
-    return own.select("node", F.col("c").alias("community"))
+    raise RuntimeError(f"communities did not settle in {most_rounds} rounds")
 
 
-def louvain(edges: DataFrame, most_rounds: int = 30, most_levels: int = 10) -> DataFrame:
+def louvain(edges: DataFrame, most_rounds: int = 200, most_levels: int = 30, start: DataFrame | None = None, touched: DataFrame | None = None, refine: int = 2) -> DataFrame:
     """(node, community): modularity communities, named by their smallest node; loops count for nothing.
 
-    At each level nodes are moved by `local_moves`, then each community is put as one node. All of it is joins and sums, the
-    same for every size of graph and component; no edges give no rows.
+    At each level nodes are moved by `local_moves`, then each community is put as one node. Then all of it again from what was
+    found, with fewer nodes moving at once, until `refine` passes after each other gain nothing; the best pass counts. All of
+    it is joins and sums, the same for every size of graph and component; no edges give no rows. start: communities of an earlier
+    version of the graph to begin with; touched: (node) of what has changed since, then in one pass these and their neighbours alone may
+    move on the first level. Raises if a level or the levels don't end.
     """
     plain = edges.where("u <> v").select("u", "v").distinct()
-    ways = checkpointed(both_ways(plain).select(F.col("node").alias("a"), F.col("other").alias("b"), F.lit(1.0).alias("w")))
+    ways = settled(both_ways(plain).select(F.col("node").alias("a"), F.col("other").alias("b"), F.lit(1.0).alias("w")))
     total = float(ways.count())
-    member = ways.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct()
-    for _ in range(most_levels if total else 0):
-        found = local_moves(ways, total, most_rounds)
-        named = found.join(found.groupBy("community").agg(F.min("node").alias("name")), "community").select(F.col("node").alias("community"), "name")
-        if not named.where("community <> name").limit(1).count():
-            break
-        member = checkpointed(member.join(named, "community").select("node", F.col("name").alias("community")))
-        of = lambda side: named.select(F.col("community").alias(side), F.col("name").alias(f"{side}_"))
-        ways = checkpointed(ways.join(of("a"), "a").join(of("b"), "b").groupBy(F.col("a_").alias("a"), F.col("b_").alias("b")).agg(F.sum("w").alias("w")))
-    return member.groupBy("community").agg(F.min("node").alias("least")).join(member, "community").select("node", F.col("least").alias("community"))
+    nodes = ways.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct()
+    if not total:
+        return nodes
+    movable = None
+    if start is not None and touched is not None:
+        movable = settled(touched.select("node").union(ways.join(touched.select(F.col("node").alias("a")), "a", "left_semi").select("b")).distinct())
+
+    def one_pass(ways: DataFrame, start: DataFrame | None, movable: DataFrame | None, one_in: int, seed: int) -> DataFrame:
+        member = nodes
+        for level in range(most_levels):
+            found = local_moves(ways, total, most_rounds, *((start, movable) if level == 0 else (None, None)), one_in, seed)
+            named = settled(found.join(found.groupBy("community").agg(F.min("node").alias("name")), "community").select("node", "community", "name"))
+            if level and not named.where("node <> name").limit(1).count():
+                return member
+            to = named.select(F.col("node").alias("_n"), "name")
+            member = settled(member.join(to, F.col("community") == F.col("_n")).select("node", F.col("name").alias("community")))
+            of = lambda side: to.select(F.col("_n").alias(side), F.col("name").alias(f"{side}_"))  # noqa: E731, B023
+            ways = settled(ways.join(of("a"), "a").join(of("b"), "b").groupBy(F.col("a_").alias("a"), F.col("b_").alias("b")).agg(F.sum("w").alias("w")))
+        raise RuntimeError(f"communities did not settle in {most_levels} levels")
+
+    score = lambda member: modularity(plain, member).first()["modularity"]
+    best = one_pass(ways, start, movable, 2, 0)
+    most, idle, seed = score(best) if refine and movable is None else 0.0, 0 if movable is None else refine, 0
+    while idle < refine:
+        seed += 1
+        again = one_pass(ways, best, None, 8, seed)
+        if (now := score(again)) > most + GAIN:
+            best, most, idle = again, now, 0
+        else:
+            idle += 1
+    return best
 
 
 def communities(membership: DataFrame, least: int = 2) -> DataFrame:

@@ -90,3 +90,19 @@ def timeline(log: DataFrame, key: str, order: str) -> DataFrame:
     ordered = by_key.orderBy(order, *[c for c in log.columns if c not in (key, order)])
     placed = log.withColumn("place", F.row_number().over(ordered))
     return placed.withColumn("latest", F.col("place") == F.max("place").over(by_key))
+
+
+def as_of(rows: DataFrame, log: DataFrame, keys: list[str], at: str, since: str, values: list[str]) -> DataFrame:
+    """rows with the values of the last entry of the log with the same keys whose `since` isn't after `at`; null if there is none.
+
+    One sort of both together by key and time, no join of ranges. Of entries of one time the greatest by their values counts. A
+    key is put in order by one task.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    entry = F.struct(*values)
+    left = rows.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*rest).alias("_row"), F.lit(None).cast(log.select(entry.alias("e")).schema["e"].dataType).alias("_entry"))
+    last = log.groupBy(*keys, F.col(since).alias("_t")).agg(F.max(entry).alias("_entry"))
+    right = last.select(*keys, "_t", F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), "_entry")
+    before = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = left.unionByName(right).withColumn("_last", F.last("_entry", ignorenulls=True).over(before)).where("_side = 1")
+    return found.select(*keys, "_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])

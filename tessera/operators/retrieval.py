@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .containment import contained
 
 PATH = "array<struct<mid:string,rel1:string,rel2:string>>"
 
@@ -27,7 +28,10 @@ def named(rows: DataFrame, entities: DataFrame, key: str, out: str) -> DataFrame
 
 def one_hop(entities: DataFrame, relations: DataFrame, focus: list[str], other: str = "partner", keywords: list[str] | None = None) -> DataFrame:
     """Relations of the focus entities seen from them; an empty keyword list keeps all."""
-    near = neighbours(entities, relations.where(F.col("source_id").isin(focus) | F.col("target_id").isin(focus))).where(F.col("focus_id").isin(focus))
+    # a branch for each end, so that each filter goes below the joins that relations may be made of
+    begins, ends = F.col("source_id").isin(focus), F.col("target_id").isin(focus)
+    touching = relations.where(begins).unionByName(relations.where(ends & ~F.coalesce(begins, F.lit(False))))
+    near = neighbours(entities, touching).where(F.col("focus_id").isin(focus))
     if keywords:
         near = near.where(T.contains_any(F.lower("relationship"), keywords))
     both = named(named(near, entities, "focus_id", "focus_name"), entities, "other_id", "other_name")
@@ -121,9 +125,15 @@ def patterns_of(settings: list[dict]) -> dict[str, list[Pattern]]:
     return out
 
 
-def patterns_for(bucket: str) -> list[Pattern]:
+def patterns_for(bucket: str, patterns: dict[str, list[Pattern]] | None = None) -> list[Pattern]:
     """The bucket's patterns in the order of trying; those of the fallback where it has none."""
-    return sorted(PATTERNS.get(bucket) or PATTERNS["fallback"], key=lambda p: p.priority)
+    known = patterns or PATTERNS
+    return sorted(known.get(bucket) or known.get("fallback", []), key=lambda p: p.priority)
+
+
+def chain_for(bucket: str, patterns: dict[str, list[Pattern]] | None = None) -> list[Pattern]:
+    """All patterns that a question of a bucket tries, in their order: the bucket's, then those of the fallback."""
+    return [*patterns_for(bucket, patterns), *(patterns_for("fallback", patterns) if bucket != "fallback" else [])]
 
 
 def term_search(relations: DataFrame, terms: list[str]) -> DataFrame:
@@ -150,16 +160,16 @@ def word_grams(text: str | Column, most_words: int) -> Column:
 def mentions(questions: DataFrame, aliases: DataFrame, words: bool = False, most_words: int = 4) -> DataFrame:
     """(question_id, alias, entity_id) of each alias that a question contains; empty aliases are in none.
 
-    words=False: anywhere, also inside words; every question is held against every alias, so one of the two sides
-    must be small (Spark broadcasts it if it is). words=True: whole words, by an equi-join on runs of
-    words, for large alias sets.
+    words=False: anywhere, also inside words, by an index of rare grams (`containment.contained`). words=True: whole
+    words, by an equi-join on runs of words.
     """
     q = questions.select("question_id", F.lower("text").alias("_q"))
     a = aliases.select(F.lower("alias").alias("alias"), "entity_id").where("alias <> ''")
     if words:
         grams = q.select("question_id", F.explode(word_grams("_q", most_words)).alias("alias"))
         return grams.join(a, "alias").select("question_id", "alias", "entity_id")
-    return q.join(a, F.contains(F.col("_q"), F.col("alias"))).select("question_id", "alias", "entity_id")
+    found = contained(q.select(F.col("question_id").alias("text_id"), F.col("_q").alias("text")), a.select(F.col("alias").alias("pattern")))
+    return found.select(F.col("text_id").alias("question_id"), F.col("pattern").alias("alias")).join(a, "alias").select("question_id", "alias", "entity_id")
 
 
 def focus_entities(questions: DataFrame, aliases: DataFrame, names: DataFrame, most: int = 3, words: bool = False) -> DataFrame:

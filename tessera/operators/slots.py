@@ -35,30 +35,32 @@ def canonical_labels(relations: DataFrame, lexicon: DataFrame | None = None, mod
     return relations.join(by_key, label_key("relationship") == F.col("_k"), "left").withColumn("canonical", F.coalesce("_c", "relationship")).drop("_k", "_c")
 
 
-def judged_labels(relations: DataFrame, same: Callable[[str, str, str, str], bool], most_labels: int = 10_000) -> DataFrame:
+def judged_labels(relations: DataFrame, same: Callable[[str, str, str, str], bool]) -> DataFrame:
     """`label`: the first of the pair's labels so far that the judge finds the same, in order; not transitive.
 
-    Statements of one key are one label, so a group holds the distinct labels of one (source, target), not its
-    statements; pairs with more than `most_labels` keys keep their labels.
+    Statements of one key are one label. The labels of a (source, target) come in their order through one task, which keeps
+    those that none before was the same as, and no others: a pair may have any number of statements and of labels. Null ends are equal.
     """
-    firsts = relations.groupBy("source", "target", label_key("relationship").alias("_k")).agg(F.min_by("relationship", "ord").alias("first"), F.min("ord").alias("ord"))
-    sizes = firsts.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
-    small = firsts.join(sizes.where(F.col("n") <= most_labels), ["source", "target"], "left_semi")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        seen: list[str] = []
-        labels = []
-        for source, target, label in zip(rows["source"], rows["target"], rows["first"], strict=True):
-            found = next((x for x in seen if same(source, target, x, label)), None)
-            if found is None:
-                seen.append(label)
-            labels.append(found or label)
-        return rows[["source", "target", "key"]].assign(label=labels)
-
-    judged = small.withColumnRenamed("_k", "key").groupBy("source", "target").applyInPandas(fold, "source string, target string, key string, label string")
+    firsts = relations.groupBy("source", "target", label_key("relationship").alias("key")).agg(F.min_by("relationship", "ord").alias("first"), F.min("ord").alias("ord"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, seen = None, []
+        for b in batches:
+            labels = []
+            for source, target, label in zip(b["source"], b["target"], b["first"], strict=True):
+                if (source, target) != now:
+                    now, seen = (source, target), []
+                found = next((x for x in seen if same(source, target, x, label)), None)
+                if found is None:
+                    seen.append(label)
+                labels.append(found or label)
+            yield b[["source", "target", "key"]].assign(label=labels)
+
+    ordered = firsts.repartition("source", "target").sortWithinPartitions("source", "target", "ord", "key")
+    judged = ordered.mapInPandas(fold, "source string, target string, key string, label string")
     keyed = relations.withColumn("key", label_key("relationship"))
-    return keyed.join(judged, ["source", "target", "key"], "left").withColumn("label", F.coalesce("label", "relationship")).drop("key")
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in ("source", "target", "key")]
+    return keyed.alias("l").join(judged.alias("r"), on, "left").select(*[f"l.{c}" for c in relations.columns], F.coalesce("r.label", "l.relationship").alias("label"))
 
 
 def confirmed_pairs(pairs: DataFrame, entities: DataFrame, model: Callable[[pd.DataFrame], pd.Series] | None = None) -> DataFrame:
@@ -93,9 +95,3 @@ def summaries(profiles: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame]
     for own, new in (("title", "_t"), ("summary", "_s"), ("keywords", "_k")):
         out = out.withColumn(own, F.coalesce(new, own))
     return out.select(*profiles.columns)
-
-
-def default_summary(names: str | Column, size: str | Column) -> Column:
-    """The community summary without a model."""
-    names, size = (F.col(x) if isinstance(x, str) else x for x in (names, size))
-    return F.concat(size.cast("string"), F.lit(" members: "), F.array_join(F.slice(names, 1, 5), ", "))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, doubles, dot, norm, similarity
+from .graph import checkpointed
 
 DIM = 64
 #: Rows of a block of vectors.
@@ -46,6 +47,31 @@ def embed(rows: DataFrame, key: str, text: Column, model=hashed_words, cached: D
     return fresh if cached is None else fresh.unionByName(cached.select("key", "vector"))
 
 
+def embed_changed(rows: DataFrame, key: str, text: Column, cache: DataFrame, model=hashed_words, name: str = "default") -> tuple[DataFrame, DataFrame]:
+    """((key, text_sha256, vector) of each row, (model, text_sha256, vector) of the texts that the cache doesn't have yet).
+
+    cache: (model, text_sha256, vector). A text is embedded once for a model, however many rows have it and whatever their keys, and not
+    at all if its digest is there; the model sees distinct new texts only. Null texts are empty ones.
+    """
+    given = rows.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).withColumn("text_sha256", F.sha2("text", 256))
+    known = cache.where(F.col("model") == name).select("text_sha256", "vector")
+    todo = given.select("text_sha256", "text").dropDuplicates(["text_sha256"]).join(known, "text_sha256", "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"text_sha256": b["text_sha256"], "vector": model(b["text"])})
+
+    fresh = checkpointed(todo.mapInPandas(run, "text_sha256 string, vector array<float>"))  # the model is asked once
+    every = given.select("key", "text_sha256").join(known.unionByName(fresh), "text_sha256").select("key", "text_sha256", "vector")
+    return every, fresh.select(F.lit(name).alias("model"), "text_sha256", "vector")
+
+
+def unused(cache: DataFrame, texts: DataFrame, name: str = "default") -> DataFrame:
+    """(model, text_sha256) of the model's cached vectors whose text is none of the texts (text) any more."""
+    used = texts.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")).distinct()
+    return cache.where(F.col("model") == name).select("model", "text_sha256").join(used, "text_sha256", "left_anti").select("model", "text_sha256")
+
+
 def top_k(vectors: DataFrame, query: list[float], k: int = 5) -> DataFrame:
     """(key, score): the k vectors of the highest cosine; those of zero norm are passed over; ties by key."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -117,4 +143,4 @@ def pairwise_mean(vectors: DataFrame) -> DataFrame:
     return whole.select(pairs.cast("long").alias("pairs"), ((F.col("all") - F.col("own")) / 2 / pairs).alias("mean_similarity"))
 
 
-__all__ = ["DIM", "batch_top_k", "dot", "embed", "hashed_words", "most_similar", "pairwise_mean", "top_k", "top_then_threshold"]
+__all__ = ["DIM", "batch_top_k", "dot", "embed", "embed_changed", "hashed_words", "most_similar", "pairwise_mean", "top_k", "top_then_threshold", "unused"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,8 +17,31 @@ SCHEMAS = {
     "attributes": "document_id string, segment_id string, entity_candidate string, entity_id string, attribute string, value string, unit string, context string, attribute_type string",
     "changes": "run_id string, change_type string, document_id string, segment_id string, source_path string, extractor string, metadata map<string,string>, entities int, relationships int, attributes int, events int, failed boolean",
     "snapshots": "version int, entity_count long, relationship_count long, metadata map<string,string>",
+    "vectors": "model string, text_sha256 string, vector array<float>",
 }
-KEYS = {"entities": ["id"], "relationships": ["source_id", "id", "target_id"], "communities": ["community_id"], "belongs_to": ["entity_id", "community_id"], "events": ["id"], "attributes": ["document_id", "segment_id", "entity_candidate", "attribute", "value"]}
+KEYS = {"entities": ["id"], "relationships": ["source_id", "id", "target_id"], "communities": ["community_id"], "belongs_to": ["entity_id", "community_id"], "events": ["id"], "attributes": ["document_id", "segment_id", "entity_candidate", "attribute", "value"], "changes": ["run_id", "document_id", "segment_id"], "snapshots": ["version"], "vectors": ["model", "text_sha256"]}
+
+
+@dataclass
+class ChangeSet:
+    """What a batch of documents says: rows of each table, counted as they came, and who made it."""
+
+    run_id: str
+    entities: DataFrame | None = None
+    relationships: DataFrame | None = None
+    attributes: DataFrame | None = None
+    events: DataFrame | None = None
+    changes: DataFrame | None = None
+    annotation: dict[str, str] = field(default_factory=dict)
+
+    def rows(self, name: str) -> DataFrame | None:
+        return getattr(self, name)
+
+    def entity_count(self) -> int:
+        return self.entities.count() if self.entities is not None else 0
+
+    def relationship_count(self) -> int:
+        return self.relationships.count() if self.relationships is not None else 0
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,12 +56,12 @@ def keep_first_created(old: DataFrame, new: DataFrame, keys: list[str]) -> DataF
 
 
 def one_a_key(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key, the same on every run: the greatest by its columns as text. Null keys are keys."""
+    """One row for each key, the same on every run: the greatest by its columns, maps as text. Null keys are keys."""
     rest = [c for c in rows.columns if c not in keys]
     if not rest:
         return rows.distinct()
-    text = F.to_json(F.struct(*rest))
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), text).alias("_r")).select(*keys, "_r.*").select(*rows.columns)
+    order = F.struct(*[F.to_json(c) if "map<" in rows.schema[c].dataType.simpleString() else F.col(c) for c in rest])
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*").select(*rows.columns)
 
 
 def with_ends(relations: DataFrame, entities: DataFrame) -> DataFrame:
@@ -59,6 +84,20 @@ def exported(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return nodes.unionByName(edges)
 
 
+def elements(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(kind, id, label, type, source_id, target_id, properties) of nodes and edges: what a graph says of itself, properties that aren't null as JSON.
+
+    The label of a node is Entity and its type its own; an edge's type is RELATIONSHIP unless it has one.
+    """
+    none = F.lit(None).cast("string")
+    own = lambda df, *without: F.to_json(F.struct(*[c for c in df.columns if c not in without]))
+    nodes = entities.select(F.lit("node").alias("kind"), "id", F.lit("Entity").alias("label"), "type", none.alias("source_id"), none.alias("target_id"), own(entities, "id", "type").alias("properties"))
+    kind = F.coalesce(F.col("type") if "type" in relations.columns else none, F.lit("RELATIONSHIP"))
+    name = F.col("id") if "id" in relations.columns else F.concat_ws("::", "source_id", "relationship", "target_id")
+    edges = relations.select(F.lit("edge").alias("kind"), name.alias("id"), none.alias("label"), kind.alias("type"), "source_id", "target_id", own(relations, "id", "type", "source_id", "target_id").alias("properties"))
+    return nodes.unionByName(edges)
+
+
 class GraphStore:
     """The tables of a graph under one folder, which may be on any file system that Spark writes to."""
 
@@ -122,6 +161,26 @@ class GraphStore:
         new = one_a_key(self._filled(name, rows).select(*self.read(name).columns).na.fill("", keys), keys)
         return self.write(name, upsert(self.read(name), new, keys))
 
+    def apply(self, change: ChangeSet) -> int:
+        """A change set, table by table; applied again it leaves the same rows but for created_at. The last version of the provenance is returned."""
+        if change.entities is not None:
+            self.upsert_entities(change.entities)
+        if change.relationships is not None:
+            self.upsert_relationships(change.relationships)
+        for name in ("attributes", "events", "changes"):
+            if (rows := change.rows(name)) is not None:
+                self.put(name, rows)
+        return self.version("changes")
+
+    def forget(self, name: str, keyed: DataFrame) -> int:
+        """Takes rows away by their keys."""
+        keys = KEYS[name]
+        return self.write(name, self.read(name).join(keyed.select(*keys), keys, "left_anti"))
+
+    def known_ids(self, names: DataFrame) -> DataFrame:
+        """(name, id) of the stored entities among these names."""
+        return self.read("entities").select("name", "id").join(names.select("name").distinct(), "name", "left_semi")
+
     def append(self, name: str, rows: DataFrame) -> int:
         return self.write(name, self.read(name).unionByName(self._filled(name, rows).select(*self.read(name).columns)))
 

@@ -259,7 +259,7 @@ def test_slots_of_an_answer(spark, tmp_path):
     )
     engine.ingest(spark.createDataFrame(DOCS, "id string, path string, text string"), "r1")
     steps = engine.plan("who?")
-    assert [s.action for s in steps] == ["entity_lookup", "community_context", "graph_retrieve", "vector_retrieve", "context_consistency"] and steps[3].arguments == {"top_k": 3}
+    assert [s.action for s in steps] == ["entity_lookup", "community_context", "graph_retrieve", "vector_retrieve", "timeline", "context_consistency"] and steps[3].arguments == {"top_k": 3}
     found = engine.answer("who?")
     assert found["intent"] == "temporal" and len(found["focus_ids"]) == 1 and found["communities"] and found["communities"][0]["title"].startswith("t ") and found["answer"].endswith("five words")
     engine.analyse = None

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tessera import ingest_queries  # noqa: F401
+from tessera import change_queries, ingest_queries  # noqa: F401
 from tessera.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
