@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import table, written
+from .common import table, tidied, written
 
 #: Every run of so many words that stands earlier is cut, with what its neighbours add to it; shorter ones repeat by chance.
 MIN_WORDS = 25
@@ -344,7 +344,7 @@ def repeated(rows: DataFrame) -> tuple[bytes, dict[int, int]]:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
 
-    counts = rows.mapInArrow(find, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = rows.mapInArrow(tidied(find), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = written(counts)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +359,7 @@ def repeated(rows: DataFrame) -> tuple[bytes, dict[int, int]]:
 
     table_ = bytearray(max(FILTER_BITS, PAGE) // 8)
     by_page = counts.select("h").repartition(F.floor(F.pmod("h", F.lit(FILTER_BITS)) / PAGE))
-    for r in by_page.mapInArrow(fill, "page long, bits binary").toLocalIterator():
+    for r in by_page.mapInArrow(tidied(fill), "page long, bits binary").toLocalIterator():
         table_[r["page"] * PAGE // 8 : (r["page"] + 1) * PAGE // 8] = r["bits"]
     hot = counts.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "h").limit(HOT_CHUNKS).collect()
     return bytes(table_), {r["h"]: 1 + r["n"] // HOT_ROWS for r in hot}
@@ -442,6 +442,9 @@ def dedup(docs: DataFrame, copy_share: float | None = None, text: str = "text")
                 for window, place in new if local else ():
                     d, e = np.frombuffer(hashlib.blake2b(window, digest_size=16).digest(), "<i8").tolist()
                     out.append((d, e, *place, place[3] + len(window), 0, 0, 0, 0, True))
+                if len(out) >= 20_000:
+                    yield _batch(out, FOUND)
+                    out = []
             if out:
                 yield _batch(out, FOUND)
 
@@ -459,9 +462,9 @@ def dedup(docs: DataFrame, copy_share: float | None = None, text: str = "text")
                 yield _batch(out, FOUND)
 
     place = ["doc", "th", "a"]
-    first = rows.mapInArrow(occurrences, OCCURRENCE).repartition("h", "salt").sortWithinPartitions("h", "salt", *place).mapInArrow(compare, FOUND)
+    first = rows.mapInArrow(tidied(occurrences), OCCURRENCE).repartition("h", "salt").sortWithinPartitions("h", "salt", *place).mapInArrow(tidied(compare), FOUND)
     first = written(first)
-    again = first.where("again").repartition("d", "e").sortWithinPartitions("d", "e", *place).mapInArrow(firsts, FOUND)
+    again = first.where("again").repartition("d", "e").sortWithinPartitions("d", "e", *place).mapInArrow(tidied(firsts), FOUND)
     found = first.where("not again").union(again)
     spans = found.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b", *(() if copy_share is None else ("doc0", "th0", "size0", "a0")))).alias("_ld_found"))
     spans = spans.select(F.col("doc").alias("_ld_d"), F.col("th").alias("_ld_t"), "_ld_found")
@@ -484,7 +487,7 @@ def dedup(docs: DataFrame, copy_share: float | None = None, text: str = "text")
 
     span = StructType().add("a", "integer").add("b", "integer")
     schema = StructType([*docs.schema.fields]).add("_ld_spans", ArrayType(span))
-    return marked.mapInArrow(remove, schema)
+    return marked.mapInArrow(tidied(remove), schema)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidied
 from .tokens import encoder, vocabulary
 
 WINDOW = 2048
@@ -183,7 +183,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         if packer.done:
             yield out()
 
-    return docs.select("doc_id", text).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", text).mapInArrow(tidied(run), SCHEMA)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 #: Code points of an entity at most, for spans that the field adds.
@@ -343,7 +343,7 @@ def _batches(docs: DataFrame, columns: list[str], work, schema: str) -> DataFram
             for at in range(0, whole.num_rows, 1000):
                 yield work(whole.slice(at, 1000))
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(tidied(run), schema)
 
 
 def spans_of(docs: DataFrame, text: str = "text") -> DataFrame:

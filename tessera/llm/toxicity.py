@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from .common import map_arrow, table, written
+from .common import map_arrow, table, tidied, written
 from .simhash import shingles
 
 #: The classifier and its lexicon are fitted on at most so many labelled rows, those with the smallest hashed ids.
@@ -292,7 +292,7 @@ def features(docs: DataFrame, lexicon: Lexicon, text: str = "text", weights: np.
                     own = pa.array(1 / (1 + np.exp(-np.clip(np.asarray(found) @ weights[:-1] + weights[-1], -30, 30))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, out[0]])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(*out))
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields]).add(*out))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
