@@ -17,8 +17,7 @@ from .sources.tables import table
 
 def folder(spark: SparkSession) -> str:
     """A new folder under the shared one, for a query that writes and reads back."""
-    graph.checkpointed(spark.range(1))
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/query-{uuid.uuid4().hex}"
+    return f"{graph.shared_folder(spark)}/query-{uuid.uuid4().hex}"
 
 
 def joined(c):

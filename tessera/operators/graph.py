@@ -5,28 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder of spark.checkpoint.dir. Where that is unset, one of our own if there is one machine only, else an error."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Where that is unset, one of our own if there is one machine only, else an error."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+    return context._jsc.sc().getCheckpointDir().get()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Rows written to the shared folder and read back. For loops: what Spark thinks of the size of a checkpoint grows with every join before it, of files it knows it."""
-    spark = df.sparkSession
-    checkpointed(spark.range(0))
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/settled-{uuid.uuid4().hex}"
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage: the rows written to the shared folder and read back. They are computed once, and Spark knows their size, which in loops it overrates after checkpoint()."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def simple_edges(relations: DataFrame, order: str | None = None) -> DataFrame:
@@ -50,14 +48,14 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node each node is linked with; large and small stars in turn until nothing changes."""
-    now = settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     for _ in range(most_rounds):
         least = both_ways(now).groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("m"))
         large = both_ways(now).join(least, "node").where("other > node").select(F.col("other").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.*")
-        now = settled(small.where("u <> v").distinct())
+        now = checkpointed(small.where("u <> v").distinct())
         last, state = state, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == last or not state[0]:
             break
@@ -75,23 +73,23 @@ def constrained_components(accepted: DataFrame, refused: DataFrame, most_rounds:
     the order doesn't matter, and each round is a few joins. Groups are named by their smallest node; equal ranks are in the order of the hash.
     """
     pairs = accepted.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), (F.col("rank") if "rank" in accepted.columns else F.lit(0)).cast("double").alias("rank"))
-    pairs = settled(pairs.groupBy("u", "v").agg(F.min("rank").alias("rank")).withColumn("order", F.struct("rank", F.xxhash64("u", "v").alias("h"), "u", "v")))
-    bad = settled(refused.where("u <> v").select("u", "v").distinct())
-    whole = settled(connected_components(pairs))
+    pairs = checkpointed(pairs.groupBy("u", "v").agg(F.min("rank").alias("rank")).withColumn("order", F.struct("rank", F.xxhash64("u", "v").alias("h"), "u", "v")))
+    bad = checkpointed(refused.where("u <> v").select("u", "v").distinct())
+    whole = checkpointed(connected_components(pairs))
     of = lambda side, group: group.select(F.col("node").alias(side), F.col("component").alias(f"{side}_g"))
     split = bad.join(of("u", whole), "u").join(of("v", whole), "v").where("u_g = v_g").select(F.col("u_g").alias("component")).distinct()
-    group = settled(whole.join(split, "component", "left_semi").select("node", F.col("node").alias("component")))
+    group = checkpointed(whole.join(split, "component", "left_semi").select("node", F.col("node").alias("component")))
     calm = whole.join(split, "component", "left_anti").select("node", "component")
     for _ in range(most_rounds):
         across = lambda rows: rows.join(of("u", group), "u").join(of("v", group), "v").where("u_g <> v_g").withColumn("a", F.least("u_g", "v_g")).withColumn("b", F.greatest("u_g", "v_g"))
         open_ = across(pairs).groupBy("a", "b").agg(F.min("order").alias("order")).join(across(bad).select("a", "b").distinct(), ["a", "b"], "left_anti")
-        open_ = settled(open_)
+        open_ = checkpointed(open_)
         ways = open_.select(F.col("a").alias("g"), F.col("b").alias("to"), "order").union(open_.select("b", "a", "order"))
         choice = ways.groupBy("g").agg(F.min(F.struct("order", "to")).alias("c")).select("g", F.col("c.to").alias("to"))
-        mutual = settled(choice.alias("x").join(choice.alias("y"), F.expr("x.g = y.to and x.to = y.g and x.g > x.to")).select(F.col("x.g").alias("component"), F.col("x.to").alias("into")))
+        mutual = checkpointed(choice.alias("x").join(choice.alias("y"), F.expr("x.g = y.to and x.to = y.g and x.g > x.to")).select(F.col("x.g").alias("component"), F.col("x.to").alias("into")))
         if mutual.isEmpty():
             break
-        group = settled(group.join(mutual, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
+        group = checkpointed(group.join(mutual, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
     else:
         raise RuntimeError(f"groups did not settle in {most_rounds} rounds")
     return calm.unionByName(group)
@@ -105,7 +103,7 @@ def label_propagation(edges: DataFrame, rounds: int = 3) -> DataFrame:
         counts = ways.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
         labels = counts.groupBy("node").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
         if i % 3 == 2:
-            labels = settled(labels)
+            labels = checkpointed(labels)
     return labels
 
 
@@ -142,11 +140,11 @@ def local_moves(ways: DataFrame, total: float, most_rounds: int, start: DataFram
     free = F.lit(True)
     if movable is not None:
         weight, free = weight.join(movable.select(F.col("node").alias("a"), F.lit(True).alias("_m")).distinct(), "a", "left"), F.col("_m").isNotNull()
-    weight = settled(weight.select("a", "k", free.alias("free")))
+    weight = checkpointed(weight.select("a", "k", free.alias("free")))
     own = weight.select(F.col("a").alias("node"), F.col("a").alias("c"))
     if start is not None:
         given = start.select("node", F.col("community").alias("_c"))
-        own = settled(own.join(given, "node", "left").select("node", F.coalesce("_c", "c").alias("c")))
+        own = checkpointed(own.join(given, "node", "left").select("node", F.coalesce("_c", "c").alias("c")))
     loops = ways.where("a = b").agg(F.sum("w")).first()[0] or 0.0
     best, most, idle = own, None, 0
     for i in range(most_rounds):
@@ -159,7 +157,7 @@ def local_moves(ways: DataFrame, total: float, most_rounds: int, start: DataFram
         choice = near.withColumn("loss", -gain).groupBy("a", "now", "free").agg(F.min(F.struct("loss", "c")).alias("best"), F.min(F.when(here, F.col("loss"))).alias("stay"), F.max(F.when(here, F.col("w"))).alias("inner"))
         better = (F.col("best.loss") < F.col("stay")) & F.col("free")
         may = F.pmod(F.xxhash64("a", F.lit(i), F.lit(seed)), F.lit(one_in << idle)) == 0
-        moved = settled(choice.select(F.col("a").alias("node"), F.when(better & may, F.col("best.c")).otherwise(F.col("now")).alias("c"), better.alias("better"), "inner"))
+        moved = checkpointed(choice.select(F.col("a").alias("node"), F.when(better & may, F.col("best.c")).otherwise(F.col("now")).alias("c"), better.alias("better"), "inner"))
         inside, some = moved.agg(F.sum("inner"), F.max("better")).first()
         now = ((inside or 0.0) + loops) / total - sums.agg(F.sum(F.col("of_c") * F.col("of_c"))).first()[0] / total / total
         if most is None or now > most + GAIN:
@@ -182,26 +180,26 @@ def louvain(edges: DataFrame, most_rounds: int = 200, most_levels: int = 30, sta
     move on the first level. Raises if a level or the levels don't end.
     """
     plain = edges.where("u <> v").select("u", "v").distinct()
-    ways = settled(both_ways(plain).select(F.col("node").alias("a"), F.col("other").alias("b"), F.lit(1.0).alias("w")))
+    ways = checkpointed(both_ways(plain).select(F.col("node").alias("a"), F.col("other").alias("b"), F.lit(1.0).alias("w")))
     total = float(ways.count())
     nodes = ways.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct()
     if not total:
         return nodes
     movable = None
     if start is not None and touched is not None:
-        movable = settled(touched.select("node").union(ways.join(touched.select(F.col("node").alias("a")), "a", "left_semi").select("b")).distinct())
+        movable = checkpointed(touched.select("node").union(ways.join(touched.select(F.col("node").alias("a")), "a", "left_semi").select("b")).distinct())
 
     def one_pass(ways: DataFrame, start: DataFrame | None, movable: DataFrame | None, one_in: int, seed: int) -> DataFrame:
         member = nodes
         for level in range(most_levels):
             found = local_moves(ways, total, most_rounds, *((start, movable) if level == 0 else (None, None)), one_in, seed)
-            named = settled(found.join(found.groupBy("community").agg(F.min("node").alias("name")), "community").select("node", "community", "name"))
+            named = checkpointed(found.join(found.groupBy("community").agg(F.min("node").alias("name")), "community").select("node", "community", "name"))
             if level and not named.where("node <> name").limit(1).count():
                 return member
             to = named.select(F.col("node").alias("_n"), "name")
-            member = settled(member.join(to, F.col("community") == F.col("_n")).select("node", F.col("name").alias("community")))
+            member = checkpointed(member.join(to, F.col("community") == F.col("_n")).select("node", F.col("name").alias("community")))
             of = lambda side: to.select(F.col("_n").alias(side), F.col("name").alias(f"{side}_"))  # noqa: E731, B023
-            ways = settled(ways.join(of("a"), "a").join(of("b"), "b").groupBy(F.col("a_").alias("a"), F.col("b_").alias("b")).agg(F.sum("w").alias("w")))
+            ways = checkpointed(ways.join(of("a"), "a").join(of("b"), "b").groupBy(F.col("a_").alias("a"), F.col("b_").alias("b")).agg(F.sum("w").alias("w")))
         raise RuntimeError(f"communities did not settle in {most_levels} levels")
 
     score = lambda member: modularity(plain, member).first()["modularity"]

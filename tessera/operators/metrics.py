@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 
 def schema_profile(rows: DataFrame, kind: str, type_column: str, example: str, version: int = 1) -> DataFrame:
     """(version, kind, type, examples, count): UNKNOWN stands for no type."""
@@ -85,11 +87,22 @@ def document_counts(entities: DataFrame, relations: DataFrame, membership: DataF
 
 
 def timeline(log: DataFrame, key: str, order: str) -> DataFrame:
-    """Each key's entries in their order, from place 1; `latest` marks the last."""
+    """Each key's entries in their order, from place 1; `latest` marks the last. Ties are in the order of the other columns.
+
+    Rows are cut into ranges of (key, order), which are numbered each for itself; how many of a key stand in the ranges before is added. So
+    a key may have any share of the rows. Null keys are a key.
+    """
+    columns = [order, *[c for c in log.columns if c not in (key, order)]]
+    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = checkpointed(log.repartitionByRange(n, key, *columns).withColumn("_p", F.spark_partition_id()))
+    own = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_p", key).orderBy(*columns)))
+    parts = rows.groupBy(key, "_p").agg(F.count(F.lit(1)).alias("_n"))
     by_key = Window.partitionBy(key)
-    ordered = by_key.orderBy(order, *[c for c in log.columns if c not in (key, order)])
-    placed = log.withColumn("place", F.row_number().over(ordered))
-    return placed.withColumn("latest", F.col("place") == F.max("place").over(by_key))
+    before = F.coalesce(F.sum("_n").over(by_key.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col(key).alias("_key"), F.col("_p").alias("_q"), before.alias("_before"), F.sum("_n").over(by_key).alias("_all"))
+    placed = own.join(parts, (F.col("_p") == F.col("_q")) & F.col(key).eqNullSafe(F.col("_key")))
+    place = (F.col("_k") + F.col("_before")).cast("int")
+    return placed.select(*log.columns, place.alias("place"), (place == F.col("_all")).alias("latest"))
 
 
 def as_of(rows: DataFrame, log: DataFrame, keys: list[str], at: str, since: str, values: list[str]) -> DataFrame:

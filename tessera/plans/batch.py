@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import metrics, retrieval, vectors
 from ..operators.containment import contained, first_of_each
-from ..operators.graph import checkpointed, settled
+from ..operators.graph import checkpointed
 
 EVIDENCE = ["question_id", "template", "weight", "source_name", "target_name", "relationship", "description", "path_details"]
 ORDER = ["source_name", "target_name", "relationship", "description"]
@@ -116,7 +116,7 @@ def evidence(rows: DataFrame, entities: DataFrame, relations: DataFrame, pattern
     """
     tried, known = Patterns(entities, relations), patterns or retrieval.PATTERNS
     chains = {bucket: retrieval.chain_for(bucket, known) for bucket in T.INTENT_BUCKETS.values()}
-    open_, found = settled(rows), None
+    open_, found = checkpointed(rows), None
     # a place in the order of trying after the other, each pattern at it once for all its buckets
     steps = max(map(len, chains.values()))
     for i in range(steps + 1):
@@ -137,10 +137,10 @@ def evidence(rows: DataFrame, entities: DataFrame, relations: DataFrame, pattern
         new = parts[0]
         for part in parts[1:]:
             new = new.unionByName(part)
-        new = settled(new.where("source_name <> '' and target_name <> ''"))
+        new = checkpointed(new.where("source_name <> '' and target_name <> ''"))
         found = new if found is None else found.unionByName(new)
         if i < steps:
-            open_ = settled(open_.join(new.select("question_id").distinct(), "question_id", "left_anti"))
+            open_ = checkpointed(open_.join(new.select("question_id").distinct(), "question_id", "left_anti"))
     hops = F.when(F.size("path_details") > 0, F.size("path_details")).otherwise(0)
     named = found.join(rows.select("question_id", "all_aliases"), "question_id")
     score = T.evidence_score(F.col("weight"), "relationship", "source_name", "target_name", "all_aliases", hops, None, relation_weights)

@@ -227,7 +227,6 @@ def test_a_plan_of_many_questions_is_each_ones_plan(spark, tmp_path):
         assert [n["score"] for n in own["neighbours"] or []] == pytest.approx([n["score"] for n in one["neighbours"]])
         assert {k: own[k] for k in ("concerns", "approved", "confidence")} == one["review"]
     assert templates >= {"partner_direct", "term_search", "partner_two_hop"}
-    engine.ingest(spark.createDataFrame([("d4", "p", "Jan Joy met Kay Key.")], "id string, path string, text string"), "r2")
     assert engine.answer_all(spark.createDataFrame([], "question_id string, text string")).count() == 0
 
 
