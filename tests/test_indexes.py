@@ -255,3 +255,17 @@ def test_streamed_state_is_the_batch_after_replay(spark, tmp_path):
         spark.conf.set(name, was)
     whole = latest(spark.createDataFrame([x for p in parts for x in p], kind), "type", "id", "message")
     assert kept == {x["key"]: tuple(x)[1:] for x in whole.collect()} and sum(v[0] for v in kept.values()) == 61
+
+
+def test_places_in_a_log_against_brute_force(spark):
+    r = random.Random(11)
+    log = [("hot" if r.random() < 0.7 else r.choice(["a", "b", None]), r.randrange(30), r.randrange(4)) for _ in range(300)]
+    found = metrics.timeline(spark.createDataFrame(log, "k string, at int, v int").repartition(7), "k", "at").collect()
+    got = {}
+    for x in found:
+        got.setdefault(x["k"], []).append((x["place"], x["at"], x["v"], x["latest"]))
+    for k, own in got.items():
+        want = sorted((at, v) for key, at, v in log if key == k)
+        assert [(p, at, v) for p, at, v, _ in sorted(own)] == [(i + 1, *x) for i, x in enumerate(want)]
+        assert [p for p, *_, last in own if last] == [len(want)]
+    assert len(found) == len(log)
