@@ -11,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges of a partition of `components`, about.
+EDGES = 50_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -103,8 +107,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Connected components of edges (a, b), as (node, component), component the smallest node of each.
 
     Large star and small star in turn, until the edges stay as they are; every minimum is partially
-    aggregated before its shuffle, so a hub's links aren't gathered in one task. Nulls are ignored;
-    no edges give no rows.
+    aggregated before its shuffle, so a hub's links aren't gathered in one task. A round's edges are kept in
+    partitions of about EDGES, so few edges don't make many tasks. Nulls are ignored; no edges give no rows.
     """
     now = fixed(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
@@ -117,10 +121,10 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = fixed(small)
+        now = fixed(small.coalesce(8 + seen[0] // EDGES))
         last, seen = seen, mark(now)
         if seen == last:
             break
