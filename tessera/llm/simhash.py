@@ -150,22 +150,69 @@ def near_duplicates(docs: DataFrame, text: str = "text", bits: int = BITS, shing
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
 #: 64-bit words of a wide fingerprint.
 WIDE = 4
-#: Share of the pairs just at the threshold that tables of sampled bits may miss, were their bits independent.
+#: Share of the pairs just at the threshold that the cells of sampled segments may miss.
 MISS = 0.01
-#: A table's key takes at least so many bits; more where there are more texts, so that about four others share a cell by chance.
-KEY_BITS = 16
+#: A cell takes the counts of so many segments at least; more where there are more texts, so that about MEET others share a cell by chance.
+LEAST_SEGMENTS, MEET = 8, 300
+#: Bits of the filter that says which doc_ids are in a pair, whatever the input; a false hit makes one more set and changes no result.
+MET_BITS = 1 << 25
+#: Bits of a page of it, those of bitmap_bucket_number.
+PAGE = 1 << 15
 
 
-def plan(n: int, similarity: float = SIMILARITY) -> tuple[int, int, int, int]:
-    """(bits of a table's key, tables, differing bits at most of a fingerprint's first 64, and of all) for n texts.
+def plan(n: int, similarity: float = SIMILARITY) -> tuple[int, int, list[int]]:
+    """(segments of a cell, grids, differing bits at most of a fingerprint's first words, for each number of them) for n texts.
 
     Two sets of Jaccard similarity s have a cosine of 2s / (1 + s), and a share of arccos / pi of the bits
-    differs. The tables grow with the key, so that the expected recall is the same for every n.
+    differs. The grids grow with the segments of a cell, so that the expected recall is the same for every n: of
+    the segments a binomial number has other counts, and a grid samples none of these by a hypergeometric law.
     """
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    key = max(KEY_BITS, math.ceil(math.log2(max(2, n))) - 2)
-    most = [n * apart + 4 * math.sqrt(n * apart * (1 - apart)) for n in (64, 64 * WIDE)]
-    return key, math.ceil(math.log(MISS) / math.log1p(-((1 - apart) ** key))), *map(math.floor, most)
+    n_segments = 64 * WIDE // SEGMENT
+    # both of a segment's bits stay, or they are swapped
+    same, chance = (1 - apart) ** 2 + apart**2 / 2, sum((math.comb(SEGMENT, k) / 2**SEGMENT) ** 2 for k in range(SEGMENT + 1))
+    key = min(n_segments // 4, max(LEAST_SEGMENTS, math.ceil(math.log(max(1, n / MEET)) / -math.log(chance))))
+    law = [(math.comb(n_segments, d) * (1 - same) ** d * same ** (n_segments - d), math.comb(n_segments - d, key) / math.comb(n_segments, key)) for d in range(n_segments + 1)]
+    low, high = 0, 1
+    missed = lambda grids: sum(p * (1 - hit) ** grids for p, hit in law)
+    while missed(high) > MISS:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if missed(mid) > MISS else (low, mid)
+    bits = range(64, 64 * WIDE + 1, 64)
+    return key, high, [math.floor(n * apart + 4 * math.sqrt(n * apart * (1 - apart))) for n in bits]
+
+
+def bits_apart(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def embedded_apart(a: Column, b: Column) -> Column:
+    """The Manhattan distance of the embeddings of two fingerprint words."""
+    odd = F.lit(0x5555555555555555)
+    one, two = ([(x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(odd), x.bitwiseAND(F.shiftrightunsigned(x, 1)).bitwiseAND(odd)] for x in (a, b))
+    return F.bit_count(one[0].bitwiseXOR(two[0])) + F.bit_count(one[1].bitwiseXOR(two[1]))
+
+
+def grid(key: int, grids: int) -> np.ndarray:
+    """The segments of each grid's coordinates; the first of a longer cell are those of a shorter one."""
+    return np.random.default_rng(SEED).permuted(np.tile(np.arange(64 * WIDE // SEGMENT), (grids, 1)), axis=1)[:, :key]
+
+
+def grid_cells(fps: list[bytes], sampled: np.ndarray) -> np.ndarray:
+    """(n, grids) cells of wide fingerprints: the bit counts of each grid's segments, and the grid."""
+    grids, key = sampled.shape
+    raw = np.frombuffer(b"".join(fps), np.uint8).reshape(-1, 8 * WIDE)
+    counts = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(raw), -1, SEGMENT).sum(axis=2, dtype=np.int64)
+    weights = np.power(SEGMENT + 1, np.arange(key, dtype=np.int64))
+    return np.stack([counts[:, s] @ weights + t * (SEGMENT + 1) ** key for t, s in enumerate(sampled)], axis=1)
+
+
+def within(words: list[tuple[str, str]], most: list[int]) -> str:
+    """SQL: of these pairs of words of two fingerprints the first is at most most[0] bits apart, the first two most[1], and so on: first by the Manhattan distance of their embeddings, a lower bound."""
+    low, exact = [f"bit_count({embedding(a)} ^ {embedding(b)})" for a, b in words], [f"bit_count({a} ^ {b})" for a, b in words]
+    return " and ".join(f"({' + '.join(x[: i + 1])}) <= {most[i]}" for i in range(len(words)) for x in (low, exact))
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -199,16 +246,16 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE
 
     Rows of equal shingle sets are one point, null and empty texts (no shingles) one too; `digest` names it, also where
     rows of different texts share a doc_id. `component` numbers what is linked. Each point has a fingerprint
-    of 64 * WIDE bits. Its embedding is their counts in segments of one bit, of which each table samples some: points with
-    equal counts there share the table's cell. Links are looked for without all pairs of a cell: first of each point with its
-    cells' least, then between points of different parts. Pairs whose first words, then whole fingerprints, differ in more
-    bits than `plan` says (four deviations over what is expected at the threshold) go no further; of the others the exact
-    similarity of the shingle sets decides. component_id is the smallest doc_id that links
+    of 64 * WIDE bits. As in `near_pairs` its embedding is the bit counts of their 2-bit segments; each grid samples some of
+    these, since choices of groups that hold every pair of so wide a radius would be too many, and points with equal counts there
+    share the grid's cell. Links are looked for without all pairs of a cell: first of each point with its
+    cells' least, then between points of different parts. Pairs go no further whose first words, then whole fingerprints, have a
+    Manhattan distance, then differing bits, over what `plan` says (four deviations over what is expected at the threshold); of
+    the others the exact similarity of the shingle sets decides. component_id is the smallest doc_id that links
     reach; other columns are ignored; no rows give none.
     """
-    key, tables, most, most_wide = plan(docs.count(), similarity)
-    # the same bits for each number of them
-    sampled = np.random.default_rng(SEED).permuted(np.tile(np.arange(64 * WIDE), (tables, 1)), axis=1)[:, :key]
+    key, grids, most = plan(docs.count(), similarity)
+    sampled = grid(key, grids)
 
     def make():
         from xxhash import xxh3_128_digest
@@ -224,44 +271,53 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE
         return work
 
     def cells():
-        weights = np.left_shift(np.int64(1), np.arange(key, dtype=np.int64))
-
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
-            bits = np.unpackbits(raw, axis=1, bitorder="little")
-            found = np.stack([bits[:, s] @ weights + (t << key) for t, s in enumerate(sampled)], axis=1)
-            own = [np.repeat(x, tables) for x in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.ascontiguousarray(raw[:, :8]).view("<i8")[:, 0])]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, found.reshape(-1))], names=["id", "part", "word", "cell"])
+            fps = batch.column(2).to_pylist()
+            first = np.frombuffer(b"".join(x[:16] for x in fps), "<i8").reshape(-1, 2)
+            own = [np.repeat(x, grids) for x in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), first[:, 0], first[:, 1])]
+            found = grid_cells(fps, sampled)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, found.reshape(-1))], names=["id", "part", "word", "next", "cell"])
 
         return work
 
     def celled(points: DataFrame) -> DataFrame:
-        """(id, part, word, cell) of points (id, part, fp): a row for each table, with the fingerprint's first word."""
+        """(id, part, word, next, cell) of points (id, part, fp): a row for each grid, with the fingerprint's first two words."""
         small = points.select("id", "part", "fp").repartition(max(1, n_parts(docs.sparkSession)))
-        return map_arrow(small, cells, "id long, part long, word long, cell long").repartition("cell")
+        return map_arrow(small, cells, "id long, part long, word long, next long, cell long").repartition("cell")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t"))
 
-    def sets():
+    def sets(bits: bytes):
         from xxhash import xxh3_128_digest
 
+        filter_ = np.frombuffer(bits, np.uint8)
+
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [shingles(x.as_py(), shingle) for x in batch.column(1)]
+            at = batch.column(2).to_numpy()
+            met = (filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            own = batch.filter(pa.array(met.astype(bool)))
+            found = [shingles(x.as_py(), shingle) for x in own.column(1)]
             digests = [xxh3_128_digest(x.tobytes()) for x in found]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([x.view("<i8") for x in found], pa.list_(pa.int64()))], names=["doc_id", "digest", "s"])
+            return pa.RecordBatch.from_arrays([own.column(0), pa.array(digests, pa.binary()), pa.array([x.view("<i8") for x in found], pa.list_(pa.int64()))], names=["doc_id", "digest", "s"])
 
         return work
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of point ids whose shingle sets are similar enough."""
-        apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        manhattan, apart = (F.aggregate(F.zip_with("fa", "fb", d), F.lit(0), lambda n, x: n + x) for d in (embedded_apart, bits_apart))
         words = points.select("id", F.array(*[F.expr(f"cast(conv(hex(substring(fp, {8 * i + 1}, 8)), 16, -10) as long)") for i in range(WIDE)]).alias("f"))
         near = pairs.distinct().join(words.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a").join(words.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b")
-        pairs = written(near.where(apart <= most_wide).select("a", "b"))
+        pairs = written(near.where((manhattan <= most[-1]) & (apart <= most[-1])).select("a", "b"))
         met = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         # the texts of the points' smallest doc_ids, of which those count whose set is the point's
-        names = points.join(met, "id", "left_semi").select("id", F.col("least").alias("doc_id"), "digest")
-        own = map_arrow(texts.join(names.select("doc_id").distinct(), "doc_id", "left_semi"), sets, "doc_id long, digest binary, s array<long>")
+        names = written(points.join(met, "id", "left_semi").select("id", F.col("least").alias("doc_id"), "digest"))
+        bit = F.pmod(F.xxhash64("doc_id"), F.lit(MET_BITS))
+        pages = names.select(bit.alias("x")).groupBy(F.bitmap_bucket_number(F.col("x") + 1).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("x") + 1)).alias("bits"))
+        filter_ = bytearray(MET_BITS // 8)
+        for r in pages.collect():  # pages are numbered from 1
+            filter_[(r["page"] - 1) * PAGE // 8 : r["page"] * PAGE // 8] = r["bits"]
+        known = docs.sparkSession.sparkContext.broadcast(bytes(filter_))
+        own = map_arrow(texts.select("doc_id", "t", bit.alias("x")), lambda: sets(known.value), "doc_id long, digest binary, s array<long>")
         one = own.join(names, ["doc_id", "digest"]).dropDuplicates(["id"]).select("id", "s")
         both = pairs.join(one.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(one.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         shared = "size(array_intersect(sa, sb))"
@@ -269,15 +325,14 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE
 
     marked = written(map_arrow(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text), make, "doc_id long, digest binary, fp binary"))
     points = written(marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")).withColumn("id", F.monotonically_increasing_id()))
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
     by_id = Window.partitionBy("cell").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    first = celled(points.withColumn("part", F.col("id"))).withColumn("f", F.first(F.struct("id", "word")).over(by_id))
-    joined = components(verified(first.where((F.col("id") > F.col("f.id")) & near("word", "f.word")).select(F.col("id").alias("a"), F.col("f.id").alias("b"))))
+    first = celled(points.withColumn("part", F.col("id"))).withColumn("f", F.first(F.struct("id", "word", "next")).over(by_id))
+    joined = components(verified(first.where((F.col("id") > F.col("f.id")) & F.expr(within([("word", "f.word"), ("next", "f.next")], most))).select(F.col("id").alias("a"), F.col("f.id").alias("b"))))
     parted = points.join(joined, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("part"), "fp")
     whole = Window.partitionBy("cell")
     mixed = celled(parted).withColumn("first", F.min("part").over(whole)).withColumn("last", F.max("part").over(whole)).where("first < last")
     a, b = mixed.where("part > first").alias("a"), mixed.alias("b")
-    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.part") > F.col("b.part")) & near("a.word", "b.word")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.part") > F.col("b.part")) & F.expr(within([("a.word", "b.word"), ("a.next", "b.next")], most))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     links = verified(pairs)
     merged = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
     whole = points.select("digest", "id", "least").join(merged, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"), "least")

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, line_dedup, packing, pii, sharding, simhash, sketch, token_files, tokens, toxicity
 
@@ -291,6 +292,30 @@ def test_similar_documents_against_brute_force(spark, odd, none):
     assert simhash.similar(none).count() == 0 and simhash.similar(odd).count() == len([i for i, _ in ODD if i is not None])
 
 
+def test_wide_cells_are_of_segment_counts(spark):
+    """Wide fingerprints meet by the bit counts of 2-bit segments, whose Manhattan distance bounds the differing bits."""
+    r = random.Random(5)
+    key, grids, (most, *_) = simhash.plan(1000)
+    sampled = simhash.grid(key, grids)
+    prints = [r.getrandbits(256) for _ in range(40)]
+    odd = int("01" * 128, 2)
+    swapped = [(x >> 1 & odd) | (x & odd) << 1 for x in prints]  # the same counts of other bits
+    cells = [simhash.grid_cells([x.to_bytes(32, "little") for x in some], sampled) for some in (prints, swapped)]
+    assert (cells[0] == cells[1]).all() and len({*cells[0].reshape(-1).tolist()}) > 30 * grids
+    counts = [[(x >> i & 1) + (x >> i + 1 & 1) for i in range(0, 256, 2)] for x in prints]
+    for i in range(1, 40):
+        equal = [all(counts[i][s] == counts[0][s] for s in own) for own in sampled.tolist()]
+        assert (cells[0][i] == cells[0][0]).tolist() == equal
+    words = [x % 2**64 - 2**63 for x in prints]
+    words += [w ^ sum(1 << k for k in r.sample(range(63), n)) for w in words for n in (3, most, most + 1, 30)]
+    rows = spark.createDataFrame([(w, words[i % 40]) for i, w in enumerate(words)], "a long, b long")
+    found = rows.select("a", "b", simhash.embedded_apart(F.col("a"), F.col("b")).alias("low"), simhash.bits_apart(F.col("a"), F.col("b")).alias("n"), F.expr(simhash.within([("a", "b")], [most])).alias("near")).collect()
+    of = lambda x: [(x % 2**64 >> i & 1) + (x % 2**64 >> i + 1 & 1) for i in range(0, 64, 2)]
+    for x in found:
+        assert x["low"] == sum(abs(i - j) for i, j in zip(of(x["a"]), of(x["b"]), strict=True)) <= x["n"] == ((x["a"] ^ x["b"]) % 2**64).bit_count()
+        assert x["near"] == (x["n"] <= most)
+
+
 def test_near_pairs_are_all_found(spark):
     r = random.Random(4)
     base = [r.getrandbits(64) for _ in range(60)]
