@@ -50,16 +50,23 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow that gives memory back to the system after each batch: Arrow's pool and the C library keep what is freed, in every idle worker too."""
+def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], every: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives memory back to the system after each batch (of small ones after `every` so many, and at the end): Arrow's pool and the C library keep what is freed, in every idle worker too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ctypes
 
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        n = 0
         for out in work(batches):
             yield out
             del out
+            n += 1
+            if n % every == 0:
+                pa.default_memory_pool().release_unused()
+                if trim:
+                    trim(0)
+        if n % every:
             pa.default_memory_pool().release_unused()
             if trim:
                 trim(0)

@@ -40,6 +40,10 @@ _CLASS[ord("\n")] = 1
 _CLASS[list(b".!?,;:")] = 2
 _CLASS[list(b" \t")] = 4
 _CLASS[list(b"\r\x0b\x0c")] = 8
+# 0: white space, 1: part of a word, 3: the same and the first byte of a wide character
+_SOLID = bytes((_CLASS[i] & 13 == 0) * (3 if 0xE3 <= i <= 0xE9 else 1) for i in range(256))
+#: The low bytes of 8 that a word of so many has.
+_LOW = np.asarray([(1 << 8 * min(n, 8)) - 1 for n in range(17)], "<u8")
 
 
 @functools.cache
@@ -103,12 +107,14 @@ def lines(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, "<u8"))
 
 
-def _bounds(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    solid = _CLASS[b] & 13 == 0
+def _bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    kind = np.frombuffer(raw.translate(_SOLID), np.uint8)
+    solid = kind > 0
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
-    wide = (b >= 0xE3) & (b <= 0xE9)
+    wide = kind == 3
     if wide.any():
+        b = np.frombuffer(raw, np.uint8)
         begin |= wide
         begin[3:] |= wide[:-3] & solid[3:] & (b[3:] & 0xC0 != 0x80)
     final = solid.copy()
@@ -117,9 +123,19 @@ def _bounds(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    b = np.frombuffer(raw, np.uint8)
-    starts, ends = _bounds(b)
-    return starts, ends, _ranges(b.astype("<u8") + np.uint64(1), starts, ends)
+    starts, ends = _bounds(raw)
+    if not len(starts):
+        return starts, ends, np.zeros(0, "<u8")
+    size = ends - starts
+    eight = np.ascontiguousarray(np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,)))  # the 8 bytes from each place on
+    # up to 16 bytes are known by the first 8, the last 8 and their number
+    tail = np.where(size > 8, eight[np.maximum(ends - 8, 0)], np.uint64(0))
+    h = _mix((eight[starts] & _LOW[np.minimum(size, 16)]) * np.uint64(_BASE) + tail * np.uint64(0xC2B2AE3D27D4EB4F) + size.astype("<u8"))
+    if len(long := np.flatnonzero(size > 16)):
+        to = np.cumsum(size[long])
+        own = np.frombuffer(raw, np.uint8)[np.arange(to[-1]) + np.repeat(starts[long] - to + size[long], size[long])]
+        h[long] = _ranges(own.astype("<u8") + np.uint64(1), to - size[long], to)
+    return starts, ends, h
 
 
 def words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +203,7 @@ def windows(texts: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
     """Where the windows of MIN_WORDS words begin and end in each text."""
     if not texts:
         return [], []
-    starts, ends = _bounds(np.frombuffer(b"\n".join(texts), np.uint8))
+    starts, ends = _bounds(b"\n".join(texts))
     sizes = np.asarray([len(t) + 1 for t in texts])
     offsets = np.cumsum(sizes) - sizes
     of_text = np.searchsorted(starts, [*offsets, offsets[-1] + sizes[-1]])
@@ -208,6 +224,36 @@ def groups(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[tuple[pa.Record
             held, begin, total = [], i + 1, 0
 
 
+def shared_runs(texts: list[bytes], group: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, a, b, row of the first, a there) of the runs of windows that stand in an earlier text of the same group, as far as each goes on in the same one, and the groups this can't tell.
+
+    Windows meet by a hash of their words, and each run's bytes are compared. A group can't be told where those
+    differ, where hashes of two groups are equal, or where a text repeats a window of its own.
+    """
+    raw = b"\n".join(texts)
+    starts, ends, hashes = words(raw)
+    sizes = np.asarray([len(t) + 1 for t in texts])
+    offsets = np.cumsum(sizes) - sizes
+    of_text = np.searchsorted(starts, [*offsets, offsets[-1] + sizes[-1]])
+    n_words = np.diff(of_text)
+    word = np.flatnonzero(np.arange(MIN_WORDS, len(starts) + MIN_WORDS) <= np.repeat(of_text[1:], n_words))  # where windows begin
+    row = np.repeat(np.arange(len(texts)), n_words)[word]
+    keys = _mix(_ranges(hashes, word, word + MIN_WORDS) ^ (group[row].astype("<u8") * np.uint64(_BASE)))
+    _, at, which = np.unique(keys, return_index=True, return_inverse=True)
+    first = at[which]
+    again = np.flatnonzero(first != np.arange(len(word)))
+    was = first[again]
+    unsure = group[row[again][(group[row[was]] != group[row[again]]) | (row[was] == row[again])]]
+    if not len(again):
+        return (again,) * 5 + (unsure,)
+    breaks = np.flatnonzero((np.diff(word[again]) != 1) | (np.diff(word[was]) != 1))
+    begin, last = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(again) - 1]])
+    a, b, a0 = starts[word[again[begin]]], ends[word[again[last]] + MIN_WORDS - 1], starts[word[was[begin]]]
+    row, row0 = row[again[begin]], row[was[begin]]
+    same = np.asarray([raw[x:y] == raw[z : z + y - x] for x, y, z in zip(a.tolist(), b.tolist(), a0.tolist(), strict=True)])
+    return row, a - offsets[row], b - offsets[row], row0, a0 - offsets[row0], np.unique(np.concatenate([unsure, group[row[~same]]]))
+
+
 class Windows:
     """The windows of MIN_WORDS words met so far, by key, with the place of the first; what is given next comes later in the order of (doc, th, a)."""
 
@@ -312,21 +358,35 @@ OCCURRENCE = "h long, salt int, doc long, th int, size int, a int, bytes binary,
 FOUND = "d long, e long, doc long, th int, size int, a int, b int, doc0 long, th0 int, size0 int, a0 int, again boolean"
 
 
-def same_texts(batch: pa.RecordBatch, h: np.ndarray, salt: np.ndarray, doc: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first row of each row's group (h, salt), whether all of the group is alike): alike are groups that lie in the batch,
-    of one text that doesn't repeat itself, each row of a document of its own, and not hot. The first and the last group may go on in other batches."""
+def same_texts(batch: pa.RecordBatch, h: np.ndarray, salt: np.ndarray, doc: np.ndarray, th: np.ndarray, own: bool) -> tuple[np.ndarray, ...]:
+    """(each row's group (h, salt), first row of the same text in it, whether the row stands earlier whole, whether nothing of its group is to be met by others, whether `shared_runs` may have it).
+
+    A row stands earlier whole where the first row of its text is in another document or, with `own`, lies before it in the same
+    one. The first group may have begun in a batch before, so its rows are each their own first; the last may go on. Nothing else
+    is to be met in groups that lie in the batch, are not hot, and are one text that doesn't repeat itself, but for rows that stand
+    earlier whole; `shared_runs` may have those that lie in the batch, are not hot, and hold each document once but for such rows.
+    """
     n = len(h)
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
     begins = np.flatnonzero(new)
     of = np.cumsum(new) - 1
-    text = batch.column(6).dictionary_encode().indices.to_numpy()
-    differs = np.concatenate([[False], (~new[1:]) & ((text[1:] != text[:-1]) | ((doc[1:] == doc[:-1]) & (th[1:] == th[:-1])))])
-    alike = np.bincount(of, differs | batch.column(7).to_numpy(zero_copy_only=False), minlength=len(begins)) == 0
-    alike[[0, -1]] = False
+    text = batch.column(6).dictionary_encode().indices.to_numpy().astype(np.int64)
+    _, at, which = np.unique(of * n + text, return_index=True, return_inverse=True)
+    first = at[which]
+    first[of == 0] = np.flatnonzero(of == 0)
+    whole = (doc != doc[first]) | (th != th[first])
+    if own:
+        a, length = batch.column(5).to_numpy(), pc.binary_length(batch.column(6)).to_numpy()
+        whole |= (first < np.arange(n)) & (a >= a[first] + length)
+    rest = np.flatnonzero(~whole)
+    twice = rest[1:][(of[rest[1:]] == of[rest[:-1]]) & (doc[rest[1:]] == doc[rest[:-1]]) & (th[rest[1:]] == th[rest[:-1]])]
+    once = (np.bincount(of, batch.column(7).to_numpy(zero_copy_only=False), len(begins)) == 0) & (np.bincount(of[twice], minlength=len(begins)) == 0)
+    once[[0, -1]] = False
+    alike = once & (np.bincount(of[rest], minlength=len(begins)) == 1)
     many = np.diff(np.concatenate([begins, [n]])) > 1
     texts = batch.column(6).take(pa.array(begins[alike & many])).to_pylist()
     alike[np.flatnonzero(alike & many)] = [not repeats_itself(t) for t in texts]
-    return begins[of], alike[of]
+    return of, first, whole, alike[of], once[of]
 
 
 def repeated(rows: DataFrame) -> tuple[bytes, dict[int, int]]:
@@ -338,13 +398,11 @@ def repeated(rows: DataFrame) -> tuple[bytes, dict[int, int]]:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for _, texts in groups(whole):
-                found: list[int] = []
-                for (hashes, _, _), _ in chunks(texts):
-                    found += hashes.tolist()
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
+                found = np.concatenate([hashes for (hashes, _, _), _ in chunks(texts)])
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found)], names=["h"])
 
-    counts = rows.mapInArrow(tidied(find), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = rows.mapInArrow(tidied(find, 8), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = written(counts)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,15 +481,25 @@ def dedup(docs: DataFrame, copy_share: float | None = None, text: str = "text")
             if not batch.num_rows:
                 continue
             h, salt, doc, th, size, a = (batch.column(i).to_numpy() for i in range(6))
-            first, alike = same_texts(batch, h, salt, doc, th)
-            rows = np.flatnonzero(alike & (first < np.arange(len(h))))
-            if len(rows):  # all but the first of a group of the same texts
-                of, length = first[rows], pc.binary_length(batch.column(6)).to_numpy()[rows]
+            of, first, earlier, alike, once = same_texts(batch, h, salt, doc, th, copy_share is None)
+            rows = np.flatnonzero(earlier)
+            length = pc.binary_length(batch.column(6)).to_numpy()[rows]
+            found = [(rows, a[rows], a[rows] + length, first[rows], a[first[rows]])]  # what stands earlier whole
+            others = ~alike & ~earlier
+            at = np.flatnonzero(others & once)
+            if len(at):
+                row, low, high, row0, low0, unsure = shared_runs(batch.column(6).take(pa.array(at)).to_pylist(), of[at])
+                sure = ~np.isin(of, unsure)
+                row, row0 = at[row], at[row0]
+                found.append(tuple(x[sure[row]] for x in (row, a[row] + low, a[row] + high, row0, a[row0] + low0)))
+                others &= ~(once & sure)
+            rows, low, high, rows0, low0 = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(rows):
                 zero = np.zeros(len(rows), np.int64)
-                columns = [zero, zero, doc[rows], th[rows], size[rows], a[rows], a[rows] + length, doc[of], th[of], size[of], a[of], np.zeros(len(rows), bool)]
+                columns = [zero, zero, doc[rows], th[rows], size[rows], low.astype(np.int32), high.astype(np.int32), doc[rows0], th[rows0], size[rows0], low0.astype(np.int32), np.zeros(len(rows), bool)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in FOUND.split(", ")])
             out = []
-            others = np.flatnonzero(~alike)
+            others = np.flatnonzero(others)
             part = batch.take(pa.array(others))
             columns = [*(part.column(i).to_numpy().tolist() for i in range(6)), part.column(6).to_pylist(), part.column(7).to_numpy(zero_copy_only=False).tolist()]
             for h_, salt_, doc_, th_, size_, a_, own, local, lows, highs in zip(*columns, *windows(columns[6]), strict=True):
@@ -462,7 +530,7 @@ def dedup(docs: DataFrame, copy_share: float | None = None, text: str = "text")
                 yield _batch(out, FOUND)
 
     place = ["doc", "th", "a"]
-    first = rows.mapInArrow(tidied(occurrences), OCCURRENCE).repartition("h", "salt").sortWithinPartitions("h", "salt", *place).mapInArrow(tidied(compare), FOUND)
+    first = rows.mapInArrow(tidied(occurrences, 8), OCCURRENCE).repartition("h", "salt").sortWithinPartitions("h", "salt", *place).mapInArrow(tidied(compare), FOUND)
     first = written(first)
     again = first.where("again").repartition("d", "e").sortWithinPartitions("d", "e", *place).mapInArrow(tidied(firsts), FOUND)
     found = first.where("not again").union(again)
@@ -474,16 +542,19 @@ def dedup(docs: DataFrame, copy_share: float | None = None, text: str = "text")
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 part = whole.slice(lo, 500)
+                texts, lists = part.column(at), part.column(len(columns))
                 new, gone = [], []
-                for t, found, doc, th in zip(*(part.column(i).to_pylist() for i in (at, *range(len(columns), part.num_columns))), strict=True):
-                    spans, away = [tuple(x.values()) for x in found or ()], []
-                    if spans and not (copy_share is not None and copied(spans, doc, th, len(t.encode("utf-8", "surrogatepass")), copy_share)):
+                cuts = pc.greater(pc.fill_null(pc.list_value_length(lists), 0), 0)  # the others stay as they are
+                for t, found, doc, th in zip(*(x.filter(cuts).to_pylist() for x in (texts, lists, *part.columns[len(columns) + 1 :])), strict=True):
+                    spans, away = [tuple(x.values()) for x in found], []
+                    if not (copy_share is not None and copied(spans, doc, th, len(t.encode("utf-8", "surrogatepass")), copy_share)):
                         t, away = cut(t, [x[:2] for x in spans])
                     new.append(t)
                     gone.append([{"a": a, "b": b} for a, b in away])
-                kept = list(part.columns[: len(columns)])
-                kept[at] = pa.array(new, kept[at].type)
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(gone, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=[*columns, "_ld_spans"])
+                kept, kind = list(part.columns[: len(columns)]), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+                kept[at] = pc.replace_with_mask(texts, cuts, pa.array(new, texts.type))
+                which = np.where(cuts.to_numpy(zero_copy_only=False), np.cumsum(cuts.to_numpy(zero_copy_only=False)), 0)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([[], *gone], kind).take(pa.array(which))], names=[*columns, "_ld_spans"])
 
     span = StructType().add("a", "integer").add("b", "integer")
     schema = StructType([*docs.schema.fields]).add("_ld_spans", ArrayType(span))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tessera.llm import line_dedup
 
 WORDS = [a + b for a in ("th", "er", "on", "qu", "li", "ma", "St", "ñe") for b in ("an", "ion", "o", "é", "ust", "e")]
@@ -98,3 +100,39 @@ def test_cuts_are_those_of_all_windows(spark):
         rows += [(i, rows[i - 60][1]) for i in range(60, 70)]
         want = by_all_windows(rows)
         assert kept(spark, rows) == want
+
+
+def test_runs_of_windows_against_all_windows():
+    """Runs found in columns are those of one window after the other; texts that white space or repeats make unsure are told."""
+    r = random.Random(21)
+    least = line_dedup.MIN_WORDS
+    texts, group = [], []
+    for g in range(60):
+        middle, other = run(r, r.choice((20, 30, 45))), run(r, 30)
+        for _ in range(r.randint(2, 6)):
+            parts = [run(r, r.randint(0, 9)), r.choice((middle, middle, other)), run(r, r.randint(0, 30))]
+            texts.append(" ".join(parts).strip().encode())
+            group.append(g)
+    for g, own in ((60, [run(r, 30)] * 3), (61, ["日本語の文をここに書く試験のための長い文章である。" * 2, "前置日本語の文をここに書く試験のための長い文章である。"])):
+        texts += [x.encode() for x in own]
+        group += [g] * len(own)
+    line = run(r, 40)
+    for g, own in ((62, [line, line.replace(" ", "\n")]), (63, [run(r, 10), "tick tock " * 20]), (64, ["w" * 70 + " " + line, "v" * 70 + " " + line])):
+        texts += [x.strip().encode() for x in own]
+        group += [g] * len(own)
+    row, low, high, row0, low0, unsure = (x.tolist() for x in line_dedup.shared_runs(texts, np.asarray(group)))
+    assert {62, 63} <= set(unsure) <= {61, 62, 63}
+    met, want = {}, set()
+    for i, (g, text) in enumerate(zip(group, texts, strict=True)):
+        spans = [m.span() for m in line_dedup.WORD.finditer(text)]
+        for (a, _), (_, b) in zip(spans, spans[least - 1 :], strict=False):
+            was = met.setdefault((g, text[a:b]), (i, a))
+            if was[0] != i and g not in unsure:
+                want.add((i, a, b, *was))
+    got = set()
+    for i, a, b, i0, a0 in zip(row, low, high, row0, low0, strict=True):
+        if group[i] not in unsure:
+            assert group[i0] == group[i] and i0 < i and texts[i][a:b] == texts[i0][a0 : a0 + b - a]
+            spans = [m.span() for m in line_dedup.WORD.finditer(texts[i]) if a <= m.start() and m.end() <= b]
+            got |= {(i, x, y, i0, a0 + x - a) for (x, _), (_, y) in zip(spans, spans[least - 1 :], strict=False)}
+    assert got == want and want
