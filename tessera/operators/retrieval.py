@@ -9,17 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .containment import contained
+from .containment import contained, first_of_each
+from .graph import checkpointed
 
 PATH = "array<struct<mid:string,rel1:string,rel2:string>>"
 
 
-def neighbours(entities: DataFrame, relations: DataFrame) -> DataFrame:
+def either_end(relations: DataFrame) -> DataFrame:
     """(focus_id, other_id, relationship, description): each relation from either end, a loop once."""
     out = relations.select(F.col("source_id").alias("focus_id"), F.col("target_id").alias("other_id"), "relationship", "description")
     back = relations.where("source_id <> target_id").select(F.col("target_id").alias("focus_id"), F.col("source_id").alias("other_id"), "relationship", "description")
+    return out.union(back)
+
+
+def neighbours(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """The relations from `either_end` whose ends are both known."""
     known = entities.select("id")
-    return out.union(back).join(known.withColumnRenamed("id", "focus_id"), "focus_id", "left_semi").join(known.withColumnRenamed("id", "other_id"), "other_id", "left_semi")
+    return either_end(relations).join(known.withColumnRenamed("id", "focus_id"), "focus_id", "left_semi").join(known.withColumnRenamed("id", "other_id"), "other_id", "left_semi")
 
 
 def named(rows: DataFrame, entities: DataFrame, key: str, out: str) -> DataFrame:
@@ -256,14 +262,26 @@ def qa_context(found: DataFrame, relations: DataFrame) -> DataFrame:
 def answer_questions(questions: DataFrame, aliases: DataFrame, names: DataFrame, entities: DataFrame, relations: DataFrame, weight: float = 0.5, limit: int = 10, words: bool = False) -> DataFrame:
     """(question_id, place, source_name, relationship, target_name, description, score): the best relations of each question's focus entities.
 
-    All questions at once: focus entities by alias or name, their relations from either end, scores with the focus
-    names as aliases, and the `limit` best of each question.
+    All questions at once: focus entities by alias or name, their relations from either end, scores with the focus names as
+    aliases, and the `limit` best of each question. Relations of one focus entity differ in score only by whether the other end
+    is named like a focus entity of the question. So a question's best are among the first `limit` of each of its entities and
+    the first `limit` of each of them and each focus name of the other end. Those are found once for an entity, and only they
+    meet the questions.
     """
     focus = focus_entities(questions, aliases, names, words=words)
-    one = named(focus.select("question_id", F.explode("focus_ids").alias("focus_id")), entities, "focus_id", "focus_name")
-    lower = focus.join(one.groupBy("question_id").agg(F.collect_set(F.lower("focus_name")).alias("aliases")), "question_id").select("question_id", "aliases")
-    near = named(neighbours(entities, relations).join(one, "focus_id"), entities, "other_id", "target_name").join(lower, "question_id")
+    one = checkpointed(named(focus.select("question_id", F.explode("focus_ids").alias("focus_id")), entities, "focus_id", "focus_name").distinct())
+    asked, pairs = one.select("focus_id", "focus_name").distinct(), one.select("question_id", "focus_id").distinct()
+    lower = one.select("question_id", F.lower("focus_name").alias("alias")).where("alias is not null").distinct()
+    order = ["target_name", "relationship", "description"]
+    near = named(either_end(relations).join(asked, "focus_id"), entities, "other_id", "target_name").select("focus_id", "focus_name", F.lower("target_name").alias("alias"), *order)
+    near = near.distinct()
+    ordered = [F.col(c) for c in order]
+    firsts = first_of_each(near, ["focus_id", "focus_name"], ordered, limit)
+    alike = first_of_each(near.join(lower.select("alias").distinct(), "alias", "left_semi"), ["focus_id", "focus_name", "alias"], ordered, limit)
+    met = pairs.hint("merge").join(firsts, "focus_id").select("question_id", "focus_name", *order)
+    wanted = pairs.hint("merge").join(lower, "question_id")
+    met = met.union(wanted.hint("merge").join(alike, ["focus_id", "alias"]).select("question_id", "focus_name", *order))
+    rows = met.distinct().join(one.groupBy("question_id").agg(F.collect_set(F.lower("focus_name")).alias("aliases")), "question_id")
     score = T.evidence_score(F.lit(weight), "relationship", "focus_name", "target_name", "aliases", F.lit(0))
-    rows = near.select("question_id", F.col("focus_name").alias("source_name"), "relationship", "target_name", "description", score.alias("score")).distinct()
-    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "source_name", "target_name", "relationship", "description"))
-    return rows.withColumn("place", place).where(F.col("place") <= limit)
+    rows = rows.select("question_id", F.col("focus_name").alias("source_name"), "relationship", "target_name", "description", score.alias("score"))
+    return first_of_each(rows, ["question_id"], [F.desc("score"), *map(F.col, ("source_name", "target_name", "relationship", "description"))], limit)
