@@ -163,34 +163,41 @@ def word_grams(text: str | Column, most_words: int) -> Column:
     return F.array_distinct(F.concat(*[runs(n) for n in range(1, most_words + 1)]))
 
 
+def _mentions(questions: DataFrame, aliases: DataFrame, words: bool, most_words: int) -> DataFrame:
+    """question_id and the columns of aliases, the alias in lower case, as `mentions`. Both sides may be large, so they are sorted."""
+    q = questions.select("question_id", F.lower("text").alias("_q"))
+    a = aliases.withColumn("alias", F.lower("alias")).where("alias <> ''")
+    if words:
+        found = q.select("question_id", F.explode(word_grams("_q", most_words)).alias("alias"))
+    else:
+        met = contained(q.select(F.col("question_id").alias("text_id"), F.col("_q").alias("text")), a.select(F.col("alias").alias("pattern")))
+        found = met.select(F.col("text_id").alias("question_id"), F.col("pattern").alias("alias"))
+    return found.hint("merge").join(a, "alias").select("question_id", *aliases.columns)
+
+
 def mentions(questions: DataFrame, aliases: DataFrame, words: bool = False, most_words: int = 4) -> DataFrame:
     """(question_id, alias, entity_id) of each alias that a question contains; empty aliases are in none.
 
     words=False: anywhere, also inside words, by an index of rare grams (`containment.contained`). words=True: whole
     words, by an equi-join on runs of words.
     """
-    q = questions.select("question_id", F.lower("text").alias("_q"))
-    a = aliases.select(F.lower("alias").alias("alias"), "entity_id").where("alias <> ''")
-    if words:
-        grams = q.select("question_id", F.explode(word_grams("_q", most_words)).alias("alias"))
-        return grams.join(a, "alias").select("question_id", "alias", "entity_id")
-    found = contained(q.select(F.col("question_id").alias("text_id"), F.col("_q").alias("text")), a.select(F.col("alias").alias("pattern")))
-    return found.select(F.col("text_id").alias("question_id"), F.col("pattern").alias("alias")).join(a, "alias").select("question_id", "alias", "entity_id")
+    return _mentions(questions, aliases.select("alias", "entity_id"), words, most_words)
 
 
 def focus_entities(questions: DataFrame, aliases: DataFrame, names: DataFrame, most: int = 3, words: bool = False) -> DataFrame:
     """(question_id, focus_ids): up to `most` entities, by the first place of an alias, or of a name where no alias is met.
 
-    aliases, names: (alias, entity_id, pos), pos the order of looking.
+    aliases, names: (alias, entity_id, pos), pos the order of looking. The same frame given twice is looked through once.
     """
 
     def met(index: DataFrame, asked: DataFrame) -> DataFrame:
-        found = mentions(asked, index, words).join(index.select(F.lower("alias").alias("alias"), "entity_id", "pos"), ["alias", "entity_id"])
-        return found.groupBy("question_id", "entity_id").agg(F.min("pos").alias("pos"))
+        return _mentions(asked, index.where("entity_id is not null").select("alias", "entity_id", "pos"), words, 4).groupBy("question_id", "entity_id").agg(F.min("pos").alias("pos"))
 
     by_alias = met(aliases, questions)
-    rest = questions.join(by_alias.select("question_id").distinct(), "question_id", "left_anti")
-    every = by_alias.union(met(names, rest))
+    every = by_alias
+    if names is not aliases:
+        rest = questions.join(by_alias.select("question_id").distinct(), "question_id", "left_anti")
+        every = by_alias.union(met(names, rest))
     place = F.row_number().over(Window.partitionBy("question_id").orderBy("pos", "entity_id"))
     kept = every.withColumn("place", place).where(F.col("place") <= most)
     return kept.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "entity_id"))), lambda x: x["entity_id"]).alias("focus_ids"))

@@ -17,13 +17,25 @@ STRINGS = "array<string>"
 WITHOUT_EVIDENCE = ("attribute_projection",)
 
 
+def meet(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join whose sides both grow with the questions or the graph. Both are sorted: Spark takes a written table for as small as its
+    file, and would send one to every task, by way of the driver, that is many times that.
+    """
+    return left.hint("merge").join(right, on, how)
+
+
+def with_name(rows: DataFrame, entities: DataFrame, key: str, out: str) -> DataFrame:
+    """As `retrieval.named`, of many rows and many entities."""
+    return meet(rows, entities.select(F.col("id").alias(key), F.col("name").alias(out)), key)
+
+
 def asked(questions: DataFrame, entities: DataFrame, focus: DataFrame) -> DataFrame:
     """(question_id, text, intent, bucket, focus_ids, hop_ids, secondary_ids, all_aliases, context_terms, search_terms) of questions (question_id, text).
 
     focus: (question_id, focus_ids). A comparison goes from the first focus entity to the others, other questions from all of them.
     all_aliases: the names and aliases of the focus entities in lower case, sorted.
     """
-    one = focus.select("question_id", F.explode("focus_ids").alias("id")).join(entities.select("id", "name", "aliases"), "id")
+    one = meet(focus.select("question_id", F.explode("focus_ids").alias("id")), entities.select("id", "name", "aliases"), "id")
     spelled = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast(STRINGS)))
     terms = one.select("question_id", F.explode(F.transform(spelled, F.lower)).alias("t")).where("t <> ''").groupBy("question_id").agg(F.array_sort(F.collect_set("t")).alias("all_aliases"))
     rows = questions.select("question_id", "text", T.intent("text").alias("intent"), T.context_terms("text").alias("context_terms"), T.search_terms("text").alias("search_terms"))
@@ -38,7 +50,14 @@ class Patterns:
 
     def __init__(self, entities: DataFrame, relations: DataFrame):
         self.entities, self.relations = entities, relations
-        self.near = retrieval.neighbours(entities, relations)
+        # ends that aren't known have no name, and so no rows
+        self.near = retrieval.either_end(relations)
+
+    def _named(self, rows: DataFrame, **ends: str) -> DataFrame:
+        """Rows with the names of their ends: a column for each, of the entity whose id another column has."""
+        for out, key in ends.items():
+            rows = with_name(rows, self.entities, key, out)
+        return rows
 
     def _rows(self, rows: DataFrame, source: str, target: str, relationship: str | None = "relationship", description: str | None = "description", path: str | None = None) -> DataFrame:
         text = lambda c: F.coalesce(F.col(c), F.lit("")) if c else F.lit("")
@@ -48,8 +67,8 @@ class Patterns:
         return q.select("question_id", F.explode("hop_ids").alias(out))
 
     def _one_hop(self, q: DataFrame) -> DataFrame:
-        met = self._focus(q, "focus_id").join(self.near, "focus_id")
-        return self._rows(retrieval.named(retrieval.named(met, self.entities, "focus_id", "s"), self.entities, "other_id", "t"), "s", "t")
+        met = meet(self._focus(q, "focus_id"), self.near, "focus_id")
+        return self._rows(self._named(met, s="focus_id", t="other_id"), "s", "t")
 
     partner_direct = generic_neighbors = _one_hop
 
@@ -58,24 +77,23 @@ class Patterns:
         edges = self.near.withColumn("_e", F.struct("focus_id", "other_id", "relationship", "description"))
         alias = q.select("question_id", F.explode("all_aliases").alias("pattern"))
         names = contained(self.entities.select(F.col("id").alias("text_id"), F.col("name").alias("text")), alias.select("pattern"))
-        by_name = names.join(alias, "pattern").select("question_id", F.col("text_id").alias("id")).distinct()
+        by_name = meet(names, alias, "pattern").select("question_id", F.col("text_id").alias("id")).distinct()
         term = q.select("question_id", F.explode("context_terms").alias("pattern"))
         labels = self.relations.select(F.col("relationship").alias("text_id"), F.col("relationship").alias("text")).distinct()
-        by_label = contained(labels, term.select("pattern")).join(term, "pattern").select("question_id", F.col("text_id").alias("relationship")).distinct()
-        met = [edges.join(by_name.withColumnRenamed("id", end), end).select("question_id", "_e") for end in ("focus_id", "other_id")]
-        every = met[0].union(met[1]).union(edges.join(by_label, "relationship").select("question_id", "_e")).distinct().select("question_id", "_e.*")
-        return self._rows(retrieval.named(retrieval.named(every, self.entities, "focus_id", "s"), self.entities, "other_id", "t"), "s", "t")
+        by_label = meet(contained(labels, term.select("pattern")), term, "pattern").select("question_id", F.col("text_id").alias("relationship")).distinct()
+        met = [meet(edges, by_name.withColumnRenamed("id", end), end).select("question_id", "_e") for end in ("focus_id", "other_id")]
+        every = met[0].union(met[1]).union(meet(edges, by_label, "relationship").select("question_id", "_e")).distinct().select("question_id", "_e.*")
+        return self._rows(self._named(every, s="focus_id", t="other_id"), "s", "t")
 
     def _two_hops(self, q: DataFrame, some: bool) -> DataFrame:
         """Directed paths of two different relations; with `some`, those one of whose labels contains a term of the question."""
         edges = self.relations.withColumn("_id", F.xxhash64("source_id", "relationship", "target_id", "description"))
         ends = q.select("question_id", "context_terms", F.explode("hop_ids").alias("source_id"))
-        a, b = ends.join(edges, "source_id").alias("a"), edges.alias("b")
-        paths = a.join(b, F.expr("a.target_id = b.source_id and a._id <> b._id")).select("question_id", "context_terms", "a.source_id", F.col("a.target_id").alias("mid_id"), F.col("b.target_id").alias("target_id"), F.col("a.relationship").alias("rel1"), F.col("b.relationship").alias("rel2"))
+        a, b = meet(ends, edges, "source_id").alias("a"), edges.alias("b")
+        paths = meet(a, b, F.expr("a.target_id = b.source_id and a._id <> b._id")).select("question_id", "context_terms", "a.source_id", F.col("a.target_id").alias("mid_id"), F.col("b.target_id").alias("target_id"), F.col("a.relationship").alias("rel1"), F.col("b.relationship").alias("rel2"))
         if some:
             paths = paths.where(F.exists("context_terms", lambda t: F.contains(F.lower("rel1"), t) | F.contains(F.lower("rel2"), t)))
-        for key, name in (("source_id", "s"), ("mid_id", "mid"), ("target_id", "t")):
-            paths = retrieval.named(paths, self.entities, key, name)
+        paths = self._named(paths, s="source_id", mid="mid_id", t="target_id")
         gathered = paths.groupBy("question_id", "source_id", "s", "target_id", "t").agg(F.array_sort(F.collect_list(F.struct("mid", "rel1", "rel2"))).alias("p"))
         return self._rows(gathered, "s", "t", None, None, "p")
 
@@ -88,13 +106,13 @@ class Patterns:
     def timeline_events(self, q: DataFrame) -> DataFrame:
         edges = self.relations.where("relationship = 'RELATED_TO'").select(F.col("source_id").alias("focus_id"), F.col("target_id").alias("_e"))
         events = self.entities.where("type = 'EVENT'").select(F.col("id").alias("_e"), F.col("name").alias("t"), F.col("description").alias("d"))
-        met = self._focus(q, "focus_id").join(edges, "focus_id").join(events, "_e")
-        return self._rows(retrieval.named(met, self.entities, "focus_id", "s"), "s", "t", None, "d")
+        met = meet(meet(self._focus(q, "focus_id"), edges, "focus_id"), events, "_e")
+        return self._rows(self._named(met, s="focus_id"), "s", "t", None, "d")
 
     def comparative_relationships(self, q: DataFrame) -> DataFrame:
         pairs = q.select("question_id", F.explode("hop_ids").alias("source_id"), "secondary_ids").select("question_id", "source_id", F.explode("secondary_ids").alias("target_id"))
-        met = pairs.join(self.relations.select("source_id", "target_id", "relationship", "description"), ["source_id", "target_id"])
-        return self._rows(retrieval.named(retrieval.named(met, self.entities, "source_id", "s"), self.entities, "target_id", "t"), "s", "t")
+        met = meet(pairs, self.relations.select("source_id", "target_id", "relationship", "description"), ["source_id", "target_id"])
+        return self._rows(self._named(met, s="source_id", t="target_id"), "s", "t")
 
     def term_search(self, q: DataFrame) -> DataFrame:
         """A row for each term that an end or the label of a relation (with source and target names) contains."""
@@ -102,8 +120,8 @@ class Patterns:
         edges = self.relations.select("source", "relationship", "target", "description").withColumn("_e", F.struct("source", "relationship", "target", "description"))
         texts = edges.select(F.explode(F.array("source", "target", "relationship")).alias("text")).distinct()
         hits = contained(texts.select(F.col("text").alias("text_id"), "text"), term.select("pattern"))
-        met = [edges.join(hits, F.col(c) == F.col("text_id")).select("pattern", "_e") for c in ("source", "target", "relationship")]
-        every = met[0].union(met[1]).union(met[2]).distinct().join(term, "pattern").select("question_id", "_e.*")
+        met = [meet(edges, hits, F.col(c) == F.col("text_id")).select("pattern", "_e") for c in ("source", "target", "relationship")]
+        every = meet(met[0].union(met[1]).union(met[2]).distinct(), term, "pattern").select("question_id", "_e.*")
         return self._rows(every, "source", "target")
 
 
@@ -140,9 +158,9 @@ def evidence(rows: DataFrame, entities: DataFrame, relations: DataFrame, pattern
         new = checkpointed(new.where("source_name <> '' and target_name <> ''"))
         found = new if found is None else found.unionByName(new)
         if i < steps:
-            open_ = checkpointed(open_.join(new.select("question_id").distinct(), "question_id", "left_anti"))
+            open_ = checkpointed(meet(open_, new.select("question_id").distinct(), "question_id", "left_anti"))
     hops = F.when(F.size("path_details") > 0, F.size("path_details")).otherwise(0)
-    named = found.join(rows.select("question_id", "all_aliases"), "question_id")
+    named = meet(found, rows.select("question_id", "all_aliases"), "question_id")
     score = T.evidence_score(F.col("weight"), "relationship", "source_name", "target_name", "all_aliases", hops, None, relation_weights)
     described = F.when((F.col("description") == "") & (hops > 0), T.hop_text("path_details")).otherwise(F.col("description"))
     scored = named.withColumn("score", score).withColumn("description", described).select("question_id", "template", "score", *ORDER, "path_details")
